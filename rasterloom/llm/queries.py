@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, simhash, toxicity
+from . import embeddings, media, mixing, packing, pages, passages, quality, secrets, simhash, toxicity
 
 QUERIES = {
+    "op1_quality_rules": quality.op1,
     "op2_best_fit_packing": packing.op2,
     "op3_secret_scan": secrets.op3,
+    "op4_page_text": pages.op4,
+    "op5_repeated_passages": passages.op5,
+    "op6_media_clips": media.op6,
     "op7_simhash_near_dedup": simhash.op7,
+    "op8_embedding_range_join": embeddings.op8,
     "op9_toxicity": toxicity.op9,
     "op10_source_mixing": mixing.op10,
 }
