@@ -1,0 +1,170 @@
+"""The models: attention over fixed graphs, and learned selection of nodes and edges from a candidate pool.
+
+A batch is a dict of arrays with one row a graph; parameters are a dict of arrays by name.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+from .tensor import Tensor, concat, wrap
+
+Params = dict[str, Tensor]
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Widths and depths. ``top_k`` and ``knn`` are of the candidate model; readout is attention, mean, max or sum."""
+
+    hidden: int = 16
+    heads: int = 2
+    layers: int = 2
+    selector: int = 16
+    top_k: int = 36
+    knn: int = 8
+    temperature: float = 1.0
+    readout: str = "attention"
+    activation: str = "gelu"
+
+
+def linear(rng, params: dict, name: str, n_in: int, n_out: int, gain: float = 1.0) -> None:
+    bound = gain * np.sqrt(6 / (n_in + n_out))
+    params[f"{name}.w"], params[f"{name}.b"] = rng.uniform(-bound, bound, (n_in, n_out)), np.zeros(n_out)
+
+
+def initial(sizes: Sizes, kind: str, seed: int = 0) -> dict[str, np.ndarray]:
+    """Seeded parameters of the 'fixed' or the 'candidate' model."""
+    rng, out = np.random.default_rng(seed), {}
+    hidden = sizes.hidden
+    n_in = 4
+    if kind == "candidate":
+        s = sizes.selector
+        for name, a, b in (("pos1", 3, s // 2), ("pos2", s // 2, s), ("gate", s + 4, s), ("score", s, 1), ("project", 4, s), ("dist", 3, s // 2), ("att1", 2 * s + s // 2, s), ("att2", s, 1)):
+            linear(rng, out, name, a, b, 0.1 if name in ("pos1", "pos2", "gate", "score") else 1.0)
+    for layer in range(sizes.layers):
+        linear(rng, out, f"gat{layer}.left", n_in, hidden)
+        linear(rng, out, f"gat{layer}.right", n_in, hidden)
+        linear(rng, out, f"gat{layer}.edge", 3, hidden)
+        out[f"gat{layer}.attention"] = rng.normal(0, 0.3, (sizes.heads, hidden // sizes.heads))
+        out[f"gat{layer}.scale"], out[f"gat{layer}.shift"] = np.ones(hidden), np.zeros(hidden)
+        if n_in != hidden:
+            linear(rng, out, f"gat{layer}.skip", n_in, hidden)
+        n_in = hidden
+    linear(rng, out, "pool", hidden, 1)
+    linear(rng, out, "out1", hidden, hidden // 2)
+    linear(rng, out, "out2", hidden // 2, 1)
+    return out
+
+
+def apply(params: Params, name: str, x: Tensor) -> Tensor:
+    return x @ params[f"{name}.w"] + params[f"{name}.b"]
+
+
+def layer_norm(x: Tensor, scale: Tensor, shift: Tensor) -> Tensor:
+    centred = x - x.mean(-1)
+    return centred / ((centred * centred).mean(-1) + 1e-5).sqrt() * scale + shift
+
+
+def attend(params: Params, name: str, x: Tensor, adjacency: np.ndarray | Tensor, moved: np.ndarray, heads: int) -> Tensor:
+    """One attention layer over dense small graphs: (graph, node, in) -> (graph, node, hidden).
+
+    A node's score for another is the head's vector times leaky(left + right + edge); pairs without an edge get none;
+    soft adjacency scales the attention. With a residual and a normalisation.
+    """
+    weights = wrap(adjacency)
+    g, n = x.shape[:2]
+    left, right = apply(params, f"{name}.left", x), apply(params, f"{name}.right", x)
+    hidden = left.shape[-1]
+    pair = left.reshape(g, n, 1, hidden) + right.reshape(g, 1, n, hidden) + apply(params, f"{name}.edge", wrap(moved))
+    score = (pair.leaky(0.2).reshape(g, n, n, heads, hidden // heads) * params[f"{name}.attention"]).sum(-1, keep=False)
+    share = score.permute(0, 3, 1, 2).softmax((weights.data != 0)[:, None]) * weights.reshape(g, 1, n, n)
+    share = share / (share.sum(-1) + 1e-12)
+    mixed = share @ right.reshape(g, n, heads, hidden // heads).permute(0, 2, 1, 3)
+    out = mixed.permute(0, 2, 1, 3).reshape(g, n, hidden)
+    skip = apply(params, f"{name}.skip", x) if f"{name}.skip.w" in params else x
+    return layer_norm(out + skip, params[f"{name}.scale"], params[f"{name}.shift"]).elu()
+
+
+def read(params: Params, x: Tensor, mask: np.ndarray, how: str) -> Tensor:
+    """Each graph's nodes in one vector, over those of the mask."""
+    held = mask[..., None].astype(float)
+    if how == "attention":
+        share = apply(params, "pool", x).reshape(*x.shape[:2]).softmax(mask)
+        return (x * share.reshape(*x.shape[:2], 1)).sum(1, keep=False)
+    if how == "max":
+        best = np.where(held > 0, x.data, -np.inf).argmax(axis=1)
+        pick = (np.arange(x.shape[1])[None, :, None] == best[:, None, :]).astype(float)
+        return (x * pick).sum(1, keep=False)
+    total = (x * held).sum(1, keep=False)
+    return total if how == "sum" else total * (1 / np.maximum(held.sum(axis=1), 1))
+
+
+def head(params: Params, x: Tensor, activation: str = "gelu") -> Tensor:
+    return apply(params, "out2", getattr(apply(params, "out1", x), activation)()).reshape(-1)
+
+
+def fixed_graphs(params: Params, batch: dict, sizes: Sizes) -> Tensor:
+    """The centre's value from graphs with given edges: each graph's own node 0 is read out.
+
+    batch: features (graph, node, 4) as value and offsets, adjacency (graph, node, node), moved (..., 3).
+    """
+    x = wrap(batch["features"])
+    for layer in range(sizes.layers):
+        x = attend(params, f"gat{layer}", x, batch["adjacency"], batch["moved"], sizes.heads)
+    return head(params, x.rows(np.zeros((x.shape[0], 1), int)).reshape(x.shape[0], x.shape[-1]), sizes.activation)
+
+
+def node_scores(params: Params, batch: dict) -> Tensor:
+    """(graph, candidate) scores: a position code, gated by position and features, through a linear head."""
+    offsets = batch["features"][..., :3]
+    far = np.maximum(np.abs(offsets).max(axis=(1, 2), keepdims=True), 1.0)
+    code = apply(params, "pos2", apply(params, "pos1", wrap(offsets / far)).gelu())
+    gate = apply(params, "gate", concat([code, wrap(batch["features"])])).sigmoid()
+    return apply(params, "score", gate * code).reshape(*offsets.shape[:2])
+
+
+def soft_edges(params: Params, x: np.ndarray, mask: np.ndarray, knn: int) -> tuple[Tensor, np.ndarray]:
+    """(graph, node, node) symmetric weights and offset differences: attention times raised cosine, for the most
+    similar nodes of each, with loops."""
+    g, n = x.shape[:2]
+    code = apply(params, "project", wrap(x))
+    unit = code / ((code * code).sum(-1) + 1e-12).sqrt()
+    alike = unit @ unit.permute(0, 2, 1)
+    moved = x[:, :, None, :3] - x[:, None, :, :3]
+    s = code.shape[-1]
+    pair = concat([code.reshape(g, n, 1, s) + np.zeros((1, 1, n, 1)), code.reshape(g, 1, n, s) + np.zeros((1, n, 1, 1)), apply(params, "dist", wrap(moved)).relu()])
+    strength = apply(params, "att2", apply(params, "att1", pair).leaky()).reshape(g, n, n).sigmoid()
+    both = mask[:, :, None] & mask[:, None, :]
+    ranked = np.argsort(-np.where(both, alike.data, -np.inf), axis=-1, kind="stable")[..., : min(knn, n - 1) + 1]
+    near = np.zeros((g, n, n), bool)
+    np.put_along_axis(near, ranked, True, axis=-1)
+    weights = strength * (alike * 0.5 + 0.5) * (near & both) + np.eye(n)[None] * mask[:, :, None]
+    half = (weights + weights.permute(0, 2, 1)) * 0.5
+    return half * (half.data > 1e-6), moved
+
+
+def from_pool(params: Params, batch: dict, sizes: Sizes) -> tuple[Tensor, Tensor]:
+    """Predictions and the regularising loss of the candidate model.
+
+    batch: features (graph, candidate, 4) as offsets and value, mask (graph, candidate). The loss is the normalised
+    entropy of the choice plus small multiples of the edges' sum and of their roughness.
+    """
+    mask = batch["mask"]
+    scores = node_scores(params, batch)
+    weights = (scores * (1 / sizes.temperature)).softmax(mask)
+    k = min(sizes.top_k, mask.shape[1])
+    order = np.argsort(-np.where(mask, scores.data, -np.inf), axis=-1, kind="stable")[:, :k]
+    row = np.arange(len(mask))[:, None]
+    chosen, held = batch["features"][row, order], mask[row, order]
+    adjacency, moved = soft_edges(params, chosen, held, sizes.knn)
+    x = wrap(chosen) * (weights.reshape(*mask.shape, 1).rows(order) + 1.0)  # the choice itself has a gradient
+    for layer in range(sizes.layers):
+        x = attend(params, f"gat{layer}", x, adjacency, moved, sizes.heads)
+    most = np.log(np.maximum(mask.sum(axis=1), 2))
+    entropy = (weights * (weights + 1e-10).log()).sum(-1, keep=False) * (-1 / most)
+    rough = np.square(chosen[:, :, None, 3] - chosen[:, None, :, 3])
+    total = lambda t: t.reshape(len(mask), -1).sum(-1, keep=False)
+    loss = entropy + total(adjacency) * 0.01 + total(adjacency * rough) * 0.005
+    return head(params, read(params, x, held, sizes.readout), sizes.activation), loss

@@ -1,0 +1,163 @@
+"""Scoring and training of the models over tables of graphs.
+
+Parameters are small and travel to every task; graphs stay where they are. Training is synchronous: each epoch every
+part of the data sums its gradients, one row a part comes back, and the driver takes one Adam step a round.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .network import Sizes, fixed_graphs, from_pool
+from .tensor import Tensor, wrap
+
+PARAMETERS = "name string, shape array<int>, values array<double>"
+
+
+def to_table(spark: SparkSession, params: dict[str, np.ndarray]) -> DataFrame:
+    """A checkpoint: one row a parameter."""
+    rows = [(k, list(v.shape), [float(x) for x in v.ravel()]) for k, v in sorted(params.items())]
+    return spark.createDataFrame(rows, PARAMETERS)
+
+
+def from_table(table: DataFrame) -> dict[str, np.ndarray]:
+    return {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in table.collect()}
+
+
+def fixed_batch(batch: pa.RecordBatch, edge_scale: float = 8.0) -> dict[str, np.ndarray]:
+    """Arrays of the tile path's rows: features are value (-1 at the centre) and scaled offsets."""
+    n = len(batch)
+    names = batch.schema.names
+    column = lambda c: batch.column(names.index(c))
+    size = np.diff(column("idx").offsets.to_numpy())
+    most = int(size.max()) + 1
+    graph, node = np.repeat(np.arange(n), size), column("idx").flatten().to_numpy()
+    features = np.zeros((n, most, 4))
+    features[:, 0, 0] = -1.0
+    features[graph, node, 0] = np.nan_to_num(column("value").flatten().to_numpy())
+    for i, c in enumerate(("dt", "dh", "dw"), 1):
+        features[graph, node, i] = column(c).flatten().to_numpy() / edge_scale
+    adjacency = np.zeros((n, most, most))
+    src = column("src").flatten().to_numpy()
+    owner = np.repeat(np.arange(n), np.diff(column("src").offsets.to_numpy()))
+    adjacency[owner, column("dst").flatten().to_numpy(), src] = 1.0  # targets hear their sources
+    adjacency[:, np.arange(most), np.arange(most)] = 1.0
+    return {"features": features, "adjacency": adjacency, "moved": features[:, :, None, 1:] - features[:, None, :, 1:]}
+
+
+def pool_batch(batch: pa.RecordBatch, edge_scale: float = 8.0) -> dict[str, np.ndarray]:
+    """Arrays of padded candidates: features are scaled offsets and value."""
+    names = batch.schema.names
+    cells = batch.column(names.index("candidates"))
+    flat, n = cells.flatten(), len(batch)
+    part = lambda c: flat.field(flat.type.get_field_index(c)).to_numpy(zero_copy_only=False).reshape(n, -1)
+    features = np.stack([part("dt") / edge_scale, part("dh") / edge_scale, part("dw") / edge_scale, part("value")], axis=-1)
+    return {"features": features, "mask": batch.column(names.index("mask")).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)}
+
+
+def forward(kind: str, params: dict[str, Tensor], batch: pa.RecordBatch, sizes: Sizes) -> tuple[Tensor, Tensor]:
+    if kind == "fixed":
+        found = fixed_graphs(params, fixed_batch(batch), sizes)
+        return found, wrap(np.zeros(len(batch)))
+    return from_pool(params, pool_batch(batch), sizes)
+
+
+def predict(graphs: DataFrame, params: dict[str, np.ndarray], sizes: Sizes, kind: str = "fixed", group: int = 64) -> DataFrame:
+    """graph_id, estimate for every row of graphs."""
+    sent = graphs.sparkSession.sparkContext.broadcast(params)  # a few thousand numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {k: wrap(v) for k, v in sent.value.items()}
+        for batch in batches:
+            for a in range(0, len(batch), group):
+                part = batch.slice(a, group)
+                found = forward(kind, held, part, sizes)[0]
+                yield pa.RecordBatch.from_pydict({"graph_id": part.column(part.schema.names.index("graph_id")), "estimate": pa.array(found.data)})
+
+    return graphs.mapInArrow(run, "graph_id long, estimate double")
+
+
+@dataclass
+class Adam:
+    """Adam with a slower rate for the parameters of ``slow`` names and clipping by the gradients' norm."""
+
+    rate: float = 1e-3
+    slow: tuple[str, ...] = ("pos1", "pos2", "gate", "score", "project", "dist", "att1", "att2")
+    slow_share: float = 0.1
+    clip: float = 1.0
+    decay: float = 1e-5
+
+    def __post_init__(self) -> None:
+        self.first, self.second, self.turn = {}, {}, 0
+
+    def step(self, params: dict, grads: dict, frozen: bool = False, rate: float | None = None) -> dict:
+        self.turn += 1
+        norm = np.sqrt(sum((g**2).sum() for g in grads.values()))
+        shrink = min(1.0, self.clip / max(norm, 1e-12))
+        out = {}
+        for k, p in params.items():
+            is_slow = k.split(".")[0] in self.slow
+            g = grads[k] * shrink + self.decay * p
+            self.first[k] = 0.9 * self.first.get(k, 0.0) + 0.1 * g
+            self.second[k] = 0.999 * self.second.get(k, 0.0) + 0.001 * g * g
+            moved = (self.first[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.second[k] / (1 - 0.999**self.turn)) + 1e-8)
+            out[k] = p if frozen and is_slow else p - (rate or self.rate) * (self.slow_share if is_slow else 1.0) * moved
+        return out
+
+
+def gradients(graphs: DataFrame, params: dict[str, np.ndarray], sizes: Sizes, kind: str, weight: float = 0.0, group: int = 64) -> tuple[dict, float, int]:
+    """Summed gradients, squared error and rows over graphs with a target; one row a partition comes to the driver."""
+    names = sorted(params)
+    sent = graphs.sparkSession.sparkContext.broadcast(params)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, loss, rows = None, 0.0, 0
+        for batch in batches:
+            for a in range(0, len(batch), group):
+                part = batch.slice(a, group)
+                held = {k: wrap(v) for k, v in sent.value.items()}
+                y = part.column(part.schema.names.index("target")).to_numpy(zero_copy_only=False).astype(float)
+                found, extra = forward(kind, held, part, sizes)
+                error = found - y
+                (error * error + extra * weight).sum(0).backward()
+                g = np.concatenate([(held[k].grad if held[k].grad is not None else np.zeros(held[k].shape)).ravel() for k in names])
+                total = g if total is None else total + g
+                loss, rows = loss + float((error.data**2).sum()), rows + len(y)
+        if rows:
+            yield pa.RecordBatch.from_pydict({"g": pa.array([total], pa.list_(pa.float64())), "loss": [loss], "n": [rows]})
+
+    found = graphs.where(F.col("target").isNotNull()).mapInArrow(run, "g array<double>, loss double, n long").collect()
+    n = max(1, sum(r["n"] for r in found))
+    total = np.sum([r["g"] for r in found], axis=0) / n if found else np.zeros(sum(params[k].size for k in names))
+    cuts = np.cumsum([params[k].size for k in names])[:-1]
+    return {k: g.reshape(params[k].shape) for k, g in zip(names, np.split(total, cuts), strict=True)}, sum(r["loss"] for r in found) / n, n
+
+
+def train(rows: DataFrame, validation: DataFrame, params: dict, sizes: Sizes, kind: str = "fixed", epochs: int = 10, rate: float = 5e-3, patience: int = 5, freeze_after: int = 100, parts: int = 8, weight: float = 0.01):
+    """(best parameters, history): rows and validation hold graphs and target; history has epoch, train_loss, val_loss.
+
+    The rate falls along a cosine; training stops after ``patience`` epochs without a better validation loss.
+    """
+    spark = rows.sparkSession
+    rows, validation = rows.repartition(parts).persist(), validation.repartition(parts).persist()
+    adam, history, best = Adam(rate), [], (float("inf"), params)
+    for epoch in range(epochs):
+        grads, loss, _ = gradients(rows, params, sizes, kind, weight)
+        now = rate * 0.5 * (1 + np.cos(np.pi * epoch / max(1, epochs)))
+        params = adam.step(params, grads, frozen=epoch >= freeze_after, rate=now)
+        scored = predict(validation, params, sizes, kind).join(validation.select("graph_id", "target"), "graph_id")
+        val = scored.agg(F.avg((F.col("estimate") - F.col("target")) ** 2)).first()[0]
+        val = float("inf") if val is None else val
+        history.append((epoch, float(loss), float(val)))
+        if val < best[0]:
+            best = (val, params)
+        elif epoch - min(history, key=lambda h: (h[2], h[0]))[0] >= patience:
+            break
+    rows.unpersist(), validation.unpersist()
+    return best[1], spark.createDataFrame(history, "epoch int, train_loss double, val_loss double")

@@ -1,0 +1,133 @@
+"""A small reverse-mode gradient tape over numpy arrays: what the models' layers need, no more."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+
+
+def fitted(grad: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Sums a gradient over the axes that broadcasting added."""
+    grad = grad.sum(axis=tuple(range(grad.ndim - len(shape)))) if grad.ndim > len(shape) else grad
+    wide = tuple(i for i, n in enumerate(shape) if n == 1 and grad.shape[i] != 1)
+    return grad.sum(axis=wide, keepdims=True) if wide else grad
+
+
+class Tensor:
+    def __init__(self, data, parents: tuple[tuple[Tensor, Callable], ...] = ()) -> None:
+        self.data, self.parents, self.grad = np.asarray(data, dtype=np.float64), parents, None
+
+    @property
+    def shape(self):
+        return self.data.shape
+
+    def __add__(self, other):
+        other = wrap(other)
+        return Tensor(self.data + other.data, ((self, lambda g: g), (other, lambda g: g)))
+
+    def __mul__(self, other):
+        other = wrap(other)
+        return Tensor(self.data * other.data, ((self, lambda g: g * other.data), (other, lambda g: g * self.data)))
+
+    def __matmul__(self, other):
+        other = wrap(other)
+        flip = lambda x: np.swapaxes(x, -1, -2)
+        return Tensor(self.data @ other.data, ((self, lambda g: g @ flip(other.data)), (other, lambda g: flip(self.data) @ g)))
+
+    def __sub__(self, other):
+        return self + wrap(other) * -1.0
+
+    def __truediv__(self, other):
+        return self * wrap(other).map(lambda x: 1 / x, lambda x, y: -y * y)
+
+    def map(self, f: Callable, slope: Callable) -> Tensor:
+        """Element by element; slope takes x and f(x)."""
+        y = f(self.data)
+        return Tensor(y, ((self, lambda g: g * slope(self.data, y)),))
+
+    def exp(self):
+        return self.map(np.exp, lambda x, y: y)
+
+    def log(self):
+        return self.map(np.log, lambda x, y: 1 / x)
+
+    def sqrt(self):
+        return self.map(np.sqrt, lambda x, y: 0.5 / y)
+
+    def sigmoid(self):
+        return self.map(lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40))), lambda x, y: y * (1 - y))
+
+    def tanh(self):
+        return self.map(np.tanh, lambda x, y: 1 - y * y)
+
+    def relu(self):
+        return self.leaky(0.0)
+
+    def leaky(self, slope: float = 0.2):
+        return self.map(lambda x: np.where(x > 0, x, slope * x), lambda x, y: np.where(x > 0, 1.0, slope))
+
+    def elu(self):
+        return self.map(lambda x: np.where(x > 0, x, np.expm1(np.minimum(x, 0))), lambda x, y: np.where(x > 0, 1.0, y + 1))
+
+    def gelu(self):
+        inner = (self + self * self * self * 0.044715) * np.sqrt(2 / np.pi)
+        return self * (inner.tanh() + 1.0) * 0.5
+
+    def sum(self, axis: int, keep: bool = True):
+        spread = lambda g: np.broadcast_to(g if keep else np.expand_dims(g, axis), self.shape)
+        return Tensor(self.data.sum(axis=axis, keepdims=keep), ((self, spread),))
+
+    def mean(self, axis: int, keep: bool = True):
+        return self.sum(axis, keep) * (1 / self.shape[axis])
+
+    def reshape(self, *shape: int):
+        return Tensor(self.data.reshape(shape), ((self, lambda g: g.reshape(self.shape)),))
+
+    def permute(self, *axes: int):
+        return Tensor(self.data.transpose(axes), ((self, lambda g: g.transpose(np.argsort(axes))),))
+
+    def rows(self, index: np.ndarray):
+        """Takes index (batch, k) of the second axis of (batch, n, f)."""
+
+        def back(g):
+            out = np.zeros(self.shape)
+            np.add.at(out, (np.arange(len(index))[:, None], index), g)
+            return out
+
+        return Tensor(self.data[np.arange(len(index))[:, None], index], ((self, back),))
+
+    def softmax(self, mask: np.ndarray | None = None):
+        """Over the last axis; masked places get exactly 0, and so does a row without any other."""
+        x = self.data if mask is None else np.where(mask, self.data, -np.inf)
+        top = x.max(axis=-1, keepdims=True)
+        e = np.exp(x - np.where(np.isfinite(top), top, 0))
+        y = e / np.maximum(e.sum(axis=-1, keepdims=True), 1e-300)
+        return Tensor(y, ((self, lambda g: y * (g - (g * y).sum(axis=-1, keepdims=True))),))
+
+    def backward(self) -> None:
+        order, seen, stack = [], set(), [(self, False)]
+        while stack:
+            node, done = stack.pop()
+            if done:
+                order.append(node)
+            elif id(node) not in seen:
+                seen.add(id(node))
+                stack.append((node, True))
+                stack += [(p, False) for p, _ in node.parents]
+        self.grad = np.ones(self.shape)
+        for node in reversed(order):
+            for parent, pull in node.parents:
+                g = fitted(np.asarray(pull(node.grad)), parent.shape)
+                parent.grad = g if parent.grad is None else parent.grad + g
+
+
+def wrap(x) -> Tensor:
+    return x if isinstance(x, Tensor) else Tensor(x)
+
+
+def concat(parts: list[Tensor]) -> Tensor:
+    """Along the last axis."""
+    ends = np.cumsum([p.shape[-1] for p in parts])
+    cut = lambda i: lambda g: g[..., ends[i] - parts[i].shape[-1] : ends[i]]
+    return Tensor(np.concatenate([p.data for p in parts], axis=-1), tuple((p, cut(i)) for i, p in enumerate(parts)))
