@@ -68,11 +68,11 @@ def quality_map(voxels: DataFrame, config: QualityConfig = QualityConfig()) -> D
 
 def node_count(q: Column, config: QualityConfig) -> Column:
     """An even number of neighbours between the bounds, from a base scaled by quality; the base itself without quality."""
-    q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))
-    n = F.bround(config.n_base * (config.offset + config.slope * q)).cast("int")
+    held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))
+    n = F.bround(config.n_base * (config.offset + config.slope * held)).cast("int")
     n = F.greatest(F.lit(config.n_min), F.least(F.lit(config.n_max), n))
     n = n + n % 2
-    return F.coalesce(F.when(n > config.n_max, n - 2).otherwise(n), F.lit(config.n_base))
+    return F.when(q.isNull(), F.lit(config.n_base)).when(n > config.n_max, n - 2).otherwise(n)
 
 
 def with_node_count(centers: DataFrame, qualities: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:  # noqa: B008
