@@ -92,6 +92,25 @@ def select_nodes(cells: DataFrame, config: GraphConfig) -> DataFrame:
     return kept.withColumn("idx", (F.col("k") - 1) * 6 + F.col("quadrant")).drop("quota", "k")
 
 
+def select_at(cells: DataFrame, config: GraphConfig) -> DataFrame:
+    """As select_nodes, of cells extracted at ext_range and no further: there is one radius, so one sort does."""
+    n = F.col("n") if "n" in cells.columns else F.lit(config.search_node)
+    near = Window.partitionBy("graph_id", "quadrant").orderBy(*ORDER)
+    ranked = cells.withColumn("quota", quota(n)).withColumn("k", F.row_number().over(near)).where(F.col("k") <= F.col("quota"))
+    full = F.count_if(F.col("k") == F.col("quota")).over(Window.partitionBy("graph_id")) == F.least(n, F.lit(6))
+    kept = ranked.withColumn("full", full).where("full").withColumn("radius", F.lit(config.ext_range))
+    return kept.withColumn("idx", (F.col("k") - 1) * 6 + F.col("quadrant")).drop("quota", "k", "full")
+
+
+def nodes_of(centers: DataFrame, voxels: DataFrame, config: GraphConfig) -> DataFrame:
+    """select_nodes of all centres: at ext_range first, and over the whole reach for those alone that stay short there."""
+    first = select_at(measured(extract(centers, voxels, config.ext_range)), config)
+    if not config.max_ext:
+        return first
+    left = centers.join(first.select("graph_id").distinct(), "graph_id", "left_anti").select(*centers.columns)
+    return first.unionByName(select_nodes(measured(extract(left, voxels, config.reach)), config))
+
+
 def inside_grid(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     """Without graphs whose final cube leaves the grid."""
     held = F.lit(True)

@@ -40,7 +40,7 @@ def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], co
     Centres whose final cube leaves the grid, or whose quadrants stay short of their quota, make no graph.
     """
     cells = N.measured(N.extract(centers, voxels, config.reach))
-    nodes = N.inside_grid(N.select_nodes(cells, config), shape)
+    nodes = N.inside_grid(N.nodes_of(centers, voxels, config), shape)
     truth = centers.join(voxels.select("t", "h", "w", "value"), ["t", "h", "w"], "left")
     return Graphs(truth, nodes, E.all_edges(nodes), cells)
 
