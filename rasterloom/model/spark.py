@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .network import Sizes, fixed_graphs, from_pool
 from .tensor import Tensor, wrap
 
@@ -70,7 +71,7 @@ def forward(kind: str, params: dict[str, Tensor], batch: pa.RecordBatch, sizes:
 
 def predict(graphs: DataFrame, params: dict[str, np.ndarray], sizes: Sizes, kind: str = "fixed", group: int = 64) -> DataFrame:
     """graph_id, estimate for every row of graphs."""
-    sent = graphs.sparkSession.sparkContext.broadcast(params)  # a few thousand numbers
+    sent = ship(graphs.sparkSession).sparkContext.broadcast(params)  # a few thousand numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: wrap(v) for k, v in sent.value.items()}
@@ -114,7 +115,7 @@ class Adam:
 def gradients(graphs: DataFrame, params: dict[str, np.ndarray], sizes: Sizes, kind: str, weight: float = 0.0, group: int = 64) -> tuple[dict, float, int]:
     """Summed gradients, squared error and rows over graphs with a target; one row a partition comes to the driver."""
     names = sorted(params)
-    sent = graphs.sparkSession.sparkContext.broadcast(params)
+    sent = ship(graphs.sparkSession).sparkContext.broadcast(params)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, loss, rows = None, 0.0, 0

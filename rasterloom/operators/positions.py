@@ -49,13 +49,13 @@ def draw(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def shuffled(rows: DataFrame, by: str, seed: int, keys: tuple[str, ...], parts: int = 64) -> DataFrame:
+def shuffled(rows: DataFrame, by: str, seed: int, keys: tuple[str, ...], parts: int = 4096) -> DataFrame:
     """Adds ordinal (from 1, in draw order) and population within each ``by``.
 
     Draws are split into ranges that are ranked apart and offset by the sums of those before, so that a class that
     holds most rows is not sorted in one task.
     """
-    cell = F.floor(F.col("draw") / ((1 << 60) // parts)).cast("int")
+    cell = F.floor(F.col("draw") / ((1 << 60) // parts)).cast("int")  # parts divides 2 to the 60
     drawn = rows.withColumn("draw", draw(seed, *keys)).withColumn("cell", cell)
     counts = drawn.groupBy(by, "cell").agg(F.count("*").alias("n"))  # parts rows a class
     before = Window.partitionBy(by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GraphConfig
+from ..shipping import ship
 
 SCHEMA = (
     "graph_id long, t int, h int, w int, radius int, idx array<int>, dt array<int>, dh array<int>, dw array<int>, value array<float>, "
@@ -143,6 +144,7 @@ def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], co
     A tile's block has at most the product of size plus twice the reach cells, whatever the cube. ``mode='compat'``
     replays the scan that skips cells; its node sets differ where cells are missing.
     """
+    ship(centers.sparkSession)
     reach, limits = config.reach, config.limits
     halo = voxels.where(F.col("value").isNotNull()).select("t", "h", "w", "value")
     for c, n, total in zip("thw", size, shape, strict=True):

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.raster import stack_year
+from ..shipping import ship
 
 #: The form of a frame's file name: four digits of the year, three of its day.
 NAME = r"(\d{4})(\d{3})_50KM\.(?:tif|npy)$"
@@ -61,7 +62,7 @@ def read(spark: SparkSession, folder: str, pattern: str = "*.tif", year: int | N
 
     Each file is decoded by itself in a task, so only one frame at a time is in a worker's memory.
     """
-    wanted = scan(spark, folder, pattern, year)
+    wanted = scan(ship(spark), folder, pattern, year)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shipping import ship
+
 
 @dataclass
 class Slab(InputPartition):
@@ -53,7 +55,7 @@ class CubeSource(DataSource):
 
 def read(spark: SparkSession, data: str, quality: str | None = None, days: int = 16):
     """t, h, w, raw and, where a second file gives it, quality of a cube."""
-    spark.dataSource.register(CubeSource)
+    ship(spark).dataSource.register(CubeSource)
     cube = spark.read.format("npycube").option("days", days).load(data)
     if quality is None:
         return cube
