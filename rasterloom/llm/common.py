@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shipping import ship
+
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark so that any of its file systems works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +57,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | None]], sch
     """Arrow batches through a plain function of a row's values; ``make`` runs once a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,6 +75,7 @@ def flat_rows(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], sch
     """As map_rows, with any number of result rows for a row, sent on in batches of about ``many``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship(df.sparkSession)
     arrow = to_arrow_schema(schema)
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import components, table, written
 
 
@@ -70,7 +71,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 4096, block
     non-finite components link with nothing, nor do vectors of different dimensions. Repeated ids count as vectors of
     their own; where vec_id is null, component_id and kept are null too if nothing links. Other columns aren't read.
     """
-    spark, reach = vectors.sparkSession, math.sqrt(2 - 2 * least)
+    spark, reach = ship(vectors.sparkSession), math.sqrt(2 - 2 * least)
     rows = vectors.select("vec_id", "embedding", usable().alias("fit"))
     fit = rows.where("fit")
     distinct = fit.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from ..shipping import ship
 from .common import flat_rows, table, whole_text, written
 
 #: The tokens of a sequence and the id that ends a document.
@@ -198,7 +199,7 @@ def pack(cut: DataFrame, room: int = ROOM, group: int = 4096) -> DataFrame:
     cells = written(cells.select("length", "cell", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above")), "cells")
     own = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32", "start"))
     ranked = keyed.withColumn("own", own - 1).join(cells, ["length", "cell"]).withColumn("rank", F.col("own") + F.col("above"))
-    spots = cut.sparkSession.sparkContext.broadcast(plan.places())  # a row for each slot of each pattern: bounded by room and rounds
+    spots = ship(cut.sparkSession).sparkContext.broadcast(plan.places())  # a row for each slot of each pattern: bounded by room and rounds
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):

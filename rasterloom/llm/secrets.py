@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import map_rows, whole_text
+from ..shipping import ship
+from .common import map_rows, table, whole_text
 
 #: The kinds, in the order that breaks ties between spans of one start.
 KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
@@ -164,17 +165,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(docs: DataFrame) -> DataFrame:
     """The documents, in all their columns, with secrets replaced in ``text``; null texts stay null."""
 
-    def each(text):
-        return (redacted(text, base_spans(text) + confirmed_spans(text)),)
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def clean(texts):
+        return texts.map(lambda t: t if t is None else redacted(t, base_spans(t) + confirmed_spans(t)))
 
-    clean = F.pandas_udf(lambda texts: texts.map(lambda t: t if t is None else each(t)[0]), "string")
     return docs.withColumn("text", clean("text"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     """Spans of every document as the digest columns of the query."""
-    from .common import table
-
     found = scan(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

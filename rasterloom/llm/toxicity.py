@@ -9,13 +9,16 @@ summed, normalised by its length, and a logistic fit turns the sum into a score.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ..shipping import ship
 from .common import flat_rows, map_rows, remainder, table, whole_text, written
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -162,10 +165,13 @@ def rater(model: Model):
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """The documents, in all their columns, that score under the limit; null texts score as empty ones."""
     model = train(docs, labels)
+    ship(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def rated(texts):
-        return texts.fillna("").map(rater(model))
+    def rated(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rate = rater(model)  # one automaton a task
+        for texts in parts:
+            yield texts.fillna("").map(rate)
 
     return docs.where(rated(F.col("text")) < limit)
 
