@@ -53,8 +53,11 @@ def remainder(col: str, divisor: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(divisor))
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | None]], schema: StructType) -> DataFrame:
-    """Arrow batches through a plain function of a row's values; ``make`` runs once a task."""
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: StructType, many: int = 256) -> DataFrame:
+    """Arrow batches through a plain function of a row's values; ``make`` runs once a task.
+
+    ``many`` rows at a time are plain objects and are sent on, so long values do not pile up.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     ship(df.sparkSession)
@@ -63,10 +66,10 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple | None]], sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            out = [each(*row) for row in rows]
-            columns = list(zip(*out, strict=True)) or [()] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            for at in range(0, batch.num_rows, many):
+                rows = zip(*(c.to_pylist() for c in batch.slice(at, many).columns), strict=True)
+                columns = zip(*[each(*row) for row in rows], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -84,11 +87,12 @@ def flat_rows(df: DataFrame, make: Callable[[], Callable[..., list[tuple]]], sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, out = make(), []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += each(*row)
-                if len(out) >= many:
-                    yield batch_of(out)
-                    out = []
+            for at in range(0, batch.num_rows, 256):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    out += each(*row)
+                    if len(out) >= many:
+                        yield batch_of(out)
+                        out = []
         if out:
             yield batch_of(out)
 
