@@ -184,7 +184,7 @@ def solve(histogram: dict[int, int], room: int = ROOM, rounds: int = 300, eta: f
     return plan
 
 
-def pack(cut: DataFrame, room: int = ROOM, group: int = 4096) -> DataFrame:
+def pack(cut: DataFrame, room: int = ROOM, group: int = 512) -> DataFrame:
     """The stored pieces with sequence_id and offset.
 
     Ranks of equal lengths are counted in groups of about ``group`` rows by hash, whose sizes are summed up first:
