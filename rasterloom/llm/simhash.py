@@ -92,12 +92,21 @@ def shard_keys(fp: str, blocks: int, radius: int) -> list:
     return keys
 
 
-def links(reps: DataFrame, radius: int = 4, blocks: int = 6, tree: int = 512) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest blocks, from two over the radius on, whose shards would hold at most 64 of n even fingerprints.
+
+    More blocks mean more keys a fingerprint but longer ones; every choice finds all links.
+    """
+    return next((b for b in range(radius + 2, 2 * radius + 2) if n >> (64 * (b - radius) // b) <= 64), 2 * radius + 2)
+
+
+def links(reps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int = 512) -> DataFrame:
     """Edges (a, b) that connect the ids of all fingerprints within the radius of one another.
 
-    ``reps`` has one row (fp, rep) for each different fingerprint. A shard over ``tree`` rows is split into parts by
+    ``reps`` has one stored row (fp, rep) for each different fingerprint. A shard over ``tree`` rows is split into parts by
     hash, and each pair of parts is a task's group of its own: a tree of one part, queried with the other.
     """
+    blocks = blocks or blocks_for(reps.count(), radius)
     keyed = reps.select("fp", "rep", F.explode(F.array(*shard_keys("fp", blocks, radius))).alias("key")).select("fp", "rep", "key.*")
     sizes = written(keyed.groupBy("choice", "bits").count().where("count > 1"), "shards")
     parts = F.ceil(F.col("count") / tree).cast("int")

@@ -452,3 +452,16 @@ def test_chains_score_as_the_quadratic_program(anchors):
         total += min(nxt[0] - at[0], nxt[1] - at[1], k) - gap * (nxt[0] - at[0] + nxt[1] - at[1] - 2 * k)
         at = nxt
     assert total <= max(score) + 1e-9
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_any_number_of_blocks_finds_all_links(spark, blocks):
+    rng = np.random.default_rng(blocks)
+    prints = {int(x) for x in rng.integers(0, 1 << 63, 30)}
+    for p in list(prints):
+        for flips in (1, 4, 5):
+            prints.add(p ^ sum(1 << int(b) for b in rng.choice(64, flips, replace=False)))
+    prints = sorted(prints)
+    rows = [(p - (1 << 64) if p >> 63 else p, i) for i, p in enumerate(prints)]
+    got = {r.id: r.component for r in components(simhash.links(spark.createDataFrame(rows, "fp long, rep long"), blocks=blocks)).collect()}
+    assert [got.get(i, i) for i in range(len(prints))] == brute_classes(len(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
