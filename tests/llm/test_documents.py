@@ -425,6 +425,32 @@ def test_passages_of_fifty_words_are_found(spark):
     assert set(got) == {1, 2, 3}
 
 
+def test_passages_on_both_sides_of_other_text_are_found(spark):
+    from conftest import prose
+
+    one, two, line = prose(21, 200), prose(22, 160), prose(23, 30) + " "
+    rows = [
+        (1, f"{prose(111, 100)} {one} {prose(112, 400)} {two} {prose(113, 50)}"), (2, f"{prose(114, 30)} {one} {prose(115, 380)} {two}"),
+        (3, line * 6 + prose(116, 40)), (4, prose(117, 40) + " " + line * 4),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.passages(df)
+    got = {(r.doc_id, r.start, r.end) for r in found.collect()}
+    assert {(1, 100, 300), (1, 700, 860), (2, 30, 230), (2, 610, 770)} <= got
+    assert {3, 4} <= {d for d, _, _ in got}
+    assert got == {(r.doc_id, r.start, r.end) for r in passages.passages(df.repartition(4)).collect()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
+def test_shared_words_equal_the_table(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    assert passages.same_words(a, b) == table[-1][-1]
+
+
 @pytest.mark.parametrize("which", ["odd", "clashing", "none"])
 def test_passages_on_odd_rows(request, which):
     found = passages.passages(request.getfixturevalue(which)).collect()
