@@ -109,18 +109,24 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found + [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
 
 
+def key_kind(raw: str) -> str:
+    """der, ssh or nothing: what a run of base64 without its padding decodes to."""
+    try:
+        data = base64.b64decode(raw + "=" * (-len(raw) % 4))
+    except binascii.Error:
+        return ""
+    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else ""
+
+
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of what decodes to a key or a signed token."""
     found = [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
     for m in KEY64.finditer(text):
-        raw = "".join(m[0].split()).rstrip("=")
-        try:
-            data = base64.b64decode(raw + "=" * (-len(raw) % 4))
-        except binascii.Error:
-            continue
-        kind = "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else ""
-        if kind:
-            found.append((m.start(), kind, m.end()))
+        # lines below may belong to the key or be other text
+        for run in dict.fromkeys((m[0], m[0].split()[0])):
+            if kind := key_kind("".join(run.split()).rstrip("=")):
+                found.append((m.start(), kind, m.start() + len(run)))
+                break
     for m in KEYHEX.finditer(text):
         if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
             found.append((m.start(), "der", m.end()))

@@ -142,6 +142,7 @@ def test_structures_are_confirmed_and_lookalikes_are_not():
         wrapped = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
         assert kinds(f"x {text} y") == [kind]
         assert kinds(f"-----BEGIN KEY-----\n{wrapped}\n-----END KEY-----") == [kind]
+        assert kinds(f"{text}\nHello there") == [kind]
     assert kinds(RSA.hex()) == ["der"]
     assert kinds(token({"alg": "HS256", "typ": "JWT"})) == ["jwt"]
     broken = bytearray(RSA)
