@@ -11,10 +11,11 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import CleanConfig, GraphConfig
+from .config import CandidateConfig, CleanConfig, GraphConfig, HeterogeneityConfig, QualityConfig
 from .model import spark as learned
 from .model.network import Sizes, initial
-from .operators import fill, positions
+from .operators import fill, graphs, positions
+from .operators import neighborhood as N
 from .operators.raster import clean
 from .plans import builders, tiled
 from .sources import frames, npy, sinks
@@ -31,13 +32,19 @@ def parser() -> argparse.ArgumentParser:
         for flag, value in (("search-node", 32), ("ext-range", 6), ("max-ext", 20), ("sample-per-class", 20_000), ("edge-time", 50), ("edge-height", 50), ("edge-width", 50), ("seed", 0)):
             one.add_argument(f"--{flag}", type=int, default=value)
         one.add_argument("--edge-scale", type=float, default=8.0)
-        one.add_argument("--path", choices=("relational", "tiled"), default="tiled")
+        one.add_argument("--path", choices=("relational", "tiled"), default="tiled", help="how plain graphs are built")
+        one.add_argument("--scheme", choices=("plain", "a", "b", "c"), default="plain", help="a: node counts by quality, b: weights by heterogeneity, c: candidate pools")
+        for flag, value in (("initial-radius", 4), ("max-radius", 20)):
+            one.add_argument(f"--{flag}", type=int, default=value, help="of scheme c's pools")
         if name in ("fit", "fill"):
             one.add_argument("--model", required=True, help="folder of the parameter table")
             for flag, value in (("hidden-dim", 16), ("num-heads", 2), ("num-layers", 2), ("epochs", 20), ("patience", 5)):
                 one.add_argument(f"--{flag}", type=int, default=value)
             one.add_argument("--lr", type=float, default=5e-3)
             one.add_argument("--split", type=float, default=0.8)
+        if name == "fit":
+            one.add_argument("--build-only", action="store_true", help="stop once the graphs are stored")
+            one.add_argument("--rebuild", action="store_true", help="build graphs even where an earlier run has stored them")
     convert = modes.add_parser("convert", help="a year's folder of frames to a cube")
     convert.add_argument("--input", required=True)
     convert.add_argument("--output", required=True)
@@ -66,9 +73,25 @@ def graph_config(args) -> GraphConfig:
     return replace(GraphConfig(), **{n: getattr(args, n) for n in names})
 
 
-def graphs_of(centers: DataFrame, voxels: DataFrame, shape, config: GraphConfig, path: str) -> DataFrame:
-    """graph_id and the arrays of the tile path, or the packed structs of the relational one."""
-    return tiled.build(centers, voxels, shape, config) if path == "tiled" else builders.build(centers, voxels, shape, config).packed(config.edge_scale)
+def graphs_of(centers: DataFrame, voxels: DataFrame, shape, config: GraphConfig, args) -> DataFrame:
+    """graph_id and, by scheme: the tile path's arrays or packed structs, packed structs (b: with het and weights), or padded candidates."""
+    if args.scheme == "a":
+        return builders.adaptive_nodes(centers, voxels, shape, config, QualityConfig()).packed(config.edge_scale)
+    if args.scheme == "b":
+        made, weights = builders.weighted(centers, voxels, shape, config, HeterogeneityConfig())
+        return made.packed(config.edge_scale).join(weights.select("graph_id", "het", "w_spatial", "w_temporal"), "graph_id")
+    if args.scheme == "c":
+        pools = CandidateConfig(initial_radius=args.initial_radius, max_radius=args.max_radius)
+        return graphs.padded(N.candidates(centers, voxels, pools), pools.pool)
+    return tiled.build(centers, voxels, shape, config) if args.path == "tiled" else builders.build(centers, voxels, shape, config).packed(config.edge_scale)
+
+
+def model_rows(centers: DataFrame, voxels: DataFrame, shape, config: GraphConfig, args) -> DataFrame:
+    """Graphs in the form that the scheme's model reads."""
+    if args.scheme == "plain":
+        return tiled.build(centers, voxels, shape, config)
+    made = graphs_of(centers, voxels, shape, config, args)
+    return made if args.scheme == "c" else graphs.arrays(made)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -81,17 +104,21 @@ def main(argv: list[str] | None = None) -> None:
     config = graph_config(args)
     edges = (config.edge_time, config.edge_height, config.edge_width)
     if args.mode in ("train", "fit"):
-        centers = positions.training_centers(voxels, shape, config).withColumn("graph_id", F.col("class").cast("long") * 1_000_000_000 + F.col("sample_id"))
+        how = {"replace": False, "bounds": "left_closed"} if args.scheme == "c" else {}
+        centers = positions.training_centers(voxels, shape, config, **how).withColumn("graph_id", F.col("class").cast("long") * 1_000_000_000 + F.col("sample_id"))
         labelled = centers.join(voxels.select("t", "h", "w", F.col("value").cast("double").alias("target")), ["t", "h", "w"]).select("graph_id", "class", "target")
-        path = "tiled" if args.mode == "fit" else args.path
-        made = graphs_of(centers, voxels, shape, config, path).join(labelled, "graph_id")
         if args.mode == "train":
+            made = graphs_of(centers, voxels, shape, config, args).join(labelled, "graph_id")
             sinks.write_training(made, args.output, config.search_node, config.sample_per_class)
             return
-        made = sinks.built_once(spark, f"{args.output}/graphs", lambda: positions.split(made, ("graph_id",), args.split))
+        build = lambda: positions.split(model_rows(centers, voxels, shape, config, args).join(labelled, "graph_id"), ("graph_id",), args.split)
+        made = sinks.built_once(spark, f"{args.output}/graphs_{args.scheme}", build, args.rebuild)
+        if args.build_only:
+            return
+        kind = "candidate" if args.scheme == "c" else "fixed"
         sizes = Sizes(hidden=args.hidden_dim, heads=args.num_heads, layers=args.num_layers)
         best, history = learned.train(
-            made.where("part = 'train'"), made.where("part = 'val'"), initial(sizes, "fixed", args.seed), sizes, epochs=args.epochs, rate=args.lr, patience=args.patience
+            made.where("part = 'train'"), made.where("part = 'val'"), initial(sizes, kind, args.seed), sizes, kind, epochs=args.epochs, rate=args.lr, patience=args.patience
         )
         learned.to_table(spark, best).write.mode("overwrite").parquet(args.model)
         history.write.mode("overwrite").parquet(f"{args.output}/history")
@@ -99,11 +126,11 @@ def main(argv: list[str] | None = None) -> None:
     gaps = builders.numbered(positions.missing(voxels, shape, edges), shape)
     if args.mode == "predict":
         days = gaps.select("graph_id", (F.col("t") - edges[0]).alias("day"))
-        sinks.write_prediction(graphs_of(gaps, voxels, shape, config, args.path).join(days, "graph_id"), args.output, config.search_node)
+        sinks.write_prediction(graphs_of(gaps, voxels, shape, config, args).join(days, "graph_id"), args.output, config.search_node)
         return
     sizes = Sizes(hidden=args.hidden_dim, heads=args.num_heads, layers=args.num_layers)
     params = learned.from_table(spark.read.parquet(args.model))
-    scored = learned.predict(tiled.build(gaps, voxels, shape, config), params, sizes).join(gaps, "graph_id")
+    scored = learned.predict(model_rows(gaps, voxels, shape, config, args), params, sizes, "candidate" if args.scheme == "c" else "fixed").join(gaps, "graph_id")
     sinks.write_cube(fill.write_back(voxels, scored), args.output)
 
 

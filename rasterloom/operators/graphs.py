@@ -33,6 +33,14 @@ def pack(centers: DataFrame, nodes: DataFrame, edges: DataFrame, edge_scale: flo
     return full.select("graph_id", F.struct("t", "h", "w").alias("position"), F.concat(F.array(own), F.col("nodes")).alias("nodes"), F.transform("edges", lambda e: e.dropFields("ordinal")).alias("edges"))
 
 
+def arrays(packed: DataFrame) -> DataFrame:
+    """Packed graphs in the tile path's columns: arrays of the neighbours, without the centre, and of the edges' ends."""
+    rest = F.slice("nodes", F.lit(2), F.size("nodes"))
+    node = lambda field, name: F.transform(rest, lambda n: n[field]).alias(name)
+    ends = [F.transform("edges", lambda e: e["src"]).alias("src"), F.transform("edges", lambda e: e["dst"]).alias("dst")]
+    return packed.select("graph_id", *[node(c, c) for c in ("idx", "dt", "dh", "dw")], node("feature", "value"), *ends)
+
+
 def unpack_nodes(packed: DataFrame) -> DataFrame:
     return packed.select("graph_id", F.inline("nodes"))
 

@@ -93,8 +93,8 @@ def first_draws(rows: DataFrame, n: int, keys: tuple[str, ...], seed: int = 0) -
     return rows.orderBy(draw(seed, *keys), *keys).limit(n)
 
 
-def training_centers(voxels: DataFrame, shape: tuple[int, int, int], config: GraphConfig) -> DataFrame:
-    """Sampled centres of every class in the region: class, sample_id, t, h, w."""
+def training_centers(voxels: DataFrame, shape: tuple[int, int, int], config: GraphConfig, replace: bool = True, bounds: str = "open") -> DataFrame:
+    """Sampled centres of every class in the region: class, sample_id, t, h, w. Without ``replace`` small classes come once."""
     edges = (config.edge_time, config.edge_height, config.edge_width)
-    rows = classify(present(voxels, shape, edges), config.breaks).where("class > 0")
-    return stratified_sample(rows.select("class", "t", "h", "w"), config.sample_per_class, config.seed)
+    rows = classify(present(voxels, shape, edges), config.breaks, bounds).where("class > 0")
+    return stratified_sample(rows.select("class", "t", "h", "w"), config.sample_per_class, config.seed, replace=replace)

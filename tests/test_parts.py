@@ -199,3 +199,22 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "p" / "graph_32_forPred")).count() > 0
     cli.main(["train", *common, "--output", str(tmp_path / "t"), "--path", "relational"])
     assert spark.read.parquet(str(tmp_path / "t" / "graph_10_32_forTrain")).where("class is not null").count() > 0
+
+
+@pytest.mark.parametrize("scheme", ["a", "b", "c"])
+def test_command_line_schemes(spark, tmp_path, scheme):
+    store, out = str(tmp_path / "in"), str(tmp_path / scheme)
+    synthetic.cube(spark, SHAPE).write.parquet(store)
+    common = ["--input", store, "--ext-range", "3", "--max-ext", "1", "--edge-time", "4", "--edge-height", "4", "--edge-width", "4", "--sample-per-class", "6", "--scheme", scheme, "--max-radius", "4", "--output", out]
+    fit = ["--model", f"{out}/model", "--epochs", "1", "--hidden-dim", "8"]
+    cli.main(["fit", *common, *fit, "--build-only"])
+    made = spark.read.parquet(f"{out}/graphs_{scheme}")
+    assert {r.part for r in made.select("part").distinct().collect()} == {"train", "val"}
+    if scheme == "a":
+        assert {r.n % 2 for r in made.select(F.size("idx").alias("n")).collect()} == {0}
+    cli.main(["fit", *common, *fit])
+    cli.main(["fill", *common[:-1], f"{out}/cube", *fit])
+    assert spark.read.parquet(f"{out}/cube").where("was_gap and filled is not null").count() > 0
+    cli.main(["train", *common])
+    kept = spark.read.parquet(f"{out}/graph_6_32_forTrain")
+    assert {"a": "nodes", "b": "het", "c": "candidates"}[scheme] in kept.columns and kept.count() > 0
