@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from .common import Union, components, flat_rows, map_rows, table, whole_text, written
 
@@ -22,18 +22,22 @@ from .common import Union, components, flat_rows, map_rows, table, whole_text, w
 SEED = 42
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """The 64-bit SimHash of the shingles of ``words`` words, repeats included; 0 without a word."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The hashes of all shingles of ``words`` words, repeats included; of fewer words, that of the whole sequence."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.empty(0, "<u8")
     flat = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(found))
     spans = zip(starts[: len(found) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(flat[a:b], SEED) for a, b in spans], dtype="<u8")
+    return np.array([digest(flat[a:b], SEED) for a, b in spans], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -42,6 +46,21 @@ def fingerprint(text: str, words: int = 4) -> int:
     return sum(1 << int(b) for b in over)
 
 
+def fingerprint(text: str, words: int = 4) -> int:
+    """The 64-bit SimHash of the shingles of ``words`` words, repeats included; 0 without a word."""
+    return majority(shingle_hashes(text, words))
+
+
+def smallest(hashes: np.ndarray, size: int) -> np.ndarray:
+    """MinHash: for each of ``size`` fixed permutations the smallest image of the hashes; the largest number if none."""
+    rng = np.random.default_rng(SEED)
+    factor, shift = (rng.integers(0, 1 << 64, size, np.uint64)[:, None] for _ in range(2))
+    found, hashes = np.full(size, np.iinfo(np.uint64).max), np.unique(hashes)
+    for at in range(0, len(hashes), 2048):
+        found = np.minimum(found, (hashes[None, at : at + 2048] * (factor | np.uint64(1)) + shift).min(axis=1))
+    return found
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -50,9 +69,9 @@ class BKTree:
     """Children keyed by integer Hamming distance to their parent."""
 
     def __init__(self) -> None:
-        self.nodes: list[tuple[int, int, dict[int, int]]] = []
+        self.nodes: list[tuple[int, object, dict[int, int]]] = []
 
-    def add(self, key: int, value: int) -> None:
+    def add(self, key: int, value) -> None:
         self.nodes.append((key, value, {}))
         if len(self.nodes) == 1:
             return
@@ -65,7 +84,7 @@ class BKTree:
                 return
             at = children[d]
 
-    def within(self, key: int, radius: int) -> list[int]:
+    def within(self, key: int, radius: int) -> list:
         found, left = [], [0] if self.nodes else []
         while left:
             near, value, children = self.nodes[left.pop()]
@@ -107,28 +126,40 @@ def links(reps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int
     hash, and each pair of parts is a task's group of its own: a tree of one part, queried with the other.
     """
     blocks = blocks or blocks_for(reps.count(), radius)
-    keyed = reps.select("fp", "rep", F.explode(F.array(*shard_keys("fp", blocks, radius))).alias("key")).select("fp", "rep", "key.*")
+    keyed = reps.select("fp", "rep", F.lit(None).cast("binary").alias("sketch"), F.explode(F.array(*shard_keys("fp", blocks, radius))).alias("key"))
+    return links_in_shards(keyed.select("fp", "rep", "sketch", "key.*"), radius, tree)
+
+
+def links_in_shards(keyed: DataFrame, radius: int, tree: int = 512, least: float = 0.0) -> DataFrame:
+    """Edges (a, b) that connect the ``rep`` of rows of one shard (choice, bits) within the radius of one another.
+
+    With ``least``, only of rows whose sketches (MinHash values cut to bytes) agree in at least that share of bytes.
+    """
     sizes = written(keyed.groupBy("choice", "bits").count().where("count > 1"), "shards")
     parts = F.ceil(F.col("count") / tree).cast("int")
-    placed = keyed.join(sizes, ["choice", "bits"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    placed = keyed.join(sizes, ["choice", "bits"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     groups = met.groupBy("choice", "bits", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = groups.agg(F.collect_list(F.struct("part", "fp", "rep")).alias("members")).where(F.size("members") > 1)
+    rows = groups.agg(F.collect_list(F.struct("part", "fp", "rep", "sketch")).alias("members")).where(F.size("members") > 1)
+
+    def alike(x: bytes | None, y: bytes | None) -> bool:
+        if not least:
+            return True
+        return (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= least
 
     def make():
         def each(i, j, members):
             grown, sets = BKTree(), Union()
             first = [m for m in members if m["part"] == i]
             rest = [] if i == j else [m for m in members if m["part"] == j]
-            for m in first:
+            for n, m in enumerate(first + rest):
                 key = m["fp"] & (1 << 64) - 1
-                if i == j:
+                if i == j or n >= len(first):
                     for other in grown.within(key, radius):
-                        sets.join(m["rep"], other)
-                grown.add(key, m["rep"])
-            for m in rest:
-                for other in grown.within(m["fp"] & (1 << 64) - 1, radius):
-                    sets.join(m["rep"], other)
+                        if sets.root(m["rep"]) != sets.root(other["rep"]) and alike(m["sketch"], other["sketch"]):
+                            sets.join(m["rep"], other["rep"])
+                if n < len(first):
+                    grown.add(key, m)
             return [(x, top) for x in list(sets.up) if (top := sets.root(x)) != x]
 
         return each
@@ -152,9 +183,38 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return prints.join(written(classes, "classes"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 18, bands: int = 20, size: int = 256, slack: float = 0.04) -> DataFrame:
+    """Rows (doc_id, component_id) over links between texts whose sets of ``words``-word shingles are ``least`` similar.
+
+    Such texts' fingerprints differ in more bits than shards of fingerprint blocks can serve, so the shards are bands of
+    four MinHash values here: at a similarity of 0.8 all ``bands`` of them miss one pair in 40,000. Their trees are
+    searched within ``radius`` bits, and a match needs a similarity, as ``size`` values estimate it with a standard
+    error of 0.025, of at least ``least - slack``. Texts with equal values are one class. Other rules as near_duplicates.
+    """
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("fp", LongType()), ("sketch", BinaryType()), ("keys", ArrayType(LongType()))]
+
+    def make():
+        def each(key, text):
+            hashes = shingle_hashes(text, words)
+            values = smallest(hashes, size)
+            groups = values[: 4 * bands].reshape(bands, 4)
+            return key, signed(majority(hashes)), (values >> np.uint64(20)).astype(np.uint8).tobytes(), [signed(xxhash.xxh64_intdigest(g.tobytes(), SEED)) for g in groups]
+
+        return each
+
+    rows = map_rows(docs.select("doc_id", whole_text()), make, StructType([StructField(n, t) for n, t in kinds]))
+    prints = written(rows, "prints")
+    reps = prints.where("doc_id is not null").groupBy("fp", "sketch").agg(F.min("doc_id").cast("long").alias("rep"), F.first("keys").alias("keys"))
+    reps = written(reps, "reps")
+    keyed = reps.select("fp", "rep", "sketch", F.posexplode("keys").alias("choice", "bits"))
+    labels = components(links_in_shards(keyed, radius, least=least - slack))
+    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(written(classes, "classes"), ["fp", "sketch"], "left").select("doc_id", "component_id")
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents with one of each component kept: the smallest doc_id, in one row if that id repeats."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The documents with one of each class of similar ones kept: the smallest doc_id, in one row if that id repeats."""
+    kept = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
     singles = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return singles.union(docs.where("doc_id is null"))
 

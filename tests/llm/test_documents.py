@@ -110,6 +110,36 @@ def test_one_row_of_each_group_stays(odd):
     assert odd.columns == simhash.drop_near_duplicates(odd).columns
 
 
+def shingle_set(text):
+    w = words_of((text or "").lower())
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+@pytest.mark.parametrize("which", ["odd", "clashing"])
+def test_similar_documents_on_odd_rows(request, odd_rows, which):
+    found = simhash.similar_documents(request.getfixturevalue(which)).collect()
+    sets = [shingle_set(r[1]) for r in odd_rows]
+    alike = brute_classes(len(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    least = {}
+    for r, c in zip(odd_rows, alike, strict=True):
+        if r[0] is not None:
+            least[c] = min(least.get(c, r[0]), r[0])
+    assert collections.Counter(map(tuple, found)) == collections.Counter((r[0], least.get(c)) for r, c in zip(odd_rows, alike, strict=True))
+
+
+def test_edited_copies_are_similar_and_half_copies_are_not(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+        edited = [*words]
+        for at in (20, 90, 170, 260, 350):  # 25 of 396 shingles change: a similarity of 0.88
+            edited[at] = "other"
+        texts += [" ".join(words), " ".join(edited), " ".join(words[:200] + [f"v{i}" for i in rng.integers(0, 5000, 200)])]
+    found = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in found.collect()} == {n: n - 1 if n % 3 == 1 else n for n in range(36)}
+
+
 # ---- secrets
 
 
