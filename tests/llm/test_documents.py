@@ -472,6 +472,28 @@ def test_passages_on_both_sides_of_other_text_are_found(spark):
     assert got == {(r.doc_id, r.start, r.end) for r in passages.passages(df.repartition(4)).collect()}
 
 
+def test_passages_are_found_whoever_holds_their_parts(spark):
+    from conftest import prose
+
+    rows, want = [], set()
+    for n, (size, part) in enumerate([(50, 49), (60, 35), (60, 45), (60, 49), (80, 45), (80, 49), (90, 49)] * 4):
+        words, at = prose(5000 + n, size).split(), 10 * n
+        other = [prose(6000 + 10 * n + i, 40) for i in range(4)]
+        # two smaller ids hold the first and the last part alone; one whole copy lies inside a passage of its own
+        rows += [(at, other[0] + " " + " ".join(words[:part])), (at + 1, " ".join(words[-part:]) + " " + other[1])]
+        rows += [(at + 2, other[2] + " " + " ".join(words)), (at + 3, " ".join(words) + " " + other[3])]
+        want |= {(at + 2, 40, 40 + size), (at + 3, 0, size)}
+        if n % 2:
+            rows.append((at + 4, " ".join(words) + " " + other[3]))
+    found = passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    covered = {(r.doc_id, at) for r in found for at in range(r.start, r.end)}  # a passage may come as rows that overlap
+    assert not [w for w in want if not {(w[0], at) for at in range(w[1], w[2])} <= covered]
+    texts = {d: t.split() for d, t in rows}
+    runs = {d: {tuple(t[i : i + 50]) for i in range(len(t) - 49)} for d, t in texts.items()}
+    held = collections.Counter(x for some in runs.values() for x in some)
+    assert {r.doc_id for r in found} >= {d for d, some in runs.items() if any(held[x] > 1 for x in some)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_shared_words_equal_the_table(a, b):
