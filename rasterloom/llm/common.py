@@ -25,21 +25,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only on one machine (a local master), where none is named, a temporary folder is set; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends and lost executors cost nothing."""
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``written``, and the path of the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends and lost executors cost nothing."""
+    return stored(df, tag)[0]
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def whole_text(col: str = "text") -> Column:
@@ -121,21 +135,33 @@ class Union:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a long, b long): rows (id, component), component the smallest id.
 
-    Rounds of contraction: each node moves to its smallest neighbour, edges follow, until none is left.
-    Every round's tables are written, so both sides of its joins are plain scans whose hot keys Spark can split.
-    Nodes without an edge are absent.
+    Rounds of contraction: in an order of the nodes that each round draws anew by hash, each node moves to its first
+    neighbour or stays, and edges follow, until none is left. The order keeps rounds logarithmic, for chains of rising
+    ids too. Every round's tables are written, so both sides of its joins are plain scans whose hot keys Spark can split,
+    and deleted when the next round's are there. Nodes without an edge are absent.
     """
-    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    both = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id")))
-    labels = both.distinct().withColumn("component", F.col("id"))
+    spark, turn, labels, old = edges.sparkSession, 0, None, []
+    edges, path = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     while not edges.isEmpty():
+        ranked = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("rank"), F.col(c).alias("to"))  # noqa: B023, E731
         pairs = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = written(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "moves")
-        labels = written(
-            labels.join(moves.withColumnRenamed("a", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")),
-            "labels",
-        )
+        moves = pairs.groupBy("a").agg(F.min(ranked("b")).alias("near")).select("a", F.least("near", ranked("a"))["to"].alias("to"))
+        moves, moves_path = stored(moves, "moves")
+        if labels is None:
+            labels, labels_path = moves.select(F.col("a").alias("id"), F.col("to").alias("component")), moves_path
+        else:
+            moved = labels.join(moves.withColumnRenamed("a", "component"), "component", "left")
+            labels, labels_path = stored(moved.select("id", F.coalesce("to", "component").alias("component")), "labels")
         first = edges.join(moves.withColumnRenamed("to", "ta"), "a")
         second = first.join(moves.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
-        edges = written(second.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-    return labels
+        next_edges = second.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct()
+        old += [path, moves_path, labels_path]
+        edges, path = stored(next_edges, "edges")
+        remove(spark, *[p for p in old if p != labels_path])
+        old, turn = [labels_path], turn + 1
+    low = labels.groupBy("component").agg(F.min("id").alias("low"))
+    found = written(labels.join(low, "component").select("id", F.col("low").alias("component")), "components")
+    remove(spark, path, *old)
+    return found

@@ -12,9 +12,9 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
 from .common import Union, components, flat_rows, map_rows, table, whole_text, written
 
@@ -55,7 +55,7 @@ def smallest(hashes: np.ndarray, size: int) -> np.ndarray:
     """MinHash: for each of ``size`` fixed permutations the smallest image of the hashes; the largest number if none."""
     rng = np.random.default_rng(SEED)
     factor, shift = (rng.integers(0, 1 << 64, size, np.uint64)[:, None] for _ in range(2))
-    found, hashes = np.full(size, np.iinfo(np.uint64).max), np.unique(hashes)
+    found = np.full(size, np.iinfo(np.uint64).max)
     for at in range(0, len(hashes), 2048):
         found = np.minimum(found, (hashes[None, at : at + 2048] * (factor | np.uint64(1)) + shift).min(axis=1))
     return found
@@ -122,50 +122,88 @@ def blocks_for(n: int, radius: int) -> int:
 def links(reps: DataFrame, radius: int = 4, blocks: int | None = None, tree: int = 512) -> DataFrame:
     """Edges (a, b) that connect the ids of all fingerprints within the radius of one another.
 
-    ``reps`` has one stored row (fp, rep) for each different fingerprint. A shard over ``tree`` rows is split into parts by
-    hash, and each pair of parts is a task's group of its own: a tree of one part, queried with the other.
+    ``reps`` has one stored row (fp, rep) for each different fingerprint.
     """
     blocks = blocks or blocks_for(reps.count(), radius)
-    keyed = reps.select("fp", "rep", F.lit(None).cast("binary").alias("sketch"), F.explode(F.array(*shard_keys("fp", blocks, radius))).alias("key"))
-    return links_in_shards(keyed.select("fp", "rep", "sketch", "key.*"), radius, tree)
+    keyed = reps.select("fp", "rep", F.lit(0).alias("size"), F.explode(F.array(*shard_keys("fp", blocks, radius))).alias("key"))
+    return links_in_shards(keyed.select("key.*", "fp", "rep", "size"), radius, tree)
 
 
-def links_in_shards(keyed: DataFrame, radius: int, tree: int = 512, least: float = 0.0) -> DataFrame:
-    """Edges (a, b) that connect the ``rep`` of rows of one shard (choice, bits) within the radius of one another.
+def links_in_shards(keyed: DataFrame, radius: int, tree: int = 512, sets: DataFrame | None = None, least: float = 0.0) -> DataFrame:
+    """Edges (a, b) that connect the ``rep`` of rows (choice, bits, fp, rep, size) of one shard within the radius of one another.
 
-    With ``least``, only of rows whose sketches (MinHash values cut to bytes) agree in at least that share of bytes.
+    With ``sets`` (rep, hashes: sorted 32-bit numbers), only of rows whose sets are ``least`` similar, computed exactly.
+    Shards of one row go before anything wide moves, and of shards with equal members one stays. A shard over ``tree``
+    rows (or over a million numbers in its sets) is split into parts by hash. First one part's tree is queried by
+    every part, which connects nearly all of a large group of copies. Then, in each shard, the rows outside its largest
+    component so far make trees that its other parts query: rows already connected need no comparison, and no link
+    to a row outside is missed.
     """
-    sizes = written(keyed.groupBy("choice", "bits").count().where("count > 1"), "shards")
-    parts = F.ceil(F.col("count") / tree).cast("int")
-    placed = keyed.join(sizes, ["choice", "bits"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp", "rep"), F.col("parts")).cast("int"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    groups = met.groupBy("choice", "bits", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    rows = groups.agg(F.collect_list(F.struct("part", "fp", "rep", "sketch")).alias("members")).where(F.size("members") > 1)
-
-    def alike(x: bytes | None, y: bytes | None) -> bool:
-        if not least:
-            return True
-        return (np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).mean() >= least
+    shard = ["choice", "bits"]
+    same = [F.bit_xor(F.xxhash64("rep", F.lit(n))).alias(f"x{n}") for n in (0, 1)]  # the members as a set
+    sizes = keyed.groupBy(*shard).agg(F.count("*").alias("n"), F.sum("size").alias("numbers"), *same).where("n > 1")
+    shards = sizes.groupBy("n", "numbers", "x0", "x1").agg(F.min(F.struct(*shard)).alias("key"))
+    parts = lambda n, numbers: F.ceil(F.greatest(F.col(n) / tree, F.col(numbers) / 1_000_000)).cast("int")
+    shards = written(shards.select("key.*", F.greatest(F.lit(1), parts("n", "numbers")).alias("parts")), "shards")
+    placed = keyed.join(shards, shard).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("parts")).cast("int"))
+    placed = written(placed, "placed")
+    every = F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    first = placed.select(*shard, "fp", "rep", F.col("rep").alias("known"), (F.col("part") == 0).alias("pivot"), F.lit(0).alias("i"), F.explode(every).alias("j"))
+    edges = written(links_in_groups(first, radius, sets, least), "links")
+    if shards.where("parts > 1").isEmpty():
+        return edges
+    labels = components(edges).withColumnRenamed("id", "rep")
+    rest = placed.where("part > 0").join(labels, "rep", "left").withColumn("known", F.coalesce("component", "rep")).drop("component")
+    rest = written(rest, "rest")
+    held = rest.groupBy(*shard, "known").agg(F.count("*").alias("n"), F.sum("size").alias("numbers"))
+    tops = held.groupBy(*shard).agg(F.max(F.struct("n", "known", "numbers")).alias("top"), F.sum("n").alias("n"), F.sum("numbers").alias("numbers"))
+    tops = tops.select(*shard, F.col("top.known").alias("most"), (F.col("n") - F.col("top.n")).alias("n"), (F.col("numbers") - F.col("top.numbers")).alias("numbers"))
+    tops = written(tops.where("n > 0").select(*shard, "most", F.greatest(F.lit(1), parts("n", "numbers")).alias("outer")), "tops")
+    rest = rest.join(tops, shard)
+    own = F.pmod(F.xxhash64("rep", F.lit(3)), F.col("outer")).cast("int")
+    columns = [*shard, "fp", "rep", "known"]
+    outside = rest.where("known <> most").select(*columns, F.lit(True).alias("pivot"), own.alias("i"), F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("j"))
+    others = rest.select(*columns, F.lit(False).alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.col("part").alias("j"))
+    return edges.union(written(links_in_groups(outside.union(others), radius, sets, least), "links"))
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sets, given as sorted numbers, have a Jaccard similarity of at least ``least``."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= least * (len(x) + len(y) - shared)
+
+
+def links_in_groups(met: DataFrame, radius: int, sets: DataFrame | None, least: float) -> DataFrame:
+    """Edges between the ``known`` of rows of a group (choice, bits, i, j) and its pivots; of pivots alone, among them."""
+    fields, exact = ["pivot", "fp", "known"], sets is not None
+    if exact:
+        met, fields = met.join(sets, "rep"), [*fields, "hashes"]
+    members = F.collect_list(F.struct(*fields)).alias("members")  # of bounded size: two parts of a shard
+    rows = met.groupBy("choice", "bits", "i", "j").agg(members).where(F.size("members") > 1)
 
     def make():
-        def each(i, j, members):
-            grown, sets = BKTree(), Union()
-            first = [m for m in members if m["part"] == i]
-            rest = [] if i == j else [m for m in members if m["part"] == j]
-            for n, m in enumerate(first + rest):
+        def each(members):
+            grown, together, numbers = BKTree(), Union(), []
+            pivots, rest = [m for m in members if m["pivot"]], [m for m in members if not m["pivot"]]
+            if exact:
+                numbers = [np.frombuffer(m["hashes"], "<u4") for m in pivots + rest]
+            for n, m in enumerate(pivots + rest):
                 key = m["fp"] & (1 << 64) - 1
-                if i == j or n >= len(first):
+                if not rest or n >= len(pivots):
                     for other in grown.within(key, radius):
-                        if sets.root(m["rep"]) != sets.root(other["rep"]) and alike(m["sketch"], other["sketch"]):
-                            sets.join(m["rep"], other["rep"])
-                if n < len(first):
-                    grown.add(key, m)
-            return [(x, top) for x in list(sets.up) if (top := sets.root(x)) != x]
+                        a, b = together.root(m["known"]), together.root(pivots[other]["known"])
+                        if a != b and (not exact or alike(numbers[n], numbers[other], least)):
+                            together.join(a, b)
+                if n < len(pivots):
+                    grown.add(key, n)
+            return [(x, top) for x in list(together.up) if (top := together.root(x)) != x]
 
         return each
 
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType())])
-    return flat_rows(rows.select("i", "j", "members"), make, schema)
+    return flat_rows(rows.select("members"), make, StructType([StructField("a", LongType()), StructField("b", LongType())]))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -183,40 +221,52 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return prints.join(written(classes, "classes"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 18, bands: int = 20, size: int = 256, slack: float = 0.04) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 24, bands: int = 20) -> DataFrame:
     """Rows (doc_id, component_id) over links between texts whose sets of ``words``-word shingles are ``least`` similar.
 
-    Such texts' fingerprints differ in more bits than shards of fingerprint blocks can serve, so the shards are bands of
-    four MinHash values here: at a similarity of 0.8 all ``bands`` of them miss one pair in 40,000. Their trees are
-    searched within ``radius`` bits, and a match needs a similarity, as ``size`` values estimate it with a standard
-    error of 0.025, of at least ``least - slack``. Texts with equal values are one class. Other rules as near_duplicates.
+    Such texts' fingerprints, here of the distinct shingles, differ in about ten bits, more than shards of fingerprint
+    blocks can serve, so the shards are bands of four MinHash values: at a similarity of 0.8 all ``bands`` of them
+    miss one pair in 40,000. Their trees are searched within ``radius`` bits, five standard deviations beyond the
+    mean, and what the trees find is compared shingle by shingle, as 32-bit hashes. Texts with equal sets are one class.
+    Rows of one id are one document. Other rules as near_duplicates.
     """
-    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("fp", LongType()), ("sketch", BinaryType()), ("keys", ArrayType(LongType()))]
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("same", BinaryType()), ("fp", LongType()), ("keys", ArrayType(LongType())), ("size", IntegerType()), ("hashes", BinaryType())]
 
     def make():
         def each(key, text):
-            hashes = shingle_hashes(text, words)
-            values = smallest(hashes, size)
-            groups = values[: 4 * bands].reshape(bands, 4)
-            return key, signed(majority(hashes)), (values >> np.uint64(20)).astype(np.uint8).tobytes(), [signed(xxhash.xxh64_intdigest(g.tobytes(), SEED)) for g in groups]
+            hashes = np.unique(shingle_hashes(text, words))
+            groups = smallest(hashes, 4 * bands).reshape(bands, 4)
+            numbers = np.unique(hashes.astype("<u4"))
+            keys = [signed(xxhash.xxh64_intdigest(g.tobytes(), SEED)) for g in groups]
+            return key, xxhash.xxh128_digest(hashes.tobytes(), SEED), signed(majority(hashes)), keys, len(numbers), numbers.tobytes()
 
         return each
 
     rows = map_rows(docs.select("doc_id", whole_text()), make, StructType([StructField(n, t) for n, t in kinds]))
     prints = written(rows, "prints")
-    reps = prints.where("doc_id is not null").groupBy("fp", "sketch").agg(F.min("doc_id").cast("long").alias("rep"), F.first("keys").alias("keys"))
-    reps = written(reps, "reps")
-    keyed = reps.select("fp", "rep", "sketch", F.posexplode("keys").alias("choice", "bits"))
-    labels = components(links_in_shards(keyed, radius, least=least - slack))
-    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp", "sketch", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(written(classes, "classes"), ["fp", "sketch"], "left").select("doc_id", "component_id")
+    one = F.min(F.struct(F.col("doc_id").cast("long").alias("rep"), "fp", "keys", "size")).alias("one")  # equal but for the id
+    reps = written(prints.where("doc_id is not null").groupBy("same").agg(one).select("same", "one.*"), "reps")
+    keyed = reps.select(F.posexplode("keys").alias("choice", "bits"), "fp", "rep", "size")
+    # an id of several texts has several sets; each comes by its own text
+    sets = prints.select("same", F.col("doc_id").cast("long").alias("rep"), "hashes").join(reps.select("same", "rep"), ["same", "rep"], "left_semi")
+    labels = components(links_in_shards(keyed, radius, sets=sets.dropDuplicates(["same", "rep"]).select("rep", "hashes"), least=least))
+    classes = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "same").join(written(classes, "classes"), "same", "left").select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents with one of each class of similar ones kept: the smallest doc_id, in one row if that id repeats."""
-    kept = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    singles = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return singles.union(docs.where("doc_id is null"))
+    """The documents with one of each class of similar ones kept: the smallest doc_id.
+
+    Rows with a null id stay. Where a kept id repeats, each of its texts stays in one row: the first in the order of
+    the row as JSON.
+    """
+    found = similar_documents(docs).where("doc_id = component_id").groupBy("doc_id").count()
+    found = written(found, "kept")
+    once = docs.join(found.where("count = 1"), "doc_id", "left_semi").select(*docs.columns)
+    again = docs.join(written(found.where("count > 1"), "repeated"), "doc_id", "left_semi").select(F.struct(*docs.columns).alias("row"))
+    order = F.row_number().over(Window.partitionBy("row.doc_id", whole_text("row.text")).orderBy(F.to_json("row")))
+    first = again.withColumn("order", order).where("order = 1").select("row.*")
+    return once.union(first).union(docs.where("doc_id is null"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
