@@ -53,6 +53,19 @@ def test_components_of_chains_stars_and_repeats(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_chain_takes_few_rounds_and_leaves_one_table(spark, tmp_path, monkeypatch):
+    from rasterloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rounds = []
+    keep = common.stored
+    monkeypatch.setattr(common, "stored", lambda df, tag: rounds.append(tag) or keep(df, tag))
+    found = common.components(spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long"))
+    assert {r.component for r in found.collect()} == {0} and found.count() == 1001
+    assert rounds.count("moves") < 20
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 # ---- SimHash
 
 
@@ -140,6 +153,47 @@ def test_edited_copies_are_similar_and_half_copies_are_not(spark):
     assert {r.doc_id: r.component_id for r in found.collect()} == {n: n - 1 if n % 3 == 1 else n for n in range(36)}
 
 
+def test_large_groups_of_similar_texts_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for base in range(3):  # copies of one text that are similar to it, and partly to one another
+        words = [f"b{base}x{i}" for i in rng.integers(0, 5000, 120)]
+        for n in range(60):
+            copy = [*words]
+            for at in rng.integers(0, 120, n % 5):
+                copy[at] = f"n{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    texts += [t + " line of text that comes again" * 12 for t in texts[:20]]  # repeats change no set of shingles much
+    sets = [shingle_set(t) for t in texts]
+    want = brute_classes(len(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("tree", [8, 512])
+def test_split_shards_of_sets_lose_no_link(spark, tree):
+    rng = np.random.default_rng(9)
+    sets, rows = [], []
+    for n in range(150):
+        mine = set(range(100 * (n % 4), 100 * (n % 4) + 60)) if n < 120 else set(rng.integers(1000, 9000, 60).tolist())
+        for x in rng.choice(sorted(mine), int(rng.integers(0, 14)), replace=False).tolist():
+            mine.remove(x)
+        sets.append(mine)
+        rows.append((0, 1, 0, n, len(mine), np.array(sorted(mine), "<u4").tobytes()))
+    df = spark.createDataFrame(rows, "choice int, bits long, fp long, rep long, size int, hashes binary")
+    edges = simhash.links_in_shards(df.drop("hashes"), 24, tree=tree, sets=df.select("rep", "hashes"), least=0.8)
+    got = {r.id: r.component for r in components(edges).collect()}
+    want = brute_classes(len(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert [got.get(i, i) for i in range(len(sets))] == want
+
+
+def test_texts_that_share_an_id_all_stay(spark):
+    rows = [(1, "one text of its own kind", "a"), (1, "quite another text than that one", "b"), (1, "one text of its own kind", "c"), (2, "one text of its own kind", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(map(tuple, simhash.drop_near_duplicates(df).collect())) == [(1, "one text of its own kind", "a"), (1, "quite another text than that one", "b")]
+
+
 # ---- secrets
 
 
@@ -158,27 +212,55 @@ SPKI = der(0x30, der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + b"\
 SSH = b"".join(struct.pack(">I", len(f)) + f for f in (b"ssh-ed25519", bytes(range(32))))
 
 
-def token(header):
+def fields(*parts):
+    return b"".join(struct.pack(">I", len(f)) + f for f in parts)
+
+
+SSH_PRIVATE = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + struct.pack(">I", 1) + fields(SSH, bytes(range(128)))
+
+
+def token(header, signature="c2lnbmF0dXJlMTIz"):
     enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
-    return f"{enc(header)}.{enc({'sub': 'abc'})}.c2lnbmF0dXJl"
+    return f"{enc(header)}.{enc({'sub': 'abc'})}.{signature}"
 
 
 def test_structures_are_confirmed_and_lookalikes_are_not():
+    def found(text):
+        return [(k, text[a:b]) for a, k, b in secrets.confirmed_spans(text)]
+
     def kinds(text):
-        return [k for _, k, _ in secrets.confirmed_spans(text)]
-
-    for data, kind in ((RSA, "der"), (SPKI, "der"), (SSH, "ssh"), (b"openssh-key-v1\0" + bytes(60), "ssh")):
-        text = base64.b64encode(data).decode()
-        wrapped = "\n".join(text[i : i + 64] for i in range(0, len(text), 64))
-        assert kinds(f"x {text} y") == [kind]
-        assert kinds(f"-----BEGIN KEY-----\n{wrapped}\n-----END KEY-----") == [kind]
-        assert kinds(f"{text}\nHello there") == [kind]
-    assert kinds(RSA.hex()) == ["der"]
+        return [k for k, _ in found(text)]
+
+    for data, kind in ((RSA, "der"), (SPKI, "der-public"), (SSH, "ssh-public"), (SSH_PRIVATE, "ssh")):
+        for text in (base64.b64encode(data).decode(), base64.b64encode(data).decode().rstrip("="), base64.urlsafe_b64encode(data).decode()):
+            assert found(f"x {text} y") == [(kind, text)]
+            for width in (64, 76):
+                lines = [text[i : i + width] for i in range(0, len(text), width)]
+                for end in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n"):
+                    wrapped = end.join(lines)
+                    for around in ("-----BEGIN KEY-----{}-----END KEY-----", "k:{}Hello there, more words", '"{}"', "{}word\nword"):
+                        before, after = around.split("{}")
+                        assert found(before + end + wrapped + end + after) == [(kind, wrapped)], (kind, end, around)
+    assert kinds(RSA.hex()) == ["der"] and kinds(SPKI.hex()) == ["der-public"]
     assert kinds(token({"alg": "HS256", "typ": "JWT"})) == ["jwt"]
     broken = bytearray(RSA)
     broken[8] ^= 1  # a nested length that no longer fits
-    for text in (base64.b64encode(bytes(broken)).decode(), RSA[:-1].hex(), token({"typ": "JWT"}), "MIIB" + "A" * 60, "AAAA" * 20, "eyJhbGciOiJIUzI1NiJ9.x.y"):
+    for text in (
+        base64.b64encode(bytes(broken)).decode(), RSA[:-1].hex(), token({"typ": "JWT"}), token({"alg": "none"}), token({"alg": "HS256"}, ""), "MIIB" + "A" * 60, "AAAA" * 20,
+        "eyJhbGciOiJIUzI1NiJ9.x.y", base64.b64encode(b"openssh-key-v1\0" + bytes(60)).decode(), base64.b64encode(b"openssh-key-v1\0" + b"junk" * 40).decode(),
+    ):
         assert kinds(text) == [], text
+    public = f"ssh-ed25519 {base64.b64encode(SSH).decode()} me@host"
+    assert secrets.redacted(public, secrets.confirmed_spans(public)) == public
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("MIIB" * 300_000, ("AAAA" * 16 + "\n") * 20_000, ("MIIEpQIBAAKCAQEA" * 4 + "\n") * 20_000, "eyJ" * 300_000, "30" * 300_000):
+        secrets.confirmed_spans(text)
+    assert time.time() - began < 10
 
 
 def test_base_spans_by_the_letter():
@@ -257,7 +339,7 @@ def test_both_encoders_agree():
 @settings(max_examples=25, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_plans_hold_every_piece_once(histogram):
-    plan = packing.solve(histogram, room=60, rounds=40)
+    plan = packing.solve(histogram, room=60)
     held = collections.Counter()
     for pattern, n in plan.patterns:
         assert sum(k * c for k, c in pattern.items()) <= 60 and n > 0
@@ -266,6 +348,34 @@ def test_plans_hold_every_piece_once(histogram):
     assert held == collections.Counter(histogram)
     total = sum(k * n for k, n in histogram.items())
     assert plan.sequences <= 1.3 * total / 60 + 2 + sum(n for k, n in histogram.items() if k > 30)
+    assert (plan.rounds > 0) == any(k < 60 for k in histogram) and plan.rounds <= 2 * len(histogram)
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_plans_come_near_the_bound(n):
+    rng = np.random.default_rng(n)
+    lengths = np.clip(rng.lognormal(5.7, 0.9, n), 1, 1024).astype(int)
+    plan = packing.solve(dict(collections.Counter(lengths.tolist())))
+    bound = max(-(-int(lengths.sum()) // 1024), int((lengths > 512).sum()))
+    assert plan.sequences <= 1.01 * bound + 2 and plan.solved >= 0.8 * plan.sequences
+
+
+def test_plans_of_small_histograms_equal_the_optimum():
+    def fewest(left, room):  # branch over what goes with the longest piece
+        if not left:
+            return 0
+        top, rest = left[-1], left[:-1]
+        best = 99
+        for n in range(1 << len(rest)):
+            chosen = [x for i, x in enumerate(rest) if n >> i & 1]
+            if top + sum(chosen) <= room:
+                best = min(best, 1 + fewest([x for i, x in enumerate(rest) if not n >> i & 1], room))
+        return best
+
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        pieces = sorted(int(x) for x in rng.integers(1, 13, 7))
+        assert packing.solve(dict(collections.Counter(pieces)), room=12).sequences <= fewest(pieces, 12) + 1
 
 
 # ---- mixing
