@@ -2,7 +2,7 @@
 
 A configuration is a multiset of piece lengths that fits a sequence. The program asks for the fewest configurations
 that cover every length's count; multiplicative weights solve it, pricing configurations by a knapsack dynamic
-program, and its solution is rounded down and completed by the same pricing on what is left. All of this works on the
+program, and its solution is rounded and completed by knapsack patterns on what is left. All of this works on the
 histogram, at most ``room`` numbers however large the corpus; pieces then find their places by their rank among the
 pieces of equal length.
 """
@@ -81,10 +81,10 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, ro
     Copies beyond a length's count are struck out; their space goes to the longest other lengths that fit.
     """
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
+    upto = np.searchsorted(lengths, np.arange(room + 1), "right").tolist()
     for c in range(1, room + 1):
         best[c], pick[c] = best[c - 1], -1
-        n = int(np.searchsorted(lengths, c, "right"))
-        if n:
+        if n := upto[c]:
             worth = best[c - lengths[:n]] + prices[:n]
             k = int(worth.argmax())
             if worth[k] > best[c] + 1e-12:
@@ -114,10 +114,12 @@ def best_pattern(lengths: np.ndarray, prices: np.ndarray, counts: np.ndarray, ro
 
 @dataclass
 class Plan:
-    """Patterns with their number of sequences; places: for each length, where ranks from ``rank`` on go."""
+    """Patterns with their number of sequences; ``rounds`` of the program and the sequences that it ``solved``, rounded."""
 
     patterns: list[tuple[dict[int, int], int]] = field(default_factory=list)
     room: int = ROOM
+    rounds: int = 0
+    solved: int = 0
 
     @property
     def sequences(self) -> int:
@@ -139,13 +141,14 @@ class Plan:
         return {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in found.items()}
 
 
-def solve(histogram: dict[int, int], room: int = ROOM, rounds: int = 300, eta: float = 2.0) -> Plan:
+def solve(histogram: dict[int, int], room: int = ROOM, share: float = 0.5, eta: float = 2.0, lean: float = 1.3) -> Plan:
     """Patterns whose copies hold every piece of the histogram exactly once.
 
-    Fractional part: each round prices lengths by length times exp(-eta x the share of them covered so far), takes
-    the best configuration, and raises its amount until its scarcest length gains a quarter of its count. Lengths
-    covered wholly leave. Rounded down, it leaves at most one copy a pattern; the same pricing, in whole steps on
-    the counts left, packs those.
+    Fractional part: each round prices lengths by length ** lean times exp(-eta x the part of them covered so far), so that
+    short pieces are left for the gaps of later patterns, takes the best configuration, and raises its amount until its scarcest length gains ``share`` of its count. Lengths
+    covered wholly leave; rounds end when all have, after at most their number over ``share``. Rounding: whole copies
+    first, then, by the fraction left, one more of each pattern whose pieces are all still there. What remains is
+    completed by knapsack patterns in whole steps, priced by length to the power 1.02, so that long pieces go first.
     """
     plan = Plan(room=room)
     left = {k: n for k, n in histogram.items() if n > 0}
@@ -153,34 +156,35 @@ def solve(histogram: dict[int, int], room: int = ROOM, rounds: int = 300, eta: f
         plan.patterns.append(({room: 1}, whole))
     lengths = np.array(sorted(left), dtype=np.int64)
     counts = np.array([left[int(k)] for k in lengths], dtype=np.int64)
+    place = {int(k): i for i, k in enumerate(lengths)}
     covered, amounts = np.zeros(len(lengths)), {}
-    for _ in range(rounds if counts.sum() > 4 * len(lengths) else 0):
-        live = np.flatnonzero(covered < 1 - 1e-9)
-        if not len(live):
-            break
+    while len(live := np.flatnonzero(covered < 1 - 1e-9)):
         need = counts[live] * (1 - covered[live])
-        prices = lengths[live] * np.exp(-eta * covered[live])
-        pattern = best_pattern(lengths[live], prices, np.ceil(need), room)
-        where = {int(k): int(i) for k, i in zip(lengths[live], live, strict=True)}
-        step = min(min(0.25 * counts[where[k]], counts[where[k]] * (1 - covered[where[k]])) / n for k, n in pattern.items())
-        for k, n in pattern.items():
-            covered[where[k]] += n * step / counts[where[k]]
+        pattern = best_pattern(lengths[live], lengths[live] ** lean * np.exp(-eta * covered[live]), np.ceil(need), room)
         key = tuple(sorted(pattern.items()))
+        at, copies = np.array([place[k] for k, _ in key]), np.array([n for _, n in key])
+        step = (np.minimum(share, 1 - covered[at]) * counts[at] / copies).min()
+        covered[at] += copies * step / counts[at]
         amounts[key] = amounts.get(key, 0.0) + step
+        plan.rounds += 1
     rest = counts.copy()
-    place = {int(k): i for i, k in enumerate(lengths)}
+
+    def take(pattern: dict[int, int], n: int) -> None:
+        plan.patterns.append((pattern, n))
+        for k, copies in pattern.items():
+            rest[place[k]] -= n * copies
+
     for key, amount in amounts.items():
         if n := int(amount + 1e-9):
-            plan.patterns.append((dict(key), n))
-            for k, copies in key:
-                rest[place[k]] -= n * copies
+            take(dict(key), n)
+    for key, _ in sorted(amounts.items(), key=lambda x: (-(x[1] % 1.0), x[0])):
+        if all(rest[place[k]] >= copies for k, copies in key):
+            take(dict(key), 1)
+    plan.solved = plan.sequences
     while rest.any():
         live = np.flatnonzero(rest)
         pattern = best_pattern(lengths[live], lengths[live].astype(float) ** 1.02, rest[live], room)
-        n = min(int(rest[place[k]]) // copies for k, copies in pattern.items())
-        plan.patterns.append((pattern, n))
-        for k, copies in pattern.items():
-            rest[place[k]] -= n * copies
+        take(pattern, min(int(rest[place[k]]) // copies for k, copies in pattern.items()))
     return plan
 
 
