@@ -22,6 +22,49 @@ def test_an_article_without_what_surrounds_it():
     assert pages.main_text("<body><nav>x</nav></body>", frozenset()) == ""
 
 
+def text_of(html):
+    return pages.main_text(html, frozenset())
+
+
+def test_odd_attributes_and_names_lose_no_text():
+    assert text_of("<article><p title=it's>One</p><p>Two</p></article>") == "One\nTwo"
+    assert text_of('<article><p>One <a href="x>two</a></p><p>Three</p></article>') == "One two\nThree"
+    assert text_of("<article><p a = 'b>c' d=e/>One</p><p class=\"share-price\">Two</p><p class='notice-of-meeting'>Three</p></article>") == "One\nTwo\nThree"
+    assert text_of('<article><p>One</p><div class="cookie-notice">x</div><div id="ad-300">y</div><ul class="share_buttons"><li>z</ul></article>') == "One"
+    assert text_of("<body><form action=/><nav>menu</nav><article><p>One<input></p></article></form><form><p>Search</form></body>") == "One"
+    assert text_of("<body><form><h1>One</h1><p>Two</p></form></body>") == "One\nTwo"
+    assert text_of("<body><p>One</p><section class=comments><article><p>First!</p></article></section></body>") == "One"
+    assert text_of("<article><p>1 < 2 <!-- > --> 3<![CDATA[x]]></p></><p>4<?x ?></p><SCRIPT>'</p>'</sCript ><p>5</article>") == "1 < 2 3\n4\n5"
+    assert text_of("<article><span><p>One</span> two</p><table><tr><td>a<td>b<tr><th>c</table></article>") == "One two\na\nb\nc"
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    n = 160_000
+    began = time.time()
+    for html in (
+        '<a b="' * n, "<a b='" * n + '"', "<b>" * n + "</i>" * n, "<p><button>" + "<b>" * n + "<h1></h1>" * (n // 2), "<span><div>" + "<b>" * n + "</span>" * n,
+        "<!--" * n, "<" * n, "</" * n, "<title>" * n, "<div>" * n + "</div>" * n, "<li><b>" * n, "<form>" * n, "&#" * n, "<a " + " " * n * 4 + "=", "<article>" * n,
+    ):
+        pages.main_text(html, frozenset([1]))
+    assert time.time() - began < 60
+
+
+def test_templates_change_pages_without_an_article(spark):
+    shell = "<body><div><b>Breaking</b> <i>Weather today</i></div><div><div>%s</div></div><div><p>Our mission statement is long</p><ul><li>One</ul></div></body>"
+    rows = [(i, f"https://news.example/{i}", shell % "".join(f"<p>story {i} part {j}</p>" for j in range(3))) for i in range(6)]
+    rows += [(50 + i, "https://twin.example/x", shell % "<p>the same page at three addresses</p>") for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    known = {r.host: set(r.hashes) for r in pages.templates(df).collect()}
+    brute = collections.Counter(h for _, _, html in rows[:6] for h in pages.subtree_hashes(html))
+    assert known == {"news.example": {h for h, n in brute.items() if n >= 3}}
+    got = {r.page_id: r.text for r in pages.extract(df).collect()}
+    assert got[4] == "\n".join(f"story 4 part {j}" for j in range(3))
+    assert got[51] == "Breaking Weather today\nthe same page at three addresses\nOur mission statement is long\nOne"
+    assert pages.main_text(rows[4][2], frozenset()) != got[4]
+
+
 def test_templates_of_a_site_go_and_prose_stays(spark):
     shell = "<body><div><span>Welcome to our site</span> <a>login</a></div><div>%s</div><div><p>All rights</p></div></body>"
     rows = [(i, f"http://h.example/{i}", shell % f"<p>text number {i}</p>") for i in range(12)]
