@@ -1,7 +1,8 @@
 """Secret scans with structural confirmation.
 
 Three base patterns give spans by shape alone. Runs of base64 or hex are then decoded, and only those whose bytes
-parse as a key (nested DER lengths, SSH length-prefixed fields) or as a signed token's JSON header are reported too.
+parse as a private key (nested DER lengths, OpenSSH's length-prefixed fields) or as a signed token's JSON parts are
+reported too. Public keys parse as well, but are no secrets: they are kinds of their own that nothing redacts.
 """
 
 from __future__ import annotations
@@ -19,15 +20,21 @@ from ..shipping import ship
 from .common import map_rows, table, whole_text
 
 #: The kinds, in the order that breaks ties between spans of one start.
-KINDS = ("assign", "access", "hex", "jwt", "der", "ssh")
+KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "der-public", "ssh-public")
+PUBLIC = ("der-public", "ssh-public")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-#: Base64 of a key starts with one of these: DER's SEQUENCE of two or one length bytes (MI, MH..MA, MC..), SSH's zero length bytes.
-KEY64 = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Z]|AAAA|b3Bl)[A-Za-z0-9+/]{30,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
+#: base64 of a key starts with one of these: DER's SEQUENCE of two or one length bytes (MI, MH..MA, MC..), SSH's
+#: zero length bytes, OpenSSH's magic. Lines end as such, or written out in a string, and may be indented.
+KEY64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-Z]|AAAA|b3Bl)[A-Za-z0-9+/_-]{30,}")
+NEXT64 = re.compile(r"={0,2}(?:\\r|\r)?(?:\\n|\n)[ \t]*([A-Za-z0-9+/_-]+)")
 KEYHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+OPENSSH = b"openssh-key-v1\0"
+#: Base64 characters of the longest key looked for, four times those of RSA keys of 16,384 bits.
+LONGEST = 65_536
 
 
 def der_length(data: bytes, at: int, end: int) -> tuple[int, int] | None:
@@ -45,28 +52,29 @@ def der_length(data: bytes, at: int, end: int) -> tuple[int, int] | None:
     return (body, body + size) if body + size <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that fills the data and whose members' lengths nest exactly, with the shape of a key.
+def der_kind(data: bytes) -> str:
+    """der, der-public or nothing, for a SEQUENCE that fills the data, whose members' lengths nest exactly, in the shape of a key.
 
-    Shapes: integers only, led by a version or a modulus (RSA, DSA), a version and an OCTET STRING (EC, PKCS#8),
-    or an algorithm SEQUENCE and a BIT STRING (public keys).
+    Shapes: integers only, led by a version (RSA, DSA), a version and an OCTET STRING (EC, PKCS#8); of public keys two
+    integers, or an algorithm SEQUENCE and a BIT STRING.
     """
     outer = der_length(data, 0, len(data)) if data[:1] == b"\x30" else None
     if not outer or outer[1] != len(data):
-        return False
+        return ""
     tags, sizes, at = [], [], outer[0]
     while at < outer[1]:
         inner = der_length(data, at, outer[1])
         if not inner or (data[at] == 0x30 and not nests(data, *inner)):
-            return False
+            return ""
         tags.append(data[at])
         sizes.append(inner[1] - inner[0])
         at = inner[1]
     if len(tags) >= 2 and set(tags) == {0x02}:
-        return max(sizes) >= 16 and min(sizes) >= 1
+        fits = max(sizes) >= 16 and min(sizes) >= 1
+        return ("der-public" if len(tags) == 2 else "der") if fits else ""
     if tags[:2] == [0x02, 0x04] or tags[:3] == [0x02, 0x30, 0x04]:
-        return sizes[0] == 1 and sizes[tags.index(0x04)] >= 16
-    return tags == [0x30, 0x03] and sizes[1] >= 16
+        return "der" if sizes[0] == 1 and sizes[tags.index(0x04)] >= 16 else ""
+    return "der-public" if tags == [0x30, 0x03] and sizes[1] >= 16 else ""
 
 
 def nests(data: bytes, at: int, end: int) -> bool:
@@ -78,28 +86,51 @@ def nests(data: bytes, at: int, end: int) -> bool:
     return True
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """OpenSSH's private-key magic, or big-endian length-prefixed fields that fill the data, led by an algorithm name."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return True
+def fields_of(data: bytes, many: int | None = None) -> tuple[list[bytes], int] | None:
+    """Big-endian length-prefixed fields from the data's start, ``many`` or all of it, and where they end; None if one is cut off."""
     fields, at = [], 0
-    while at < len(data):
+    while len(fields) < many if many is not None else at < len(data):
         size = int.from_bytes(data[at : at + 4])
-        if at + 4 + size > len(data):
-            return False
+        if at + 4 > len(data) or at + 4 + size > len(data):
+            return None
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return len(fields) >= 2 and fields[0].startswith(SSH_NAMES)
+    return fields, at
+
+
+def is_public_ssh(data: bytes) -> bool:
+    """Fields that fill the data, led by an algorithm's name."""
+    found = fields_of(data)
+    return bool(found) and len(found[0]) >= 2 and found[0][0].startswith(SSH_NAMES)
+
+
+def ssh_kind(data: bytes) -> str:
+    """ssh for OpenSSH's private keys, ssh-public for one public key, or nothing.
+
+    A private key is the magic, the names of cipher and key derivation, its options, the number of keys, as many public
+    keys in fields of their own, and the encrypted or plain private part, to the end.
+    """
+    if not data.startswith(OPENSSH):
+        return "ssh-public" if is_public_ssh(data) else ""
+    head = fields_of(body := data[len(OPENSSH) :], 3)
+    if not head or not head[0][0] or not head[0][1]:
+        return ""
+    keys = int.from_bytes(body[head[1] : head[1] + 4])
+    rest = fields_of(body[head[1] + 4 :], keys + 1) if 1 <= keys <= 64 else None
+    if not rest or head[1] + 4 + rest[1] != len(body):
+        return ""
+    return "ssh" if all(map(is_public_ssh, rest[0][:-1])) and len(rest[0][-1]) >= 16 else ""
 
 
-def is_token(head: str, body: str) -> bool:
-    """A signed token: its first part decodes to a JSON object that names an algorithm, its second to a JSON object."""
+def is_token(head: str, body: str, signature: str) -> bool:
+    """A signed token: its first part decodes to a JSON object that names an algorithm, its second to a JSON object, its third to a signature."""
     try:
-        header = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-        claims = json.loads(base64.urlsafe_b64decode(body + "=" * (-len(body) % 4)))
+        header, claims = (json.loads(base64.urlsafe_b64decode(x + "=" * (-len(x) % 4))) for x in (head, body))
+        signed = base64.urlsafe_b64decode(signature + "=" * (-len(signature) % 4))
     except (ValueError, RecursionError):
         return False
-    return isinstance(header, dict) and isinstance(header.get("alg"), str) and isinstance(claims, dict)
+    named = isinstance(header, dict) and isinstance(header.get("alg"), str) and header["alg"].lower() != "none"
+    return named and isinstance(claims, dict) and len(signed) >= 8
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -110,26 +141,68 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def key_kind(raw: str) -> str:
-    """der, ssh or nothing: what a run of base64 without its padding decodes to."""
+    """der, ssh, their public kinds or nothing: what a run of base64 without its padding, in either alphabet, decodes to."""
     try:
-        data = base64.b64decode(raw + "=" * (-len(raw) % 4))
+        data = base64.b64decode(raw.replace("-", "+").replace("_", "/") + "=" * (-len(raw) % 4))
     except binascii.Error:
         return ""
-    return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else ""
+    return der_kind(data) or ssh_kind(data)
+
+
+def needed(raw: str) -> int | None:
+    """How many base64 characters a key that starts like this takes: as DER's outer length says, None if SSH, 0 if this is no key's start."""
+    data = base64.b64decode(raw[:32].replace("-", "+").replace("_", "/"))
+    if data[:1] != b"\x30":
+        return None if data.startswith(OPENSSH) or data[4:].startswith(SSH_NAMES) else 0
+    size, head = data[1], 2
+    if size >= 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4:
+            return 0
+        size, head = int.from_bytes(data[2 : 2 + n]), 2 + n
+    count = -(-4 * (head + size) // 3)
+    return count if count <= LONGEST else 0
+
+
+def key_at(text: str, m: re.Match) -> tuple[int, str] | None:
+    """End and kind of the key that starts with a match: of the first run of whole lines that parses as one.
+
+    Lines below may belong to the key or be other text. A DER key's first bytes say how many characters it takes, so
+    only the lines up to there are tried; other keys are tried line by line while lines have the first line's width.
+    """
+    lines, ends = [m[0]], [m.end()]
+    want, total = needed(m[0]), len(m[0])
+    if want == 0:
+        return None
+    while total < (LONGEST if want is None else want) and (n := NEXT64.match(text, ends[-1])) and len(lines[-1]) == len(m[0]):
+        lines.append(n[1])
+        ends.append(n.end())
+        total += len(n[1])
+    tries = range(len(lines), 0, -1) if want is None else [len(lines)]
+    if want is None and len(lines) > 64:
+        tries = [len(lines), len(lines) - 1, 1]  # a run of lines of one width, and a last one that may be other text
+    for n in tries:
+        raw = "".join(lines[:n])
+        if kind := key_kind(raw):
+            end = ends[n - 1]
+            while end < len(text) and text[end] == "=" and end - ends[n - 1] < 2:
+                end += 1
+            return end, kind
+    return None
 
 
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of what decodes to a key or a signed token."""
-    found = [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2])]
-    for m in KEY64.finditer(text):
-        # lines below may belong to the key or be other text
-        for run in dict.fromkeys((m[0], m[0].split()[0])):
-            if kind := key_kind("".join(run.split()).rstrip("=")):
-                found.append((m.start(), kind, m.start() + len(run)))
-                break
+    found = [(m.start(), "jwt", m.end()) for m in TOKEN.finditer(text) if is_token(m[1], m[2], m[3])]
+    at = 0
+    while m := KEY64.search(text, at):
+        hit = key_at(text, m)
+        if hit:
+            found.append((m.start(), hit[1], hit[0]))
+        at = hit[0] if hit else m.end()
     for m in KEYHEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            found.append((m.start(), "der", m.end()))
+        if len(m[0]) % 2 == 0 and (kind := der_kind(bytes.fromhex(m[0]))):
+            found.append((m.start(), kind, m.end()))
     return found
 
 
@@ -138,9 +211,11 @@ def in_order(spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
 
 
 def redacted(text: str, spans: list[tuple[int, str, int]]) -> str:
-    """The text with every stretch covered by spans replaced by one [SECRET]."""
+    """The text with every stretch covered by spans, but of public keys, replaced by one [SECRET]."""
     out, at, reach = [], 0, 0
-    for start, _, end in in_order(spans):
+    for start, kind, end in in_order(spans):
+        if kind in PUBLIC:
+            continue
         if start >= reach:
             out += [text[at:start], "[SECRET]"]
         at = reach = max(reach, end)
