@@ -525,6 +525,98 @@ def test_decoded_blocks_are_the_cosine_sums():
     assert zz[:6].tolist() == [0, 1, 8, 16, 9, 2]
 
 
+def test_both_decoders_agree_on_own_frames():
+    payload = np.random.default_rng(4).integers(0, 256, 576 * 3).astype(np.uint8).tobytes()
+    frames, _ = media.read_frames(media.write_avi(payload))
+    fast = media.decode(media.read_back(frames))
+    assert all((media.decode_frame(f) == x).all() for f, x in zip(frames, fast, strict=True))
+
+
+def foreign_frame(seed, colour, restart, bright=0):
+    """A baseline JPEG as other writers make them: codes of many lengths, wide quantisation, 4:2:0 colour or grey. With its luma samples."""
+    rng = np.random.default_rng(seed)
+    symbols = [0, 1, 2, 3, 4, 0xF0, 0x11, 0x21, 0x12, 5, 6, 7, 0x31, 0x13, 0x22, 0x32, 8, 9]
+    lengths = [2, 3, 4, 4, 4, 5, 5, 6, 7, 8, 9, 10, 12, 13, 14, 15, 16, 16]
+    table, code = {}, 0
+    for n, (s, size) in enumerate(zip(symbols, lengths, strict=True)):
+        code <<= size - lengths[n - 1] if n else 0
+        table[s], code = f"{code:0{size}b}", code + 1
+
+    def raw(value):
+        size = int(abs(value)).bit_length()
+        return size, f"{value if value > 0 else value + (1 << size) - 1:0{size}b}" if size else ""
+
+    width, height, parts = 37, 21, [(1, 2, 2, 0), (2, 1, 1, 1), (3, 1, 1, 1)] if colour else [(1, 1, 1, 0)]
+    step = 16 if colour else 8
+    across, down = -(-width // step), -(-height // step)
+    quant = [np.arange(1, 65), np.full(64, 300)]
+    samples, bits, segments, last = np.zeros((down * step, across * step)), "", [], [0] * len(parts)
+    for n in range(across * down):
+        if restart and n and n % restart == 0:
+            segments, bits, last = [*segments, bits], "", [0] * len(parts)
+        for i, (_, h, v, _) in enumerate(parts):
+            for cell in range(h * v):
+                block, at = np.zeros(64, int), 0
+                block[0] = bright + rng.integers(-9, 9)
+                size, text = raw(block[0] - last[i])
+                bits, last[i] = bits + table[size] + text, block[0]
+                for run in (0, 3, 17, 1, 2, 16)[: rng.integers(0, 7)]:
+                    at += run + 1
+                    block[at] = rng.choice([-1, 1])
+                    bits += table[0xF0] * (run // 16) + table[run % 16 << 4 | 1] + raw(block[at])[1]
+                bits += table[0]
+                if i == 0:
+                    grid = np.zeros(64)
+                    grid[media.zigzag()] = block * quant[0]
+                    c = np.array([[(0.5 if u else 8**-0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+                    y, x = (n // across * v + cell // h) * 8, (n % across * h + cell % h) * 8
+                    samples[y : y + 8, x : x + 8] = c.T @ grid.reshape(8, 8) @ c + 128
+    out = []
+    for text in [*segments, bits]:
+        text += "1" * (-len(text) % 8)
+        out.append(int(text, 2).to_bytes(len(text) // 8).replace(b"\xff", b"\xff\0"))
+    scan = b"".join(x + (bytes([0xFF, 0xD0 + i % 8]) if i < len(out) - 1 else b"") for i, x in enumerate(out))
+    huff = bytes(lengths.count(i) for i in range(1, 17)) + bytes(symbols)
+    head = b"\xff\xd8" + media.segment(0xFE, b"comment") + media.segment(0xDB, b"\0" + quant[0].astype(np.uint8).tobytes() + b"\x11" + quant[1].astype(">u2").tobytes())
+    head += media.segment(0xC0, struct.pack(">BHHB", 8, height, width, len(parts)) + b"".join(bytes([c, h << 4 | v, q]) for c, h, v, q in parts))
+    head += media.segment(0xC4, b"\0" + huff + b"\x10" + huff) + (media.segment(0xDD, struct.pack(">H", restart)) if restart else b"")
+    head += media.segment(0xDA, bytes([len(parts)]) + b"".join(bytes([c, 0]) for c, *_ in parts) + b"\0\x3f\0")
+    return head + scan + b"\xff\xd9", np.clip(np.rint(samples[:height, :width]), 0, 255)
+
+
+@pytest.mark.parametrize(("colour", "restart"), [(False, 0), (True, 0), (False, 4), (True, 2)])
+def test_frames_of_other_writers_are_decoded(colour, restart):
+    for seed in range(5):
+        frame, want = foreign_frame(seed, colour, restart)
+        got = media.decode_frame(frame)
+        assert got.shape == want.shape and np.abs(got.astype(float) - want).max() <= 1
+
+
+def foreign_avi(frames, index=True, absolute=False):
+    movie, places = b"movi" + media.chunk(b"01wb", b"sound"), []
+    for f in frames:
+        places.append((len(movie), len(f)))
+        movie += media.chunk(b"00dc", f)
+    head = media.chunk(b"LIST", b"hdrl" + media.chunk(b"avih", struct.pack("<14I", 100_000, *[0] * 13)))
+    base = 12 + len(head) + 8 if absolute else 0
+    idx = b"".join(struct.pack("<4sIII", b"00dc", 16, base + o, s) for o, s in places)
+    return media.chunk(b"RIFF", b"AVI " + head + media.chunk(b"LIST", movie) + (media.chunk(b"idx1", idx) if index else b""))
+
+
+def test_files_of_other_writers_and_broken_ones(spark):
+    frames = [foreign_frame(n, True, 0, bright=0 if n < 10 else 450)[0] for n in range(20)]
+    for avi in (foreign_avi(frames), foreign_avi(frames, absolute=True), foreign_avi(frames, index=False)):
+        payload, clips = media.inspect(avi)
+        assert payload is None and [(c["start_s"], c["end_s"]) for c in clips] == [(0.0, 1.0), (1.0, 2.0)]
+    good = media.write_avi(b"x" * 576)
+    bad = [None, b"", b"RIFF", b"no file", good[:40], foreign_avi([]), foreign_avi([b"\xff\xd8\xff\xd9"]), foreign_avi([frames[0][:200]]), good.replace(b"\x08\x00x", b"\x08\x01x")]
+    rows = [(i, 0, x) for i, x in enumerate([*bad, good, foreign_avi(frames)])]
+    got = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert all(got[i].error and got[i].clips is None for i in range(len(bad)) if i != 8)
+    assert got[len(bad)].error is None and got[len(bad)].payload_bytes == 576
+    assert got[len(bad) + 1].error is None and got[len(bad) + 1].payload_bytes is None and len(got[len(bad) + 1].clips) == 2
+
+
 def test_a_change_of_scene_starts_a_clip():
     dark, light = b"\x00" * 576 * 12, b"\xff\x00" * 288 * 12
     clips = media.inspect(media.write_avi(dark + light))[1]
