@@ -1,14 +1,18 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
-Folding lower-cases, maps look-alike letters and digits that stand for letters, and turns all else into spaces. The
-lexicon, whole words and word beginnings, is learned from labelled rows: those whose documents are toxic far more
-often than others' by the likelihood ratio, weighted by log odds. A document's matches outside exception phrases are
-summed, normalised by its length, and a logistic fit turns the sum into a score.
+Folding lower-cases, strips accents, full-width forms and invisible characters, maps look-alike letters and digits that
+stand for letters, and turns all else into spaces. The lexicon, whole words and word stems, is learned from labelled rows:
+entries whose documents are toxic far more often than others' by the likelihood ratio, in both halves of the rows,
+weighted by log odds. A stem counts where a text has two different words of it, as one such word may be chance. A
+document's matches outside exception phrases are summed, normalised by its length, and a logistic fit turns the sum
+into a score.
 """
 
 from __future__ import annotations
 
 import math
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,14 +33,19 @@ EXCEPTIONS = ("clown fish", "trash can", "trash bin", "white trash bag", "stupid
 
 
 class Folding(dict):
-    """str.translate table: what isn't a letter becomes a space."""
+    """str.translate table: what isn't a letter becomes a space, marks and invisible characters go."""
 
     def __missing__(self, code: int) -> str:
-        c = chr(code)
-        out = LOOKALIKES.get(c) or STANDINGS.get(c) or (c if c.isalpha() else " ")
+        out = "".join(self.one(c) for c in unicodedata.normalize("NFKD", chr(code)).lower())
         self[code] = out
         return out
 
+    @staticmethod
+    def one(c: str) -> str:
+        if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+            return ""
+        return LOOKALIKES.get(c) or STANDINGS.get(c) or (c if c.isalpha() else " ")
+
 
 FOLDS = Folding()
 
@@ -46,10 +55,11 @@ def fold(text: str) -> str:
     return f" {' '.join(text.lower().translate(FOLDS).split())} "
 
 
-def entries_of(folded: str, stems: tuple[int, ...] = (4, 5, 6)) -> set[str]:
-    """The different entries that a folded text holds: ' word ' and the beginnings ' wor', ' word', ..."""
+def entries_of(folded: str, stems: tuple[int, ...] = (4, 5, 6, 7, 8)) -> set[str]:
+    """The different entries that a folded text holds: ' word ', and the stems ' wor', ' word', ... of two different words."""
     words = set(folded.split())
-    return {f" {w} " for w in words if 3 <= len(w) <= 30} | {f" {w[:n]}" for w in words for n in stems if len(w) >= n}
+    seen = Counter(f" {w[:n]}" for w in words for n in stems if len(w) >= n)
+    return {f" {w} " for w in words if 3 <= len(w) <= 30} | {s for s, n in seen.items() if n > 1}
 
 
 @dataclass(frozen=True)
@@ -73,14 +83,22 @@ class Model:
 
 
 def measure(automaton, folded: str) -> tuple[float, float]:
-    """The matches' weights outside exception phrases, summed, and the number of words."""
+    """The matches' weights outside exception phrases, summed, and the number of words. Stems count from two different words on."""
     words = folded.count(" ") - 1 if len(folded) > 2 else 0
     if not len(automaton) or not words:
         return 0.0, float(words)
-    spared, hits = [], []
+    spared, hits, stems = [], [], {}
     for end, (size, weight) in automaton.iter(folded):
-        (hits if weight else spared).append((end + 1 - size, end + 1, weight))
-    total = sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y, _ in spared))
+        start, end = end + 1 - size, end + 1
+        if not weight:
+            spared.append((start, end))
+            continue
+        stem = folded[start:end] if folded[end - 1] != " " else ""
+        hits.append((start, end, weight, stem))
+        if stem:
+            stems.setdefault(stem, set()).add(folded[start : folded.find(" ", end)])
+    hits = [h for h in hits if not h[3] or len(stems[h[3]]) > 1]
+    total = sum(w for a, b, w, _ in hits if not any(x <= a and b <= y for x, y in spared))
     return total, float(words)
 
 
@@ -99,26 +117,33 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return tuple(map(float, w))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int = 2_000, evidence: float = 24.0, exceptions: tuple = EXCEPTIONS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int = 2_000, evidence: float = 20.0, exceptions: tuple = EXCEPTIONS) -> Model:
     """Learn from labelled rows whose crc32(doc_id as text) mod 4 is not 2.
 
-    Of these, the ``sample`` first by the id's hash are used; ``most`` bounds the entries that the driver sees.
+    Of these, the ``sample`` first by the id's hash are used; ``most`` bounds the entries that the driver sees. A repeated
+    id teaches once: its least text, toxic if any of its labels says so. Equal texts count once, by their labels' majority.
     Rows with a null id, text or label teach nothing; without labelled rows, or with one label only, the lexicon is
     empty and scores are the labels' smoothed mean.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(remainder("doc_id", 4) != 2)
-    known = known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most sample small rows
+    text = text.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("row")).select("row.*")
     schema = StructType([StructField("folded", StringType()), StructField("toxic", DoubleType())])
-    rows = written(map_rows(text.select("text", "toxic"), lambda: lambda t, y: (fold(t), float(y)), schema), "folded")
-    total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0.0))).first()
+    rows = map_rows(text, lambda: lambda t, y: (fold(t), float(y)), schema)
+    rows = rows.groupBy("folded").agg(F.when(F.avg("toxic") >= 0.5, 1.0).otherwise(0.0).alias("toxic"))
+    rows = written(rows.withColumn("half", F.pmod(F.xxhash64("folded"), F.lit(2)).cast("double")), "folded")
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)) for c in (F.lit(1.0), F.col("toxic"), F.col("half"), F.col("toxic") * F.col("half"))]
+    total, toxic, second, second_toxic = rows.agg(*sums).first()
     clean = total - toxic
     lexicon: dict[str, float] = {}
     if toxic and clean:
-        pair = StructType([StructField("entry", StringType()), StructField("toxic", DoubleType())])
-        seen = flat_rows(rows, lambda: lambda f, y: [(e, y) for e in entries_of(f)], pair)
-        n, a = F.col("n").cast("double"), F.col("a")
-        found = seen.groupBy("entry").agg(F.count("*").alias("n"), F.sum("toxic").alias("a")).where((a >= 3) & (a * total > n * toxic))
+        pair = StructType([StructField(c, DoubleType() if c != "entry" else StringType()) for c in ("entry", "toxic", "half")])
+        seen = flat_rows(rows, lambda: lambda f, y, h: [(e, y, h) for e in entries_of(f)], pair)
+        n, a, n2, a2 = F.col("n").cast("double"), F.col("a"), F.col("n2"), F.col("a2")
+        found = seen.groupBy("entry").agg(F.count("*").alias("n"), F.sum("toxic").alias("a"), F.sum("half").alias("n2"), F.sum(F.col("toxic") * F.col("half")).alias("a2"))
+        twice = lambda a, n, y, x: (a >= 1) & (a * x > 2 * n * y)  # toxic over twice as often as the rows
+        found = found.where((a >= 3) & twice(a2, n2, second_toxic, second) & twice(a - a2, n - n2, toxic - second_toxic, total - second))
         term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(F.lit(0.0))
         ratio = 2 * (term(a, n * toxic / total) + term(n - a, n * clean / total) + term(toxic - a, toxic * (total - n) / total) + term(clean - (n - a), clean * (total - n) / total))
         top = found.withColumn("g", ratio).where(F.col("g") >= evidence).orderBy(F.desc(F.round("g", 6)), F.desc(F.length("entry")), "entry").limit(most).collect()
@@ -132,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int =
 
     def make():
         automaton = draft.automaton()
-        return lambda f, y: (*features(*measure(automaton, f)), y)
+        return lambda f, y, _: (*features(*measure(automaton, f)), y)
 
     points = map_rows(rows, make, numbers).collect()  # at most sample rows of three numbers
     data = np.array([tuple(p) for p in points], dtype=float).reshape(-1, 3)

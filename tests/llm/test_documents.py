@@ -476,6 +476,31 @@ def test_toxicity_on_unseen_rows(labelled, odd, clashing, none):
     assert empty.lexicon == {} and toxicity.score(odd, empty).count() == odd.count()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["clown", "clowns", "fish", "clown fish", "stemone", "stemtwo", "stem", "CL0WN", "cl\u00f6wn", "x", "st\u200bemone"]), max_size=12))
+def test_matches_equal_a_plain_scan(parts):
+    weights = {" clown ": 4.0, " stem": 2.0, " fish ": 1.0}
+    model = toxicity.Model(weights, ("clown fish",), (0.0, 1.0, 1.0))
+    text = " ".join(parts)
+    words = toxicity.fold(text).split()
+    spared = {j for i in range(len(words) - 1) if words[i : i + 2] == ["clown", "fish"] for j in (i, i + 1)}
+    stemmed = [w for w in words if w.startswith("stem")]
+    want = sum(weights.get(f" {w} ", 0) for i, w in enumerate(words) if i not in spared) + (2.0 * len(stemmed) if len(set(stemmed)) > 1 else 0)
+    assert toxicity.measure(model.automaton(), toxicity.fold(text)) == (want, len(words))
+
+
+def test_folding_sees_through_disguises():
+    assert toxicity.fold("\uff29d\u00ed\u200b\u00ado\u0301T i\u0501\u04560t, \U0001d422\U0001d41dl0t!") == " idiot idiot idlot "
+
+
+def test_repeated_ids_teach_once(spark):
+    docs = [(i % 40, f"word{i % 40} {'grimbolak' if i % 40 % 4 == 1 else 'fine'} {'scurvish' if i % 40 % 4 == 1 else ''}") for i in range(400)]
+    labels = [(i % 40, int(i % 40 % 4 == 1)) for i in range(120)]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    once = toxicity.train(d.distinct(), y.distinct(), evidence=2.0)
+    assert toxicity.train(d, y, evidence=2.0) == once and " grimbolak " in once.lexicon
+
+
 def test_exception_phrases_spare_their_words():
     model = toxicity.Model({" clown ": 4.0}, ("clown fish",), (0.0, 1.0, 1.0))
     auto = model.automaton()
