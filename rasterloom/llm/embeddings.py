@@ -64,7 +64,7 @@ def joined(homes: np.ndarray, members: np.ndarray, ids_h: np.ndarray, ids_m: np.
     return links, low_h, low_m
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 4096, block: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 2048, block: int = 4096) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of every vector.
 
     Equal vectors link with one another and are compared once. Vectors that are null, empty, zero or hold null or
