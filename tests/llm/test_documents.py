@@ -721,6 +721,41 @@ def test_passages_are_found_whoever_holds_their_parts(spark):
     assert {r.doc_id for r in found} >= {d for d, some in runs.items() if any(held[x] > 1 for x in some)}
 
 
+def test_passages_of_partial_first_holders_and_long_ends(spark):
+    from conftest import prose
+
+    shared = prose(70, 300).split()
+    rows = [(1 + i, f"{prose(710 + i, 20)} {' '.join(shared[30 * i : 30 * i + 48])}") for i in range(9)] + [(100, " ".join(shared)), (101, f"{prose(77, 10)} {' '.join(shared)}")]
+    # texts whose seeds differ from one another's beyond the first hundred words: every eighth word is another
+    tail = prose(71, 600).split()
+    rows += [(200, " ".join(tail)), (201, " ".join(w if i < 100 or i % 9 else f"x{i}" for i, w in enumerate(tail)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.pairs(df, pad=3).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, passages.pairs(df).collect()))
+    covered = lambda d: {at for r in found for key, a, b in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)) if key == d for at in range(a, b)}
+    assert covered(100) == set(range(300)) and covered(101) >= set(range(10, 310))
+    assert covered(200) >= set(range(598))
+
+
+def test_recall_of_edited_passages(spark):
+    """Of 60 passages each of 60 and 100 words with one word in n changed, those found over 0.8 of their length."""
+    rng, rows, plan = np.random.default_rng(3), [], []
+    text = lambda n: [f"v{x}" for x in rng.integers(0, 20_000, n)]
+    for every, least in ((10, 0.6), (12, 0.8), (15, 0.8), (20, 0.9)):
+        for size in [60, 100] * 30:
+            part, key = text(size), len(rows)
+            edited = [w if (i + key) % every else f"edit{key}x{i}" for i, w in enumerate(part)]
+            rows += [(key, " ".join(text(30) + part + text(30))), (key + 1, " ".join(text(20) + edited + text(40)))]
+            plan.append((every, least, key + 1, size))
+    got = {}
+    for r in passages.pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    hits = {}
+    for every, least, key, size in plan:
+        hits.setdefault((every, least), []).append(any(min(b, 20 + size) - max(a, 20) >= 0.8 * size for a, b in got.get(key, [])))
+    assert all(np.mean(v) >= least for (_, least), v in hits.items()), {k: np.mean(v) for k, v in hits.items()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
 def test_shared_words_equal_the_table(a, b):
