@@ -140,18 +140,24 @@ def gradients(graphs: DataFrame, params: dict[str, np.ndarray], sizes: Sizes, ki
     return {k: g.reshape(params[k].shape) for k, g in zip(names, np.split(total, cuts), strict=True)}, sum(r["loss"] for r in found) / n, n
 
 
-def train(rows: DataFrame, validation: DataFrame, params: dict, sizes: Sizes, kind: str = "fixed", epochs: int = 10, rate: float = 5e-3, patience: int = 5, freeze_after: int = 100, parts: int = 8, weight: float = 0.01):
+def train(rows: DataFrame, validation: DataFrame, params: dict, sizes: Sizes, kind: str = "fixed", epochs: int = 10, rate: float = 5e-3, patience: int = 5, freeze_after: int = 100, batches: int = 1, weight: float = 0.01):
     """(best parameters, history): rows and validation hold graphs and target; history has epoch, train_loss, val_loss.
 
+    An epoch takes a step for each of ``batches`` shares of the rows, dealt anew by hash; graphs stay in their partitions.
     The rate falls along a cosine; training stops after ``patience`` epochs without a better validation loss.
     """
     spark = rows.sparkSession
-    rows, validation = rows.repartition(parts).persist(), validation.repartition(parts).persist()
+    rows, validation = rows.persist(), validation.persist()
     adam, history, best = Adam(rate), [], (float("inf"), params)
     for epoch in range(epochs):
-        grads, loss, _ = gradients(rows, params, sizes, kind, weight)
-        now = rate * 0.5 * (1 + np.cos(np.pi * epoch / max(1, epochs)))
-        params = adam.step(params, grads, frozen=epoch >= freeze_after, rate=now)
+        loss = seen = 0.0
+        for batch in range(batches):
+            share = rows if batches == 1 else rows.where(F.pmod(F.xxhash64("graph_id", F.lit(epoch)), F.lit(batches)) == batch)
+            grads, mean, n = gradients(share, params, sizes, kind, weight)
+            now = rate * 0.5 * (1 + np.cos(np.pi * (epoch + batch / batches) / max(1, epochs)))
+            params = adam.step(params, grads, frozen=epoch >= freeze_after, rate=now)
+            loss, seen = loss + mean * n, seen + n
+        loss /= max(1.0, seen)
         scored = predict(validation, params, sizes, kind).join(validation.select("graph_id", "target"), "graph_id")
         val = scored.agg(F.avg((F.col("estimate") - F.col("target")) ** 2)).first()[0]
         val = float("inf") if val is None else val

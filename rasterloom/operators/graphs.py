@@ -12,6 +12,11 @@ def summarise(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.join(edges.groupBy("graph_id").agg(F.count("*").alias("n_edges")), "graph_id", "left").select("graph_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
+def mean_size(summaries: DataFrame) -> DataFrame:
+    """One row over graphs' summaries: how many there are and their mean numbers of nodes and edges."""
+    return summaries.agg(F.count("*").alias("graphs"), F.avg("n_nodes").alias("mean_nodes"), F.avg("n_edges").alias("mean_edges"))
+
+
 def admissible(graphs: DataFrame) -> DataFrame:
     """Graphs of more than one node and at least one edge."""
     return graphs.where((F.col("n_nodes") > 1) & (F.col("n_edges") > 0))

@@ -43,3 +43,9 @@ def report(weighted: DataFrame) -> DataFrame:
     stats = [F.coalesce(f(h), F.lit(-1.0)).alias(f"het_{n}") for n, f in kinds.items()]
     stats += [F.coalesce(f("w_spatial"), F.lit(0.0)).alias(f"w_{n}") for n, f in kinds.items()]
     return weighted.agg(F.count("*").alias("graphs"), F.count(h).alias("defined"), *stats)
+
+
+def edge_report(edges: DataFrame) -> DataFrame:
+    """kind, graphs that have such edges, edges, their mean and most a graph."""
+    by = edges.groupBy("graph_id", "kind").agg(F.count("*").alias("n")).groupBy("kind")
+    return by.agg(F.count("*").alias("graphs"), F.sum("n").alias("edges"), F.avg("n").alias("mean"), F.max("n").alias("most"))

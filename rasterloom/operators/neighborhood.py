@@ -102,13 +102,27 @@ def select_at(cells: DataFrame, config: GraphConfig) -> DataFrame:
     return kept.withColumn("idx", (F.col("k") - 1) * 6 + F.col("quadrant")).drop("quota", "k", "full")
 
 
+def rings(first: int, last: int) -> list[int]:
+    """Radii over the first to look at in turn, each twice the one before, up to the last."""
+    found = []
+    while first < last:
+        first = min(last, max(2 * first, first + 1))
+        found.append(first)
+    return found
+
+
 def nodes_of(centers: DataFrame, voxels: DataFrame, config: GraphConfig) -> DataFrame:
-    """select_nodes of all centres: at ext_range first, and over the whole reach for those alone that stay short there."""
-    first = select_at(measured(extract(centers, voxels, config.ext_range)), config)
-    if not config.max_ext:
-        return first
-    left = centers.join(first.select("graph_id").distinct(), "graph_id", "left_anti").select(*centers.columns)
-    return first.unionByName(select_nodes(measured(extract(left, voxels, config.reach)), config))
+    """select_nodes of all centres, kept in the cluster's cache: at ext_range first, then ring by ring for those alone that stay short.
+
+    A cube of the whole reach holds 20 to 100 times the cells of the first one, so only centres that need it see it.
+    """
+    done = select_at(measured(extract(centers, voxels, config.ext_range)), config).persist()
+    found = done
+    for radius in rings(config.ext_range, config.reach):
+        left = centers.join(found.select("graph_id").distinct(), "graph_id", "left_anti").select(*centers.columns)
+        more = select_nodes(measured(extract(left, voxels, radius)), config).where(F.col("radius") <= radius).persist()
+        found = found.unionByName(more)
+    return found
 
 
 def inside_grid(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
@@ -119,30 +133,26 @@ def inside_grid(nodes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
     return nodes.where(held)
 
 
-def nodes_in_rings(centers: DataFrame, voxels: DataFrame, config: GraphConfig, steps: tuple[int, ...], write) -> DataFrame:
-    """As select_nodes over the whole reach, for large reaches: only centres that fail within one radius go on to the next.
-
-    ``write`` stores a table and reads it back, once a step, so each step's cubes are extracted once.
-    """
-    done, left = None, centers
-    for n, radius in enumerate((*steps, config.reach)):
-        cells = measured(extract(left, voxels, radius))
-        found = write(select_nodes(cells, config).where(F.col("radius") <= radius))
-        done = found if done is None else done.unionByName(found)
-        if n < len(steps):
-            left = write(left.join(found.select("graph_id").distinct(), "graph_id", "left_anti"))
-    return done
-
-
-def candidates(centers: DataFrame, voxels: DataFrame, config: CandidateConfig, radius: int | None = None) -> DataFrame:
-    """Scheme C's pool: graph_id, rank, dt, dh, dw, value, region, radius, centre columns.
+def candidates(centers: DataFrame, voxels: DataFrame, config: CandidateConfig) -> DataFrame:
+    """Scheme C's pool: graph_id, rank, dt, dh, dw, value, region, radius, centre columns; in the cluster's cache.
 
     The radius is the least from initial_radius on at which every region holds ``least`` valid cells; graphs that
     reach none by max_radius have no rows. Cells come nearest first, those beyond their region's loose cap after all
     others, up to the pool's size. The centre, were it valid, would give away its own value: it is left out unless
-    the configuration includes it.
+    the configuration includes it. Wide cubes are cut out only for centres that need them, ring by ring.
     """
-    far = radius or config.max_radius
+    found = None
+    for radius in (config.initial_radius, *rings(config.initial_radius, config.max_radius)):
+        left = centers
+        if found is not None:
+            left = centers.join(found.select("graph_id").distinct(), "graph_id", "left_anti").select(*centers.columns)
+        more = candidates_within(left, voxels, config, radius).persist()
+        found = more if found is None else found.unionByName(more)
+    return found
+
+
+def candidates_within(centers: DataFrame, voxels: DataFrame, config: CandidateConfig, far: int) -> DataFrame:
+    """The pools of the centres whose radius is at most ``far``."""
     d = [F.col(c) for c in ("dt", "dh", "dw")]
     cells = extract(centers, voxels, far, with_center=config.include_center).repartition("graph_id")
     cells = cells.withColumn("d2", squared(*d)).withColumn("cheb", chebyshev(*d)).withColumn("region", region(*d))

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..config import CandidateConfig, GraphConfig, HeterogeneityConfig, QualityConfig
 from ..functions import geometry as G
 from ..operators import edges as E
-from ..operators import fill, graphs, heterogeneity, learning, positions, quality, raster, tiles
+from ..operators import attention, fill, graphs, heterogeneity, learning, positions, quality, raster, tiles
 from ..operators import neighborhood as N
 from ..sources.derived import MIDDLE, SMALL, cube, raw_voxels
 from . import builders as B
+from . import tiled
 
 #: The margins and reaches of the registered queries, sized for their small grids.
 GRAPH = GraphConfig(ext_range=3, max_ext=3, edge_time=6, edge_height=6, edge_width=6, sample_per_class=50)
@@ -217,8 +218,8 @@ def cube_extract(spark, sf):
 @query("graph_id long, cells long, near long")
 def clamped_crop(spark, sf):
     v = cube(spark, sf)
-    edge = B.numbered(v.where("value is null and t = 0").select("t", "h", "w"), SMALL)
-    return N.extract(edge, v, 5).groupBy("graph_id").agg(F.count("*").alias("cells"), F.count_if(F.abs("dh") <= 1).alias("near"))
+    every = B.numbered(v.where("value is null").select("t", "h", "w"), SMALL)
+    return N.extract(every, v, 5).groupBy("graph_id").agg(F.count("*").alias("cells"), F.count_if(F.abs("dh") <= 1).alias("near"))
 
 
 @query("graph_id long, quadrant int, valid long, quota int, enough boolean")
@@ -259,6 +260,28 @@ def graph_summary(spark, sf):
     return graphs.admissible(B.build(every_center(v), v, SMALL, WIDE).summary())
 
 
+@query("graphs long, mean_nodes r6, mean_edges r6")
+def mean_graph_size(spark, sf):
+    v = cube(spark, sf)
+    return graphs.mean_size(B.build(every_center(v), v, SMALL, WIDE).summary())
+
+
+@query("graph_id long, ordinal int, value r9")
+def gathered_values(spark, sf):
+    """The value at each edge's source, in the edges' order."""
+    v = cube(spark, sf)
+    flat = graphs.arrays(B.build(gaps(v), v, SMALL, GRAPH).packed())
+    flat = flat.withColumn("held", F.concat(F.array(F.lit(-1.0).cast("float")), F.col("value")))
+    return graphs.gather(flat, "held", "src").select("graph_id", F.posexplode("gathered").alias("ordinal", "value"))
+
+
+@query("graph_id long, ordinal int, src int, dst int, kind string")
+def tiled_edges(spark, sf):
+    """The edges of every centre's graph, cut out of dense tiles."""
+    v = cube(spark, sf)
+    return tiled.edges(tiled.build(every_center(v), v, SMALL, WIDE, size=(6, 5, 7)))
+
+
 @query("day int, file string, graphs long, edges long")
 def prediction_graphs_by_day(spark, sf):
     made = B.for_prediction(cube(spark, sf), SMALL, GRAPH)
@@ -277,8 +300,7 @@ def training_graphs_by_class(spark, sf):
 @query("graph_id long, idx int, feature r9, truth r9")
 def packed_nodes(spark, sf):
     v = cube(spark, sf)
-    some = B.numbered(v.where(positions.in_region(SMALL, (10, 6, 6))).select("t", "h", "w"), SMALL)
-    return graphs.unpack_nodes(B.build(some, v, SMALL, GRAPH).packed())
+    return graphs.unpack_nodes(B.build(every_center(v), v, SMALL, GRAPH).packed())
 
 
 @query("graph_id long, target r9")
@@ -398,6 +420,18 @@ def dyn_edges_neighbor(spark, sf):
     return E.dynamic_neighbor(made.nodes, w, E.dynamic_main(made.nodes, made.cells, w, SCHEME_B), SCHEME_B)
 
 
+@query("graph_id long, ordinal int, src int, dst int, kind string, et r6, eh r6, ew r6")
+def dynamic_edges(spark, sf):
+    made, w = _scheme_b(spark, sf, 0.75)
+    return E.dynamic_edges(made.nodes, made.cells, w, SCHEME_B)
+
+
+@query("kind string, graphs long, edges long, mean r6, most long")
+def dynamic_edge_report(spark, sf):
+    made, w = _scheme_b(spark, sf, 0.75)
+    return heterogeneity.edge_report(E.dynamic_edges(made.nodes, made.cells, w, SCHEME_B))
+
+
 # ---- scheme C
 
 
@@ -423,8 +457,7 @@ def knn_edges(spark, sf):
 @query("graph_id long, held int, first_value r9, last_value r9")
 def padded_candidates(spark, sf):
     v = cube(spark, sf)
-    pool = N.candidates(gaps(v), v, replace(SCHEME_C, pool=60)).where("rank <= 40 + graph_id % 25")
-    found = graphs.padded(pool, 64)
+    found = graphs.padded(N.candidates(gaps(v), v, SCHEME_C), SCHEME_C.pool)
     return found.select("graph_id", F.size(F.filter("mask", lambda m: m)).alias("held"), F.col("candidates")[0]["value"].alias("first_value"), F.col("candidates")[63]["value"].alias("last_value"))
 
 
@@ -502,6 +535,67 @@ def early_stop(spark, sf):
     return learning.early_stop(_history(spark, sf), 5)
 
 
+# ---- models, over fixed parameters
+
+
+def weights(n_in: int, n_out: int, seed: int) -> tuple[list[list[float]], list[float]]:
+    """Fixed weights and shifts between -0.5 and 0.5, by a rule that SQL can repeat."""
+    return [[((5 * i + 3 * j + seed) % 11 - 5) / 10 for j in range(n_out)] for i in range(n_in)], [((7 * j + seed) % 5 - 2) / 10 for j in range(n_out)]
+
+
+def layer(n_in: int, seed: int) -> dict:
+    found = {"left": weights(n_in, 4, seed), "right": weights(n_in, 4, seed + 1), "edge": weights(3, 4, seed + 2), "attention": [[0.5, -0.3], [0.2, 0.4]]}
+    return found | {"scale": [1.0, 0.9, 1.1, 1.2], "shift": [0.0, 0.1, -0.1, 0.05]}
+
+
+LAYERS = [layer(4, 1), layer(4, 4)]
+HEAD = {"out1": weights(4, 2, 3), "out2": weights(2, 1, 5)}
+SELECTOR = {"pos1": weights(3, 2, 2), "pos2": weights(2, 4, 3), "gate": weights(8, 4, 4), "score": weights(4, 1, 6)}
+
+
+def _model_input(spark, sf):
+    """Nodes and edges of the gaps' graphs as the models read them: value, -1 at the centre, and offsets over the edge scale."""
+    v = cube(spark, sf)
+    made = B.build(gaps(v), v, SMALL, GRAPH)
+    full = E.with_center(made.nodes).join(made.nodes.select("graph_id", "idx", "value"), ["graph_id", "idx"], "left")
+    scaled = [F.col(c).cast("double") / GRAPH.edge_scale for c in ("dt", "dh", "dw")]
+    nodes = full.select("graph_id", "idx", F.array(F.coalesce(F.col("value").cast("double"), F.lit(-1.0)), *scaled).alias("x"))
+    moved = F.array(*[F.col(c).cast("double") / GRAPH.edge_scale for c in ("et", "eh", "ew")])
+    edges = made.edges.select("graph_id", "src", "dst", (-moved[0]).alias("a"), (-moved[1]).alias("b"), (-moved[2]).alias("c"))
+    edges = edges.select("graph_id", "src", "dst", F.array("a", "b", "c").alias("moved"))
+    own = nodes.where("idx = 0").select("graph_id", F.lit(0).alias("src"), F.lit(0).alias("dst"), F.array(*[F.lit(0.0)] * 3).alias("moved"))
+    return nodes, edges.unionByName(own)
+
+
+@query("graph_id long, idx int, place int, value r5")
+def attention_layer(spark, sf):
+    nodes, edges = _model_input(spark, sf)
+    return attention.attention_layer(nodes, edges, LAYERS[0], 2).select("graph_id", "idx", F.posexplode("x").alias("place", "value"))
+
+
+@query("graph_id long, estimate r5")
+def attention_estimates(spark, sf):
+    nodes, edges = _model_input(spark, sf)
+    for params in LAYERS:
+        nodes = attention.attention_layer(nodes, edges, params, 2)
+    return attention.estimates(nodes, HEAD)
+
+
+@query("graph_id long, idx int, score r6")
+def gated_scores(spark, sf):
+    v = cube(spark, sf)
+    pool = N.candidates(gaps(v), v, SCHEME_C)
+    parts = [F.col(c).cast("double") for c in ("dt", "dh", "dw", "value")]
+    return attention.gated_scores(pool.select("graph_id", (F.col("rank") - 1).alias("idx"), F.array(*parts).alias("x")), SELECTOR)
+
+
+@query("vec_id long, leaky r6, elu r6, gelu r6")
+def activations(spark, sf):
+    x = F.col("embedding")[0].cast("double") * 4
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return rows.select("vec_id", attention.leaky(x).alias("leaky"), attention.elu(x).alias("elu"), attention.gelu(x).alias("gelu"))
+
+
 # ---- filling
 
 

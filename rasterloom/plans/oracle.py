@@ -143,7 +143,6 @@ cgrown as (select graph_id, min(radius) as radius from (select graph_id, radius
 pooled as (select l.*, g.radius, row_number() over (partition by l.graph_id, region order by d2, dt, dh, dw) > (case when region < __LOOSE__ then __CAP__ + 2 else __CAP__ end) as over_cap from located l join cgrown g on g.graph_id = l.graph_id and cheb <= g.radius),
 pool as (select * from (select *, row_number() over (partition by graph_id order by over_cap, d2, dt, dh, dw) as rank from pooled) where rank <= __POOL__)"""
 POOL64 = POOL.replace("__LEAST__", "11").replace("__LOOSE__", "4").replace("__CAP__", "15").replace("__POOL__", "64")
-POOL60 = POOL.replace("__LEAST__", "10").replace("__LOOSE__", "0").replace("__CAP__", "15").replace("__POOL__", "60")
 VECTORS = "vectors as (select (vec_id // 32)::bigint as graph_id, (vec_id % 32)::int as idx, embedding::double[] as v from embeddings)"
 NEAR = f"""{VECTORS}, sims as (select a.graph_id, a.idx as i, b.idx as j, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 9) as similarity
   from vectors a join vectors b using (graph_id)),
@@ -153,6 +152,54 @@ SOFT = "soft as (select *, exp(score - max(score) over (partition by graph_id))
 SPLIT = f"parts as (select *, case when row_number() over (order by {DRAW.format('$$42,$$ || o_orderkey')}, o_orderkey) <= floor(count(*) over () * 0.8) then 'train' else 'val' end as part from orders)"
 HISTORY = "history as (select (o_orderkey % 40)::int as epoch, (count(*) % 9 + 1)::double as val_loss from orders group by 1)"
 
+DYN_NEAR = """select a.graph_id, a.idx as src, b.idx as dst, 0.75 * (b.dt - a.dt) as et, 0.75 * (b.dh - a.dh) as eh, 0.75 * (b.dw - a.dw) as ew
+  from nodes a join full_nodes b on a.graph_id = b.graph_id and abs(a.dt - b.dt) + abs(a.dh - b.dh) + abs(a.dw - b.dw) = 1
+  where not exists (select 1 from mains m where m.graph_id = a.graph_id and m.src = a.idx and m.dst = b.idx)"""
+DYN_ALL = f"""{DYN_MAIN}, nears as ({DYN_NEAR}),
+every as (select graph_id, src, dst, et, eh, ew, 'main' as kind from mains union all select *, 'near' from nears),
+placed as (select *, row_number() over (partition by graph_id order by src, kind, abs(et), et desc, dst) as ordinal from every),
+capped as (select p.* from placed p join (select graph_id, 4 * (count(*) + 1) as most from nodes group by 1) using (graph_id) where ordinal <= most)"""
+
+
+def dense(x: list[str], n_out: int, seed: int) -> list[str]:
+    """Each output of a dense transform of the expressions x, with the catalog's fixed weights."""
+    shift = [((7 * j + seed) % 5 - 2) / 10 for j in range(n_out)]
+    return ["(" + " + ".join([f"({b})::double"] + [f"({((5 * i + 3 * j + seed) % 11 - 5) / 10})::double * {v}" for i, v in enumerate(x)]) + ")" for j, b in enumerate(shift)]
+
+
+def attended(source: str, to: str, seed: int) -> str:
+    """The tables of one layer of two heads and width 4, from x0..x3 of ``source`` to those of ``to``."""
+    gelu_free = lambda v: f"case when {v} > 0 then {v} else 0.2 * {v} end"
+    x = [f"x{i}" for i in range(4)]
+    listed = lambda exprs, name: ", ".join(f"{e} as {name}{j}" for j, e in enumerate(exprs))
+    vector = [0.5, -0.3, 0.2, 0.4]
+    part = lambda j: f"({vector[j]}) * ({gelu_free(f'(a.l{j} + b.r{j} + k{j})')})"
+    mixed = [f"sum(exp(s{j // 2} - m{j // 2}) * r{j}) / sum(exp(s{j // 2} - m{j // 2})) as h{j}" for j in range(4)]
+    mean = "((o0 + o1 + o2 + o3) / 4)"
+    normal = [f"((o{j} - {mean}) / sqrt(((o0 - {mean}) ** 2 + (o1 - {mean}) ** 2 + (o2 - {mean}) ** 2 + (o3 - {mean}) ** 2) / 4 + 1e-5) * {a} + ({b}))" for j, (a, b) in enumerate(((1.0, 0.0), (0.9, 0.1), (1.1, -0.1), (1.2, 0.05)))]
+    return f"""{to}_sides as (select graph_id, idx, {listed(dense(x, 4, seed), "l")}, {listed(dense(x, 4, seed + 1), "r")} from {source}),
+{to}_moved as (select graph_id, src, dst, {listed(dense(["e0", "e1", "e2"], 4, seed + 2), "k")} from links),
+{to}_scored as (select e.graph_id, e.dst, b.*, {part(0)} + {part(1)} as s0, {part(2)} + {part(3)} as s1 from {to}_moved e
+  join {to}_sides a on a.graph_id = e.graph_id and a.idx = e.dst join (select graph_id as g, idx as i, r0, r1, r2, r3 from {to}_sides) b on b.g = e.graph_id and b.i = e.src),
+{to}_best as (select *, max(s0) over (partition by graph_id, dst) as m0, max(s1) over (partition by graph_id, dst) as m1 from {to}_scored),
+{to}_heard as (select graph_id, dst as idx, {", ".join(mixed)} from {to}_best group by 1, 2),
+{to}_sum as (select graph_id, idx, {", ".join(f"h{j} + x{j} as o{j}" for j in range(4))} from {to}_heard join {source} using (graph_id, idx)),
+{to} as (select graph_id, idx, {", ".join(f"case when {n} > 0 then {n} else exp({n}) - 1 end as x{j}" for j, n in enumerate(normal))} from {to}_sum)"""
+
+
+def gelu(v: str) -> str:
+    return f"(0.5 * ({v}) * (1 + (exp(2 * 0.7978845608028654 * (({v}) + 0.044715 * ({v}) ** 3)) - 1) / (exp(2 * 0.7978845608028654 * (({v}) + 0.044715 * ({v}) ** 3)) + 1)))"
+
+
+MODEL = f"""{GRAPH_GAPS}, {EDGES},
+inputs as (select graph_id, idx, value::double as x0, dt / 8.0::double as x1, dh / 8.0::double as x2, dw / 8.0::double as x3 from nodes union all select distinct graph_id, 0, -1.0, 0, 0, 0 from nodes),
+links as (select graph_id, src, dst, -et / 8.0::double as e0, -eh / 8.0::double as e1, -ew / 8.0::double as e2 from edges union all select distinct graph_id, 0, 0, 0, 0, 0 from nodes),
+{attended("inputs", "one", 1)}"""
+SCORED = f"""{POOL64}, fars as (select *, greatest(1.0::double, max(greatest(abs(dt), abs(dh), abs(dw))) over (partition by graph_id)) as far from pool),
+inner_ as (select *, {", ".join(f"{gelu(v)} as i{j}" for j, v in enumerate(dense(["(dt / far)", "(dh / far)", "(dw / far)"], 2, 2)))} from fars),
+coded as (select *, {", ".join(f"{v} as c{j}" for j, v in enumerate(dense(["i0", "i1"], 4, 3)))} from inner_),
+gated as (select *, {", ".join(f"c{j} / (1 + exp(-{v})) as g{j}" for j, v in enumerate(dense(["c0", "c1", "c2", "c3", "dt", "dh", "dw", "value::double"], 4, 4)))} from coded)"""
+
 #: Query -> (common table expressions, final select).
 PARTS = {
     "clean_voxels": (vox(SMALL), "select * from vox"),
@@ -181,7 +228,7 @@ PARTS = {
     "tile_halo": (f"{vox(SMALL)}, tiles as (select a.i as th, b.i as tw from range(3) a(i), range(3) b(i))", "select th as tile_h, tw as tile_w, count(*) as cells, count_if(h // 6 = th and w // 6 = tw) as core, min(h) as low_h, max(h) as high_h, min(w) as low_w, max(w) as high_w from vox join tiles on h between th * 6 - 4 and th * 6 + 9 and w between tw * 6 - 4 and tw * 6 + 9 group by 1, 2"),
     "tile_build_report": (GRAPH_WIDE, "select count(*) as tiles, sum(c) as centers, sum(g) as graphs, sum(g) / sum(c)::double as success from (select h // 2, w // 2, count(*) as c, count(g) as g from centers left join (select distinct graph_id, 1 as g from nodes) using (graph_id) group by 1, 2)"),
     "cube_extract": (f"{vox(SMALL)}, {centers('gaps')}, {cells(3, True)}", "select * from near"),
-    "clamped_crop": (f"{vox(SMALL)}, centers as (select ((t * 16 + h) * 16 + w)::bigint as graph_id, t, h, w from vox where value is null and t = 0), {cells(5)}", "select graph_id, count(*) as cells, count_if(abs(dh) <= 1) as near from near group by 1"),
+    "clamped_crop": (f"{vox(SMALL)}, centers as (select ((t * 16 + h) * 16 + w)::bigint as graph_id, t, h, w from vox where value is null ), {cells(5)}", "select graph_id, count(*) as cells, count_if(abs(dh) <= 1) as near from near group by 1"),
     "quadrant_counts": (f"{vox(SMALL)}, {centers('all')}, {cells(6)}", "select graph_id, q as quadrant, count(quadrant) as valid, 5 + (q <= 2)::int as quota, count(quadrant) >= 5 + (q <= 2)::int as enough from centers cross join range(1, 7) r(q) left join cells using (graph_id) where quadrant = q or quadrant is null group by 1, 2"),
     "adaptive_radius": (GRAPH_WIDE, "select * from grown"),
     "select_nodes": (GRAPH_WIDE, "select * from nodes"),
@@ -192,7 +239,7 @@ PARTS = {
     "prediction_graphs_by_day": (f"{GRAPH_GAPS}, {EDGES}, {SUMS}", "select t - 6 as day, 'graph_forPred_' || lpad((t - 6)::varchar, 3, '0') as file, count(*) as graphs, sum(n_edges) as edges from summary join centers using (graph_id) group by 1, 2"),
     "training_graphs_by_class": (f"{vox(SMALL)}, {sample(f'select {klass()} as class, t, h, w from vox where {inside(SMALL)} and {klass()} > 0', 12, 0, True)}, centers as (select class * 1000000000::bigint + sample_id as graph_id, s.*, v.value from sampled s join vox v using (t, h, w)), {cells(6)}, {nodes(3, 3)}, {EDGES}, {SUMS}",
         "select class, count(*) as graphs, sum(n_edges) as edges, avg(value::double) as target from summary join centers using (graph_id) group by 1"),
-    "packed_nodes": (f"{vox(SMALL)}, {centers('all').replace(inside(SMALL), inside(SMALL, (10, 6, 6)))}, {cells(6)}, {nodes(3, 3)}", "select graph_id, idx, value as feature, value as truth from nodes union all select graph_id, 0, -1.0, value from centers where graph_id in (select graph_id from nodes)"),
+    "packed_nodes": (GRAPH_ALL, "select graph_id, idx, value as feature, value as truth from nodes union all select graph_id, 0, -1.0, value from centers where graph_id in (select graph_id from nodes)"),
     "graph_targets": (GRAPH_ALL, "select graph_id, value as target from centers where graph_id in (select graph_id from nodes)"),
     "harmonised_graphs": (f"{HET.replace(centers('all'), centers('gaps')).replace('near as', 'hnear as').replace('from near', 'from hnear').replace(cells(3, True).split('cells as')[1], cells(3, True).split('cells as')[1].replace('from near', 'from hnear')).replace('cells as', 'hcells as')}, {cells(6)}, {nodes(3, 3)}, {EDGES}, {SUMS}",
         "select 'plain' as scheme, graph_id, n_nodes, null as het from summary union all select 'weighted', graph_id, n_nodes, het from summary join het using (graph_id)"),
@@ -211,12 +258,21 @@ PARTS = {
     "dyn_edges_main": (DYN_MAIN, "select * from mains"),
     "dyn_edges_temporal": (f"{GRAPH_GAPS}, full_nodes as (select graph_id, idx, dt, dh, dw from nodes union all select distinct graph_id, 0, 0, 0, 0 from nodes)",
         "select a.graph_id, a.idx as src, b.idx as dst, 0.75 * (b.dt - a.dt) as et, 0 as eh, 0 as ew from nodes a join full_nodes b on a.graph_id = b.graph_id and a.dh = b.dh and a.dw = b.dw and abs(a.dt - b.dt) between 1 and 3"),
-    "dyn_edges_neighbor": (DYN_MAIN, "select a.graph_id, a.idx as src, b.idx as dst, 0.75 * (b.dt - a.dt) as et, 0.75 * (b.dh - a.dh) as eh, 0.75 * (b.dw - a.dw) as ew from nodes a join full_nodes b on a.graph_id = b.graph_id and abs(a.dt - b.dt) + abs(a.dh - b.dh) + abs(a.dw - b.dw) = 1 where not exists (select 1 from mains m where m.graph_id = a.graph_id and m.src = a.idx and m.dst = b.idx)"),
+    "dyn_edges_neighbor": (DYN_MAIN, DYN_NEAR),
+    "mean_graph_size": (f"{GRAPH_WIDE}, {EDGES}, {SUMS}", "select count(*) as graphs, avg(n_nodes) as mean_nodes, avg(n_edges) as mean_edges from summary"),
+    "gathered_values": (f"{GRAPH_GAPS}, {EDGES}", "select e.graph_id, row_number() over (partition by e.graph_id order by src, turn, dst) - 1 as ordinal, coalesce(n.value, -1.0) as value from edges e left join nodes n on n.graph_id = e.graph_id and n.idx = e.src"),
+    "tiled_edges": (f"{GRAPH_WIDE}, {EDGES}", "select graph_id, row_number() over (partition by graph_id order by src, turn, dst) as ordinal, src, dst, kind from edges"),
+    "dynamic_edges": (DYN_ALL, "select * from capped"),
+    "dynamic_edge_report": (DYN_ALL, "select kind, count(*) as graphs, sum(n) as edges, avg(n) as mean, max(n) as most from (select graph_id, kind, count(*) as n from capped group by 1, 2) group by 1"),
+    "attention_layer": (MODEL, "select graph_id, idx, place, value from (select graph_id, idx, unnest([0, 1, 2, 3]) as place, unnest([x0, x1, x2, x3]) as value from one)"),
+    "attention_estimates": (f"{MODEL}, {attended('one', 'two', 4)}", f"select graph_id, {dense([gelu(v) for v in dense(['x0', 'x1', 'x2', 'x3'], 2, 3)], 1, 5)[0]} as estimate from two where idx = 0"),
+    "gated_scores": (SCORED, f"select graph_id, rank - 1 as idx, {dense(['g0', 'g1', 'g2', 'g3'], 1, 6)[0]} as score from gated"),
+    "activations": ("xs as (select vec_id, embedding[1]::double * 4 as x from embeddings)", f"select vec_id, case when x > 0 then x else 0.2 * x end as leaky, case when x > 0 then x else exp(x) - 1 end as elu, {gelu('x')} as gelu from xs"),
     "region_counts": (f"{vox(SMALL)}, {centers('gaps')}, {cells(4)}", f"select graph_id, {reg()} as region, count(*) as valid from cells group by 1, 2"),
     "candidate_pool": (POOL64, "select * from pool"),
     "knn_edges": (f"{POOL64}, picked as (select graph_id, rank - 1 as idx, dt, dh, dw from pool where rank <= 36), pairs as (select a.graph_id, a.idx as src, b.idx as dst, a.dt - b.dt as et, a.dh - b.dh as eh, a.dw - b.dw as ew, row_number() over (partition by a.graph_id, a.idx order by (a.dt - b.dt) ** 2 + (a.dh - b.dh) ** 2 + (a.dw - b.dw) ** 2, b.idx) as place from picked a join picked b on a.graph_id = b.graph_id and a.idx <> b.idx)",
         "select graph_id, src, dst, 'knn' as kind, (et / 8.0)::float as et, (eh / 8.0)::float as eh, (ew / 8.0)::float as ew from pairs where src = 0 or place <= 4 union all select graph_id, idx, idx, 'loop', 0, 0, 0 from picked"),
-    "padded_candidates": (POOL60, "select graph_id, count(*) as held, max(case when rank = 1 then value end) as first_value, coalesce(max(case when rank = 64 then value end), 0) as last_value from pool where rank <= 40 + graph_id % 25 group by 1"),
+    "padded_candidates": (POOL64, "select graph_id, count(*) as held, max(case when rank = 1 then value end) as first_value, coalesce(max(case when rank = 64 then value end), 0) as last_value from pool group by 1"),
     "cosine_knn": (NEAR, "select * from knn"),
     "softmax_scores": (SCORES.replace("v[1] as score", "v[1] / 0.5 as score") + f", {SOFT}", "select * from soft"),
     "top_scores": (SCORES, "select * from (select *, row_number() over (partition by graph_id order by score desc, idx) as place from scores) where place <= 5"),

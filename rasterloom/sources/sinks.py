@@ -23,10 +23,13 @@ def write_prediction(packed: DataFrame, path: str, nodes: int) -> str:
     return place
 
 
-def write_cube(voxels: DataFrame, path: str, days: int = 32) -> None:
-    """A cube by blocks of days, within them in order of place, so that readers prune by time and by row ranges."""
+def write_cube(voxels: DataFrame, path: str, days: int = 32, side: int = 256) -> None:
+    """A cube by blocks of days, within them in order of place, so that readers prune by time and by row ranges.
+
+    A task writes ``side`` times ``side`` pixels of a block, so a file's size does not follow the grid's.
+    """
     blocked = voxels.withColumn("block", F.floor(F.col("t") / days).cast("int"))
-    blocked.repartition("block").sortWithinPartitions("block", "h", "w", "t").write.mode("overwrite").partitionBy("block").parquet(path)
+    blocked.repartition("block", F.floor(F.col("h") / side), F.floor(F.col("w") / side)).sortWithinPartitions("block", "h", "w", "t").write.mode("overwrite").partitionBy("block").parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str, days: tuple[int, int] | None = None, block: int = 32) -> DataFrame:

@@ -77,7 +77,7 @@ def test_rings_equal_one_step(spark):
     centers = builders.numbered(spark.createDataFrame([(6, 6, 6), (6, 5, 6), (7, 6, 6)], "t int, h int, w int"), (13, 13, 13))
     config = replace(CONFIG, max_ext=4)
     once = N.select_nodes(N.measured(N.extract(centers, held, config.reach)), config)
-    steps = N.nodes_in_rings(centers, held, config, (2, 4), lambda df: df.cache())
+    steps = N.nodes_of(centers, held, config)
     cols = ["graph_id", "idx", "dt", "dh", "dw", "radius"]
     assert sorted(map(tuple, once.select(*cols).collect())) == sorted(map(tuple, steps.select(*cols).collect()))
 

@@ -166,7 +166,7 @@ def test_training_lowers_the_loss_and_fills(spark, cube):
     rows = tiled.build(centers, cube, SHAPE, CONFIG).join(target, "graph_id").cache()
     sizes = Sizes(hidden=8)
     start = initial(sizes, "fixed")
-    best, history = learned.train(rows, rows, start, sizes, epochs=6, rate=0.02, parts=2)
+    best, history = learned.train(rows, rows, start, sizes, epochs=6, rate=0.02, batches=2)
     losses = [r.val_loss for r in history.orderBy("epoch").collect()]
     assert min(losses) < losses[0]
     again = learned.from_table(learned.to_table(spark, best))
