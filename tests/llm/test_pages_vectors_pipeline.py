@@ -146,3 +146,64 @@ def test_pipeline_keeps_clean_documents(spark):
     assert once.select("doc_id").distinct().count() == once.count()
     hidden = corpus_pipeline.STAGES[2][1](spark, once, folder)
     assert hidden.count() == once.count() and hidden.where("text rlike 'AKIA[A-Z0-9]{14,}'").count() == 0
+
+
+def test_pipeline_equals_brute_force_stage_by_stage(spark):
+    """All stages on 1,000 documents, each against a plain version of it on what the stage before kept."""
+    import zlib
+
+    import corpus_pipeline
+    import duckdb
+    import public_tokenizers
+    from test_documents import brute_classes, shingle_set
+    from tokenizers import Tokenizer
+
+    from rasterloom.llm import mixing, secrets, toxicity
+    from rasterloom.llm.common import written
+
+    folder = "/root/testdata/sf0.01"
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [r.asDict() for r in docs.collect()]
+    rate = toxicity.rater(toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    listed = lambda df: sorted((r.asDict() for r in df.collect()), key=lambda r: r["doc_id"])
+
+    kept = written(stages["toxicity"](spark, docs, folder), "kept")
+    want = [r for r in rows if rate(r["text"] or "") < 0.3]
+    assert listed(kept) == sorted(want, key=lambda r: r["doc_id"]) and len(want) < len(rows)
+
+    once = written(stages["near_duplicates"](spark, kept, folder), "once")
+    want.sort(key=lambda r: r["doc_id"])
+    sets = [shingle_set(r["text"]) for r in want]
+    classes = brute_classes(len(want), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    want = [r for n, r in enumerate(want) if classes[n] == n]
+    assert listed(once) == want and len(want) < len(sets)
+
+    hidden = written(stages["secrets"](spark, once, folder), "hidden")
+    for r in want:
+        r["text"] = r["text"] and secrets.redacted(r["text"], secrets.base_spans(r["text"]) + secrets.confirmed_spans(r["text"]))
+    assert listed(hidden) == want and any("[SECRET]" in (r["text"] or "") for r in want)
+
+    mixed = written(stages["mixing"](spark, hidden, folder), "mixed")
+    con = duckdb.connect()
+    con.register("documents", hidden.toPandas())
+    times = {r[0]: -(-r[4] // r[1]) if r[1] else 0 for r in con.sql(mixing.OP10_SQL).fetchall()}
+    got = collections.Counter(r.doc_id for r in mixed.select("doc_id").collect())
+    assert got == {k: n for k, n in times.items() if n}
+
+    packed = stages["packing"](spark, mixed, folder).collect()
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = collections.Counter()
+    for r in want:
+        ids = np.array([*full.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        cuts = [0, *range((len(ids) - 1) % 1024 + 1, len(ids) + 1, 1024)]
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            pieces[(r["doc_id"], n, a, b - a, zlib.crc32(ids[a:b].tobytes()))] += times[r["doc_id"]]
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == +pieces
+    by = collections.defaultdict(list)
+    for r in packed:
+        by[r.sequence_id].append((r.offset, r.length))
+    for places in by.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 1024
+    assert len(by) <= 1.02 * max(sum(k[3] * n for k, n in pieces.items()) / 1024, sum(n for k, n in pieces.items() if k[3] > 512)) + 3
