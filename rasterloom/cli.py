@@ -16,7 +16,7 @@ from .model import spark as learned
 from .model.network import Sizes, initial
 from .operators import fill, graphs, positions
 from .operators import neighborhood as N
-from .operators.raster import clean
+from .operators.raster import clean, clean_single
 from .plans import builders, tiled
 from .sources import frames, npy, sinks
 
@@ -56,14 +56,14 @@ def parser() -> argparse.ArgumentParser:
 
 
 def load(spark: SparkSession, args) -> tuple[DataFrame, tuple[int, int, int]]:
-    """The cleaned cube and its shape."""
+    """The cleaned cube, for candidates by their own rule, and its shape."""
     if args.input.endswith(".npy"):
         raw = npy.read(spark, args.input, args.quality)
     else:
         raw = spark.read.parquet(args.input)
         if args.quality:
             raw = raw.join(spark.read.parquet(args.quality), ["t", "h", "w"], "left")
-    voxels = clean(raw, CleanConfig())
+    voxels = clean_single(raw) if args.scheme == "c" else clean(raw, CleanConfig())
     ends = voxels.agg(F.max("t"), F.max("h"), F.max("w")).first()
     return voxels, tuple(int(e) + 1 for e in ends)
 

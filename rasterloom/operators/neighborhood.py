@@ -111,16 +111,19 @@ def rings(first: int, last: int) -> list[int]:
     return found
 
 
-def nodes_of(centers: DataFrame, voxels: DataFrame, config: GraphConfig) -> DataFrame:
+def nodes_of(centers: DataFrame, voxels: DataFrame, config: GraphConfig, kept: list[DataFrame] | None = None) -> DataFrame:
     """select_nodes of all centres, kept in the cluster's cache: at ext_range first, then ring by ring for those alone that stay short.
 
     A cube of the whole reach holds 20 to 100 times the cells of the first one, so only centres that need it see it.
+    The tables in the cache are added to ``kept``, for the caller to unpersist.
     """
-    done = select_at(measured(extract(centers, voxels, config.ext_range)), config).persist()
-    found = done
+    kept = [] if kept is None else kept
+    found = select_at(measured(extract(centers, voxels, config.ext_range)), config).persist()
+    kept.append(found)
     for radius in rings(config.ext_range, config.reach):
         left = centers.join(found.select("graph_id").distinct(), "graph_id", "left_anti").select(*centers.columns)
         more = select_nodes(measured(extract(left, voxels, radius)), config).where(F.col("radius") <= radius).persist()
+        kept.append(more)
         found = found.unionByName(more)
     return found
 

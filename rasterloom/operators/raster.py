@@ -36,7 +36,7 @@ def clean(voxels: DataFrame, config: CleanConfig = CleanConfig()) -> DataFrame:
 
 def clean_single(voxels: DataFrame, config: CleanConfig = CleanConfig(nodata=None)) -> DataFrame:  # noqa: B008
     """The variant of the candidate builder: single precision throughout, and no nodata rule."""
-    kept = F.when(F.col("quality") > config.max_quality, None).otherwise(F.col("raw"))
+    kept = F.when(F.col("quality") > config.max_quality, None).otherwise(F.col("raw")) if "quality" in voxels.columns else F.col("raw")
     one = (kept.cast("float") / F.lit(config.radiance_divisor).cast("float")).cast("float")
     return voxels.withColumn("value", (one / F.lit(config.feature_scale).cast("float")).cast("float"))
 

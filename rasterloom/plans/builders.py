@@ -15,12 +15,18 @@ from ..operators import neighborhood as N
 
 @dataclass(frozen=True)
 class Graphs:
-    """Centres (graph_id, t, h, w, value, ...), nodes without centres, and edges; cells are all valid cells seen."""
+    """Centres (graph_id, t, h, w, value, ...), nodes without centres, and edges; cells are all valid cells seen; kept is in the cluster's cache."""
 
     centers: DataFrame
     nodes: DataFrame
     edges: DataFrame
     cells: DataFrame
+    kept: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Empties the cache of what building kept there, once the graphs are written."""
+        for table in self.kept:
+            table.unpersist()
 
     def packed(self, edge_scale: float = 8.0) -> DataFrame:
         return graphs.pack(self.centers, self.nodes, self.edges, edge_scale)
@@ -40,9 +46,10 @@ def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], co
     Centres whose final cube leaves the grid, or whose quadrants stay short of their quota, make no graph.
     """
     cells = N.measured(N.extract(centers, voxels, config.reach))
-    nodes = N.inside_grid(N.nodes_of(centers, voxels, config), shape)
+    kept: list[DataFrame] = []
+    nodes = N.inside_grid(N.nodes_of(centers, voxels, config, kept), shape)
     truth = centers.join(voxels.select("t", "h", "w", "value"), ["t", "h", "w"], "left")
-    return Graphs(truth, nodes, E.all_edges(nodes), cells)
+    return Graphs(truth, nodes, E.all_edges(nodes), cells, tuple(kept))
 
 
 def for_prediction(voxels: DataFrame, shape: tuple[int, int, int], config: GraphConfig) -> Graphs:
@@ -68,7 +75,7 @@ def weighted(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int],
     made = build(centers, voxels, shape, config)
     w = heterogeneity.weights(heterogeneity.index(centers.select("graph_id", "t", "h", "w"), voxels, scheme), scheme)
     if dynamic:
-        made = Graphs(made.centers, made.nodes, E.dynamic_edges(made.nodes, made.cells, w.select("graph_id", "w_spatial", "w_temporal"), scheme), made.cells)
+        made = Graphs(made.centers, made.nodes, E.dynamic_edges(made.nodes, made.cells, w.select("graph_id", "w_spatial", "w_temporal"), scheme), made.cells, made.kept)
     return made, w
 
 

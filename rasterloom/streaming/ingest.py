@@ -48,6 +48,7 @@ def start(stream: DataFrame, store: str, out: str, checkpoint: str, shape: tuple
         gaps = voxels.where(in_region(shape, edges) & F.col("value").isNull()).join(days.intersect(seen), "t").select("t", "h", "w")
         graphs = builders.build(builders.numbered(gaps, shape), voxels, shape, config)
         graphs.packed(config.edge_scale).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        graphs.release()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
