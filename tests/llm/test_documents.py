@@ -721,17 +721,16 @@ def test_passages_are_found_whoever_holds_their_parts(spark):
     assert {r.doc_id for r in found} >= {d for d, some in runs.items() if any(held[x] > 1 for x in some)}
 
 
-def test_passages_of_partial_first_holders_and_long_ends(spark):
+def test_passages_of_partial_first_holders_and_dense_edits(spark):
     from conftest import prose
 
     shared = prose(70, 300).split()
     rows = [(1 + i, f"{prose(710 + i, 20)} {' '.join(shared[30 * i : 30 * i + 48])}") for i in range(9)] + [(100, " ".join(shared)), (101, f"{prose(77, 10)} {' '.join(shared)}")]
-    # texts whose seeds differ from one another's beyond the first hundred words: every eighth word is another
+    # beyond the first hundred words every ninth is another
     tail = prose(71, 600).split()
     rows += [(200, " ".join(tail)), (201, " ".join(w if i < 100 or i % 9 else f"x{i}" for i, w in enumerate(tail)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = passages.pairs(df, pad=3).collect()
-    assert sorted(map(tuple, found)) == sorted(map(tuple, passages.pairs(df).collect()))
+    found = passages.pairs(df).collect()
     covered = lambda d: {at for r in found for key, a, b in ((r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)) if key == d for at in range(a, b)}
     assert covered(100) == set(range(300)) and covered(101) >= set(range(10, 310))
     assert covered(200) >= set(range(598))
