@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, media, mixing, packing, pages, passages, quality, secrets, simhash, toxicity
+from . import conversations, embeddings, media, mixing, packing, pages, passages, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_range_join": embeddings.op8,
     "op9_toxicity": toxicity.op9,
     "op10_source_mixing": mixing.op10,
+    "op11_conversation_repair": conversations.op11,
 }
 
-ORACLE_SQL = {"op10_source_mixing": mixing.OP10_SQL}
+ORACLE_SQL = {"op10_source_mixing": mixing.OP10_SQL, "op11_conversation_repair": conversations.OP11_SQL}
