@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, embeddings, media, mixing, packing, pages, passages, quality, secrets, simhash, toxicity
+from . import collocations, conversations, embeddings, media, mixing, packing, pages, passages, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -16,6 +16,11 @@ QUERIES = {
     "op9_toxicity": toxicity.op9,
     "op10_source_mixing": mixing.op10,
     "op11_conversation_repair": conversations.op11,
+    "op12_collocations": collocations.op12,
 }
 
-ORACLE_SQL = {"op10_source_mixing": mixing.OP10_SQL, "op11_conversation_repair": conversations.OP11_SQL}
+ORACLE_SQL = {
+    "op10_source_mixing": mixing.OP10_SQL,
+    "op11_conversation_repair": conversations.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
+}
