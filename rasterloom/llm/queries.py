@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, conversations, embeddings, media, mixing, packing, pages, passages, quality, secrets, simhash, toxicity
+from . import collocations, conversations, embeddings, media, mixing, packing, pages, passages, private, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_source_mixing": mixing.op10,
     "op11_conversation_repair": conversations.op11,
     "op12_collocations": collocations.op12,
+    "op13_personal_data": private.op13,
 }
 
 ORACLE_SQL = {
