@@ -95,7 +95,7 @@ class Frequent(dict):
         self.start, self.bits = zlib.crc32(f"{lang}\t".encode()), bits
 
     def __missing__(self, word: bytes) -> bool:
-        place = zlib.crc32(word, self.start) % BITS
+        place = zlib.crc32(word, self.start) % (32 * len(self.bits))
         if len(self) > HELD:
             self.clear()
         found = self[word] = bool(self.bits[place >> 5] >> np.uint32(place & 31) & np.uint32(1))

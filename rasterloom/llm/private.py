@@ -34,7 +34,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TRIGGER, REST, MORE = re.compile(r"[0-9@]"), re.compile(r"\S*+"), re.compile(r" (?=[^\s0-9@]*+[0-9@])\S++")
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 #: The most tokens of an entity; labels are no entity (0) or a kind's place plus one.
-WIDEST, LABELS = 40, range(len(KINDS) + 1)
+WIDEST, LABELS = 24, range(len(KINDS) + 1)
 
 Span = tuple[int, str, int]  # start, kind, end
 Cand = tuple[int, int, int, tuple[str, ...]]  # first token, token after the last, label, features
