@@ -66,7 +66,7 @@ def estimates(nodes: DataFrame, params: dict) -> DataFrame:
 
 
 def gated_scores(nodes: DataFrame, params: dict) -> DataFrame:
-    """graph_id, idx, score of candidates (graph_id, idx, x: three offsets and a value).
+    """graph_id, idx, x, score of candidates (graph_id, idx, x: three offsets and a value).
 
     A code of the offsets, scaled by the graph's largest, is gated by itself and the features, then weighed; params:
     pos1, pos2, gate, score.
@@ -78,4 +78,4 @@ def gated_scores(nodes: DataFrame, params: dict) -> DataFrame:
     coded = coded.withColumn("code", F.array(*affine(F.col("inner"), *params["pos2"])))
     gates = [1 / (1 + F.exp(-c)) for c in affine(F.concat("code", "x"), *params["gate"])]
     coded = coded.withColumn("gated", F.array(*[g * F.col("code")[j] for j, g in enumerate(gates)]))
-    return coded.select("graph_id", "idx", affine(F.col("gated"), *params["score"])[0].alias("score"))
+    return coded.select("graph_id", "idx", "x", affine(F.col("gated"), *params["score"])[0].alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import CandidateConfig, GraphConfig, HeterogeneityConfig, QualityConfig
 from ..functions import geometry as G
 from ..operators import edges as E
-from ..operators import attention, fill, graphs, heterogeneity, learning, positions, quality, raster, tiles
+from ..operators import attention, fill, graphs, heterogeneity, learning, positions, quality, raster, structure, tiles
 from ..operators import neighborhood as N
 from ..sources.derived import MIDDLE, SMALL, cube, raw_voxels
 from . import builders as B
@@ -589,6 +589,53 @@ def gated_scores(spark, sf):
     return attention.gated_scores(pool.select("graph_id", (F.col("rank") - 1).alias("idx"), F.array(*parts).alias("x")), SELECTOR)
 
 
+#: The learned structure's fixed parameters: choice, edges, two layers of which the last has no normalisation, readout.
+PLAIN = (lambda found: (found[0], [0.0] * 4))(weights(4, 4, 8))
+SOURCES = {"source": [[0.5, -0.3], [0.2, 0.4]], "target": [[-0.2, 0.6], [0.3, 0.1]], "bias": [0.1, -0.1]}
+STRUCTURE = {
+    "select": SELECTOR,
+    "edges": {"project1": weights(1, 4, 1), "project2": weights(4, 4, 2), "near": weights(3, 2, 3), "join1": weights(10, 4, 4), "join2": weights(4, 1, 5)},
+    "project1": weights(1, 4, 6), "project2": weights(4, 4, 7), "pool1": weights(4, 2, 9), "pool2": weights(2, 1, 10), "out1": weights(4, 2, 11), "out2": weights(2, 1, 12),
+    "layers": [{"transform": PLAIN, "scale": [1.0, 0.9, 1.1, 1.2], "shift": [0.0, 0.1, -0.1, 0.05]} | SOURCES, {"transform": PLAIN} | SOURCES],
+}
+TOP_K, KNN = 12, 4
+
+
+def _pool_nodes(spark, sf):
+    """The gaps' candidate pools as the structure model reads them: offsets over the edge scale, and value."""
+    v = cube(spark, sf)
+    offsets = [F.col(c).cast("double") / SCHEME_C.edge_scale for c in ("dt", "dh", "dw")]
+    return N.candidates(gaps(v), v, SCHEME_C).select("graph_id", (F.col("rank") - 1).alias("idx"), F.array(*offsets, F.col("value").cast("double")).alias("x"))
+
+
+@query("graph_id long, src int, dst int, weight r6")
+def soft_edges(spark, sf):
+    """Learned edges among the best-scored candidates of every gap."""
+    kept = structure.chosen(attention.gated_scores(_pool_nodes(spark, sf), SELECTOR), TOP_K)
+    return structure.soft_edges(kept, STRUCTURE["edges"], KNN)
+
+
+@query("graph_id long, estimate r5")
+def structure_estimates(spark, sf):
+    """The whole forward pass: choice of nodes, soft edges, layers, readout, estimate."""
+    return structure.forward(_pool_nodes(spark, sf), STRUCTURE, TOP_K, KNN, 2)[0]
+
+
+@query("graph_id long, entropy r6, sparsity r6, smoothness r6, loss r6")
+def structure_losses(spark, sf):
+    """The forward pass's regularisers and their sum."""
+    return structure.forward(_pool_nodes(spark, sf), STRUCTURE, TOP_K, KNN, 2)[1]
+
+
+@query("graph_id long, how string, place int, value r6")
+def readout_vectors(spark, sf):
+    """Each way of readout over the first layer's nodes of the gaps' graphs."""
+    nodes, edges = _model_input(spark, sf)
+    found = structure.readouts(attention.attention_layer(nodes, edges, LAYERS[0], 2), STRUCTURE)
+    each = F.array(*[F.struct(F.lit(how).alias("how"), F.col(how).alias("value")) for how in ("attention", "mean", "max", "sum")])
+    return found.select("graph_id", "place", F.inline(each))
+
+
 @query("vec_id long, leaky r6, elu r6, gelu r6")
 def activations(spark, sf):
     x = F.col("embedding")[0].cast("double") * 4

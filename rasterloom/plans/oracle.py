@@ -200,6 +200,60 @@ inner_ as (select *, {", ".join(f"{gelu(v)} as i{j}" for j, v in enumerate(dense
 coded as (select *, {", ".join(f"{v} as c{j}" for j, v in enumerate(dense(["i0", "i1"], 4, 3)))} from inner_),
 gated as (select *, {", ".join(f"c{j} / (1 + exp(-{v})) as g{j}" for j, v in enumerate(dense(["c0", "c1", "c2", "c3", "dt", "dh", "dw", "value::double"], 4, 4)))} from coded)"""
 
+def named(exprs: list[str], name: str) -> str:
+    return ", ".join(f"{e} as {name}{j}" for j, e in enumerate(exprs))
+
+
+def every(name: str, n: int, of: str = "") -> list[str]:
+    return [f"{of}{name}{j}" for j in range(n)]
+
+
+def softened(table: str, to: str, normal: bool) -> str:
+    """One layer of the structure model from h-less x0..x3 of a table to those of another."""
+    plain = [v.replace(v[1 : v.index(" + ")], "0.0") for v in dense(every("x", 4), 4, 8)]
+    leaky = lambda v: f"case when {v} > 0 then {v} else 0.2 * {v} end"
+    mixed = ", ".join(f"sum(exp(s{j // 2} - m{j // 2}) * h{j}) / sum(exp(s{j // 2} - m{j // 2})) + any_value(x{j}) as o{j}" for j in range(4))
+    mean = "((o0 + o1 + o2 + o3) / 4)"
+    spread = f"sqrt(((o0 - {mean}) ** 2 + (o1 - {mean}) ** 2 + (o2 - {mean}) ** 2 + (o3 - {mean}) ** 2) / 4 + 1e-5)"
+    out = [f"(o{j} - {mean}) / {spread} * {a} + ({b})" for j, (a, b) in enumerate(((1.0, 0.0), (0.9, 0.1), (1.1, -0.1), (1.2, 0.05)))] if normal else every("o", 4)
+    return f"""{to}_h as (select *, {named(plain, "h")} from {table}),
+{to}_sides as (select *, 0.5 * h0 - 0.3 * h1 as f0, 0.2 * h2 + 0.4 * h3 as f1, -0.2 * h0 + 0.6 * h1 as g0, 0.3 * h2 + 0.1 * h3 as g1 from {to}_h),
+{to}_scored as (select e.graph_id, e.src, {", ".join(f"a.x{j}, b.h{j}" for j in range(4))}, {leaky("(a.f0 + b.g0 + 0.1)")} as s0, {leaky("(a.f1 + b.g1 - 0.1)")} as s1
+  from soft e join {to}_sides a on a.graph_id = e.graph_id and a.idx = e.src join {to}_sides b on b.graph_id = e.graph_id and b.idx = e.dst where weight > 0.05),
+{to}_best as (select *, max(s0) over (partition by graph_id, src) as m0, max(s1) over (partition by graph_id, src) as m1 from {to}_scored),
+{to}_sum as (select graph_id, src as idx, {mixed} from {to}_best group by 1, 2),
+{to} as (select graph_id, idx, {named(out, "x")} from {to}_sum)"""
+
+
+def read_out(table: str) -> str:
+    return f"""pooling as (select *, {dense([f"tanh({v})" for v in dense(every("x", 4), 2, 9)], 1, 10)[0]} as score from {table}),
+shares as (select *, exp(score - max(score) over (partition by graph_id)) as e from pooling)"""
+
+
+CHOSEN = f"""{POOL64}, scaled as (select graph_id, rank - 1 as idx, dt / 8.0::double as dt, dh / 8.0::double as dh, dw / 8.0::double as dw, value::double as value from pool),
+fars as (select *, greatest(1.0::double, max(greatest(abs(dt), abs(dh), abs(dw))) over (partition by graph_id)) as far from scaled),
+inner_ as (select *, {named([gelu(v) for v in dense(["(dt / far)", "(dh / far)", "(dw / far)"], 2, 2)], "i")} from fars),
+coded as (select *, {named(dense(every("i", 2), 4, 3), "c")} from inner_),
+gated as (select *, {", ".join(f"c{j} / (1 + exp(-{v})) as g{j}" for j, v in enumerate(dense([*every("c", 4), "dt", "dh", "dw", "value"], 4, 4)))} from coded),
+weighed as (select graph_id, idx, dt, dh, dw, value, {dense(every("g", 4), 1, 6)[0]} as score from gated),
+chosen as (select * exclude (idx), (row_number() over (partition by graph_id order by round(score, 9) desc, idx) - 1)::int as idx from weighed qualify row_number() over (partition by graph_id order by round(score, 9) desc, idx) <= 12)"""
+SOFT_EDGES = f"""{CHOSEN}, first_code as (select *, {named([gelu(v) for v in dense(["value"], 4, 1)], "q")} from chosen),
+codes as (select *, {named(dense(every("q", 4), 4, 2), "p")} from first_code),
+met as (select a.graph_id, a.idx as src, b.idx as dst, {named(every("p", 4, "a."), "a")}, {named(every("p", 4, "b."), "b")}, a.dt - b.dt as mt, a.dh - b.dh as mh, a.dw - b.dw as mw from codes a join codes b using (graph_id)),
+likened as (select *, (a0 * b0 + a1 * b1 + a2 * b2 + a3 * b3) / (sqrt(a0 ** 2 + a1 ** 2 + a2 ** 2 + a3 ** 2) * sqrt(b0 ** 2 + b1 ** 2 + b2 ** 2 + b3 ** 2)) as alike from met),
+ranked_near as (select *, row_number() over (partition by graph_id, src order by round(alike, 9) desc, dst) as near_place, {named([gelu(v) for v in dense(["mt", "mh", "mw"], 2, 3)], "n")} from likened),
+hidden as (select *, {named([gelu(v) for v in dense([*every("a", 4), *every("b", 4), *every("n", 2)], 4, 4)], "k")} from ranked_near),
+one_way as (select graph_id, src, dst, case when near_place <= 5 then 1 / (1 + exp(-{dense(every("k", 4), 1, 5)[0]})) * (0.5 + 0.5 * alike) else 0 end + case when src = dst then 1 else 0 end as w from hidden),
+soft as (select x.graph_id, x.src, x.dst, (x.w + y.w) / 2 as weight from one_way x join one_way y on x.graph_id = y.graph_id and x.src = y.dst and x.dst = y.src where (x.w + y.w) / 2 > 1e-6)"""
+DEEP = f"""{SOFT_EDGES}, start_code as (select *, {named([gelu(v) for v in dense(["value"], 4, 6)], "q")} from chosen),
+starts as (select graph_id, idx, {named(dense(every("q", 4), 4, 7), "x")} from start_code),
+{softened("starts", "deep1", True)}, {softened("deep1", "deep2", False)}, {read_out("deep2")},
+vectors as (select graph_id, {", ".join(f"sum(e * x{j}) / sum(e) as x{j}" for j in range(4))} from shares group by 1)"""
+LOSSES = f"""{SOFT_EDGES}, choice as (select graph_id, exp(score - max(score) over (partition by graph_id)) as e from weighed),
+choice_share as (select graph_id, e / sum(e) over (partition by graph_id) as w from choice),
+entropies as (select graph_id, -sum(w * ln(w + 1e-10)) / nullif(ln(count(*)), 0) as entropy from choice_share group by 1),
+edge_sums as (select s.graph_id, sum(abs(weight)) as sparsity, sum(weight * (a.value - b.value) ** 2) as smoothness from soft s join chosen a on a.graph_id = s.graph_id and a.idx = s.src join chosen b on b.graph_id = s.graph_id and b.idx = s.dst group by 1)"""
+
 #: Query -> (common table expressions, final select).
 PARTS = {
     "clean_voxels": (vox(SMALL), "select * from vox"),
@@ -267,6 +321,11 @@ PARTS = {
     "attention_layer": (MODEL, "select graph_id, idx, place, value from (select graph_id, idx, unnest([0, 1, 2, 3]) as place, unnest([x0, x1, x2, x3]) as value from one)"),
     "attention_estimates": (f"{MODEL}, {attended('one', 'two', 4)}", f"select graph_id, {dense([gelu(v) for v in dense(['x0', 'x1', 'x2', 'x3'], 2, 3)], 1, 5)[0]} as estimate from two where idx = 0"),
     "gated_scores": (SCORED, f"select graph_id, rank - 1 as idx, {dense(['g0', 'g1', 'g2', 'g3'], 1, 6)[0]} as score from gated"),
+    "soft_edges": (SOFT_EDGES, "select * from soft"),
+    "structure_estimates": (DEEP, f"select graph_id, {dense([f'greatest(0, {v})' for v in dense(every('x', 4), 2, 11)], 1, 12)[0]} as estimate from vectors"),
+    "structure_losses": (LOSSES, "select graph_id, entropy, sparsity, smoothness, coalesce(entropy, 0) + 0.01 * sparsity + 0.005 * smoothness as loss from entropies join edge_sums using (graph_id)"),
+    "readout_vectors": (f"{MODEL}, {read_out('one')}", " union all ".join(f"select graph_id, '{how}' as how, unnest([0, 1, 2, 3]) as place, unnest([{', '.join(f.format(j) for j in range(4))}]) as value from shares group by 1"
+        for how, f in (("attention", "sum(e * x{0}) / sum(e)"), ("mean", "avg(x{0})"), ("max", "max(x{0})"), ("sum", "sum(x{0})")))),
     "activations": ("xs as (select vec_id, embedding[1]::double * 4 as x from embeddings)", f"select vec_id, case when x > 0 then x else 0.2 * x end as leaky, case when x > 0 then x else exp(x) - 1 end as elu, {gelu('x')} as gelu from xs"),
     "region_counts": (f"{vox(SMALL)}, {centers('gaps')}, {cells(4)}", f"select graph_id, {reg()} as region, count(*) as valid from cells group by 1, 2"),
     "candidate_pool": (POOL64, "select * from pool"),
