@@ -1,7 +1,7 @@
 """Phrase collocations by suffix sorting.
 
 Each word that starts a phrase gives a suffix of at most ``longest`` words of its piece of text. Suffixes with their numbers
-are dealt out by language and first word in ranges that split frequent words, sorted in reverse, and one stack counts all
+are dealt out by first word in ranges that split frequent words, sorted in reverse, and one stack a language counts all
 their prefixes: a prefix is complete when a suffix without it follows. Only the prefixes at a part's two ends can go on
 in the next part; those are added up afterwards. A word below the least number is in no phrase that counts, so suffixes
 end before it.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ LEAST, LONGEST, TOP, ABSORBED = 30, 4, 2_000, 80
 #: Bits that mark the frequent words; a word that shares a rare one's bit keeps it in suffixes, which costs time alone.
 BITS = 1 << 23
 #: Different words or suffixes that a task counts before it hands them on.
-HELD = 300_000
+HELD = 800_000
 
 
 def _normal() -> bytes:
@@ -103,12 +104,21 @@ class Frequent(dict):
 
 
 def suffixes(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
-    """Rows (lang, suffix, n): of two and more frequent words in a row, joined by tabs; partly added up."""
+    """Rows (lang, suffix, n): of two and more frequent words in a row, each with a tab behind it; partly added up.
+
+    Tabs fill up for words that are not there, so every suffix has ``longest`` of them and suffixes sort word by word: a
+    prefix of words is a prefix of characters.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes
+    ends = [b"\t" * (longest + 1 - n) for n in range(longest + 1)]
 
     def take():
         known: dict[str, Frequent] = {}
 
+        def of(run: list[bytes]) -> list[bytes]:
+            last = len(run) - longest
+            return [b"\t".join(run[i : i + longest]) + ends[longest if i <= last else len(run) - i] for i in range(len(run) - 1)]
+
         def each(lang: str, text: bytes) -> list[bytes]:
             flags = known.get(lang)
             if flags is None:
@@ -119,10 +129,12 @@ def suffixes(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
                 for word in piece.split():
                     if flags[word]:
                         run.append(word)
-                    elif run:
-                        out += [b"\t".join(run[i : i + longest]) for i in range(len(run) - 1)]
+                    else:
+                        if len(run) > 1:
+                            out += of(run)
                         run = []
-                out += [b"\t".join(run[i : i + longest]) for i in range(len(run) - 1)]
+                if len(run) > 1:
+                    out += of(run)
             return out
 
         return each
@@ -130,59 +142,83 @@ def suffixes(docs: DataFrame, bits: np.ndarray, longest: int) -> DataFrame:
     return counted(texts(docs), take, "suffix")
 
 
-def prefix_counts(found: DataFrame, least: int) -> DataFrame:
-    """Rows (lang, phrase, f) of the phrases of two and more words that reach ``least``, from suffixes (lang, suffix, n)."""
+class Stack:
+    """The open prefixes of a language's last suffix with their numbers, shortest first, while its suffixes pass in order.
+
+    Suffixes come in sorted batches, so whole batches are pushed and popped at once: where a word or one before it
+    changes, the prefix that ends with it is popped.
+    """
+
+    def __init__(self, least: int, longest: int) -> None:
+        self.least, self.longest = least, longest
+        self.open: list[tuple[str, int] | None] = [None] * (longest + 1)
+        self.first = [True] * (longest + 1)
+
+    def push(self, suffixes: pa.Array, n: np.ndarray) -> list[tuple[str, int]]:
+        """The prefixes of two and more words that end in this batch, if they reach the least number or came first of all."""
+        words, size, out = pc.list_flatten(pc.split_pattern(suffixes, "\t")), len(suffixes), []
+        column = lambda k: words.take(pa.array(np.arange(size) * (self.longest + 1) + k))
+        changed = np.zeros(size, bool)
+        changed[0] = True
+        for k in range(self.longest):
+            word = column(k)
+            changed = changed.copy()
+            changed[1:] |= pc.not_equal(word.slice(1), word.slice(0, size - 1)).to_numpy(zero_copy_only=False)
+            if not k:
+                continue
+            starts = np.flatnonzero(changed)
+            sums = np.add.reduceat(n, starts)
+            held = pc.not_equal(word.take(pa.array(starts)), "").to_numpy(zero_copy_only=False)
+            wanted = held & (sums >= self.least)
+            wanted[[0, -1]] = held[[0, -1]]
+            places = np.flatnonzero(wanted)
+            names = ["\t".join(s.split("\t")[: k + 1]) for s in suffixes.take(pa.array(starts[places])).to_pylist()]
+            for place, name, total in zip(places.tolist(), names, sums[places].tolist(), strict=True):
+                if place == 0 and self.open[k] and self.open[k][0] == name:
+                    self.open[k] = (name, self.open[k][1] + total)
+                else:
+                    out += self.pop(k)
+                    self.open[k] = (name, total)
+            if not held[-1]:
+                out += self.pop(k)
+        return out
+
+    def pop(self, k: int, end: bool = False) -> list[tuple[str, int]]:
+        found, self.open[k] = self.open[k], None
+        first, self.first[k] = self.first[k], self.first[k] and found is None
+        return [found] if found and (end or first or found[1] >= self.least) else []
+
+    def close(self) -> list[tuple[str, int]]:
+        return [x for k in range(1, self.longest) for x in self.pop(k, end=True)]
+
+
+def prefix_counts(found: DataFrame, least: int, longest: int) -> DataFrame:
+    """Rows (lang, phrase, f) of the phrases of two and more words that reach ``least``, from suffixes (lang, suffix, n).
+
+    A language's first and last prefixes of a part go on whatever their number, for the sum over the parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack: list[list] = []  # the words of the last suffix, each with its prefix's number and whether it may go on in another part
-        lang, out, first = None, [], True
-
-        def pop(to: int, end: bool = False) -> None:
-            while len(stack) > to:
-                word, n, partial = stack[-1]
-                if len(stack) > 1 and (n >= least or partial or end):
-                    out.append((lang, "\t".join(w for w, _, _ in stack), n))
-                stack.pop()
-                if stack:
-                    stack[-1][1] += n
-
-        def batch_of() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pylist([{"lang": a, "phrase": b, "f": c} for a, b, c in out], schema=schema)
-            out.clear()
-            return made
-
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+        stacks: dict[str, Stack] = {}
+
+        def batch_of(lang: str, out: list[tuple[str, int]]) -> Iterator[pa.RecordBatch]:
+            if out:
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(out), "phrase": [p for p, _ in out], "f": [f for _, f in out]})
+
         for batch in batches:
-            for now, suffix, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = suffix.split("\t")
-                shared = 0
-                if now == lang:
-                    for held, word in zip(stack, parts, strict=False):
-                        if held[0] != word:
-                            break
-                        shared += 1
-                pop(shared)
-                lang = now
-                stack.extend([word, 0, first] for word in parts[shared:])
-                stack[-1][1] += n
-                first = False
-            if len(out) >= 10_000:
-                yield batch_of()
-        pop(0, end=True)
-        if out:
-            yield batch_of()
-
-    order = [F.desc("lang"), F.desc(ended("suffix"))]
-    dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
+            langs = batch.column(0)
+            for lang in pc.unique(langs).to_pylist():
+                mine = batch.filter(pc.equal(langs, lang))
+                stack = stacks.setdefault(lang, Stack(least, longest))
+                yield from batch_of(lang, stack.push(mine.column(1), mine.column(2).to_numpy()))
+        for lang, stack in stacks.items():
+            yield from batch_of(lang, stack.close())
+
+    dealt = found.repartitionByRange(F.desc("suffix")).sortWithinPartitions(F.desc("suffix"))
     parts = dealt.select("lang", "suffix", "n").mapInArrow(run, "lang string, phrase string, f long")
     return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def ended(name: str) -> Column:
-    """With a tab at the end, words sort as wholes: a prefix of words is a prefix of characters."""
-    return F.concat(name, F.lit("\t"))
-
-
 def part(first: Column, size: Column) -> Column:
     return F.array_join(F.slice("parts", first, size), "\t")
 
@@ -229,8 +265,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     spark = docs.sparkSession
     every, every_path = stored(words(docs), "words")
     frequent = every.where(F.col("f") >= least)
-    found, found_path = stored(suffixes(docs, marks(frequent), longest), "suffixes")
-    phrases, _ = stored(prefix_counts(found, least), "phrases")
+    found, found_path = stored(suffixes(docs, marks(frequent), longest), "suffixes", compression="zstd")
+    phrases, _ = stored(prefix_counts(found, least, longest), "phrases")
     totals, _ = stored(every.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     frequent, _ = stored(frequent, "frequent")
     remove(spark, every_path, found_path)

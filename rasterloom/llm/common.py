@@ -36,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """``written``, and the path of the table."""
+def stored(df: DataFrame, tag: str, **options: str) -> tuple[DataFrame, str]:
+    """``written``, with options of the writer, and the path of the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
