@@ -42,9 +42,9 @@ def main() -> None:
     config = GraphConfig(ext_range=3, max_ext=3, edge_time=6, edge_height=6, edge_width=6)
     centers = builders.numbered(voxels.where(positions.in_region(MIDDLE, (6, 6, 6))).select("t", "h", "w"), MIDDLE).limit(CENTERS).persist()
     n = centers.count()
-    tiled.build(centers.limit(64), voxels, MIDDLE, config, size=(20, 16, 16)).write.format("noop").mode("overwrite").save()  # starts the workers
+    tiled.build(centers.limit(64), voxels, MIDDLE, config).write.format("noop").mode("overwrite").save()  # starts the workers
     for name, make in (
-        ("graphs_tiled", lambda: tiled.build(centers, voxels, MIDDLE, config, size=(14, 10, 10))),
+        ("graphs_tiled", lambda: tiled.build(centers, voxels, MIDDLE, config, most=700, top=16)),
         ("graphs_relational", lambda: builders.build(centers, voxels, MIDDLE, config).packed()),
     ):
         timed(name, make)
@@ -55,7 +55,7 @@ def main() -> None:
     gaps = builders.numbered(positions.missing(big, shape, (26, 26, 26)), shape).persist()
     big.count(), gaps.count()
     for name, make in (
-        ("graphs_6_20_tiled", lambda: tiled.build(gaps, big, shape, wide, size=(16, 12, 12))),
+        ("graphs_6_20_tiled", lambda: tiled.build(gaps, big, shape, wide, most=100, top=32)),
         ("graphs_6_20_relational", lambda: builders.build(gaps, big, shape, wide).packed()),
     ):
         timed(name, make)

@@ -275,11 +275,35 @@ def gathered_values(spark, sf):
     return graphs.gather(flat, "held", "src").select("graph_id", F.posexplode("gathered").alias("ordinal", "value"))
 
 
+def _crowded(spark, sf):
+    """The gaps of the cube and of its first corner eight times over, so that one place holds most centres."""
+    v = cube(spark, sf, MIDDLE)
+    some = B.numbered(positions.missing(v, MIDDLE, EDGES), MIDDLE)
+    corner = some.where("h < 10 and w < 10 and t < 12").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(7))))
+    return some.unionByName(corner.withColumn("graph_id", F.col("graph_id") + 1_000_000 * F.col("copy")).drop("copy")), v
+
+
+@query("t0 int, h0 int, w0 int, side int, n long")
+def adaptive_tiles(spark, sf):
+    """The leaves of a tree over centres that crowd in one corner: 25 centres at most, but in the finest boxes."""
+    return tiles.leaves(_crowded(spark, sf)[0], 25, 16, 2)
+
+
+@query("t0 int, h0 int, w0 int, side int, share int, centers long, cells long, mean r6")
+def adaptive_tile_halo(spark, sf):
+    """Each leaf's share of centres, the valid cells within its halo and their mean: no share holds over 25 centres."""
+    centers, v = _crowded(spark, sf)
+    found = tiles.leaves(centers, 25, 16, 2)
+    counts = tiles.in_leaves(centers, found, 25, 16, 2).groupBy(*tiles.LEAF).agg(F.count("*").alias("centers"))
+    halo = tiles.around_leaves(v.where("value is not null"), found, 3, 25)
+    return counts.join(halo.groupBy(*tiles.LEAF).agg(F.count("*").alias("cells"), F.avg(F.col("value").cast("double")).alias("mean")), list(tiles.LEAF))
+
+
 @query("graph_id long, ordinal int, src int, dst int, kind string")
 def tiled_edges(spark, sf):
     """The edges of every centre's graph, cut out of dense tiles."""
     v = cube(spark, sf)
-    return tiled.edges(tiled.build(every_center(v), v, SMALL, WIDE, size=(6, 5, 7)))
+    return tiled.edges(tiled.build(every_center(v), v, SMALL, WIDE, most=20, top=8, finest=2))
 
 
 @query("day int, file string, graphs long, edges long")

@@ -254,6 +254,13 @@ choice_share as (select graph_id, e / sum(e) over (partition by graph_id) as w f
 entropies as (select graph_id, -sum(w * ln(w + 1e-10)) / nullif(ln(count(*)), 0) as entropy from choice_share group by 1),
 edge_sums as (select s.graph_id, sum(abs(weight)) as sparsity, sum(weight * (a.value - b.value) ** 2) as smoothness from soft s join chosen a on a.graph_id = s.graph_id and a.idx = s.src join chosen b on b.graph_id = s.graph_id and b.idx = s.dst group by 1)"""
 
+#: Leaves by a rule apart from the tree's: a box is one if it holds few and every wider box around its centres holds many.
+LEAVES = f"""{vox(MIDDLE)}, bare as (select ((t * 32 + h) * 32 + w)::bigint as graph_id, t, h, w from vox where {inside(MIDDLE)} and value is null),
+crowd as (select * from bare union all select graph_id + 1000000 * r.i, t, h, w from bare, range(1, 8) r(i) where h < 10 and w < 10 and t < 12),
+boxed as (select c.*, s.side, t // s.side * s.side as t0, h // s.side * s.side as h0, w // s.side * s.side as w0 from crowd c, (values (16), (8), (4), (2)) s(side)),
+filled as (select *, count(*) over (partition by side, t0, h0, w0) as n from boxed),
+placed as (select * from (select *, max(case when n <= 25 then side end) over (partition by graph_id) as wide from filled) where side = coalesce(wide, 2))"""
+
 #: Query -> (common table expressions, final select).
 PARTS = {
     "clean_voxels": (vox(SMALL), "select * from vox"),
@@ -281,6 +288,9 @@ PARTS = {
     "tile_assign": (vox(MIDDLE), f"select h // 10 as tile_h, w // 10 as tile_w, count(*) as n, min(h) as first_h, max(w) as last_w from vox where {inside(MIDDLE)} and value is null group by 1, 2"),
     "tile_halo": (f"{vox(SMALL)}, tiles as (select a.i as th, b.i as tw from range(3) a(i), range(3) b(i))", "select th as tile_h, tw as tile_w, count(*) as cells, count_if(h // 6 = th and w // 6 = tw) as core, min(h) as low_h, max(h) as high_h, min(w) as low_w, max(w) as high_w from vox join tiles on h between th * 6 - 4 and th * 6 + 9 and w between tw * 6 - 4 and tw * 6 + 9 group by 1, 2"),
     "tile_build_report": (GRAPH_WIDE, "select count(*) as tiles, sum(c) as centers, sum(g) as graphs, sum(g) / sum(c)::double as success from (select h // 2, w // 2, count(*) as c, count(g) as g from centers left join (select distinct graph_id, 1 as g from nodes) using (graph_id) group by 1, 2)"),
+    "adaptive_tiles": (LEAVES, "select t0, h0, w0, side, count(*) as n from placed group by 1, 2, 3, 4"),
+    "adaptive_tile_halo": (f"{LEAVES}, shares as (select *, (row_number() over (partition by t0, h0, w0, side order by graph_id) - 1) // 25 as share from placed), sized as (select t0, h0, w0, side, share, count(*) as centers from shares group by all)",
+        "select t0, h0, w0, side, share, any_value(centers) as centers, count(*) as cells, avg(value::double) as mean from sized join vox on t between t0 - 3 and t0 + side + 2 and h between h0 - 3 and h0 + side + 2 and w between w0 - 3 and w0 + side + 2 and value is not null group by 1, 2, 3, 4, 5"),
     "cube_extract": (f"{vox(SMALL)}, {centers('gaps')}, {cells(3, True)}", "select * from near"),
     "clamped_crop": (f"{vox(SMALL)}, centers as (select ((t * 16 + h) * 16 + w)::bigint as graph_id, t, h, w from vox where value is null ), {cells(5)}", "select graph_id, count(*) as cells, count_if(abs(dh) <= 1) as near from near group by 1"),
     "quadrant_counts": (f"{vox(SMALL)}, {centers('all')}, {cells(6)}", "select graph_id, q as quadrant, count(quadrant) as valid, 5 + (q <= 2)::int as quota, count(quadrant) >= 5 + (q <= 2)::int as enough from centers cross join range(1, 7) r(q) left join cells using (graph_id) where quadrant = q or quadrant is null group by 1, 2"),

@@ -1,8 +1,8 @@
 """The tile path: the same graphs from dense blocks of the cube, one tile at a time.
 
-Where very many centres lie close together, their cubes overlap almost wholly. Cells and centres are then dealt out by
-tile in space and time, cells with a halo, and each tile's graphs are cut from one dense array with the offsets'
-order computed once. The relational path stays the definition; results are equal.
+Where very many centres lie close together, their cubes overlap almost wholly. Centres are then dealt out by the leaves
+of a tree that splits space and time where they crowd, cells with a halo, and each leaf's graphs are cut from one dense
+array with the offsets' order computed once. The relational path stays the definition; results are equal.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GraphConfig
+from ..operators import tiles
 from ..shipping import ship
 
 SCHEMA = (
@@ -111,57 +112,26 @@ def connect(d: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return g[order], s[order] + 1, e[order], k[order]
 
 
-def replay(valid: np.ndarray, off: dict[str, np.ndarray], radius: int, n: int) -> list[int] | None:
-    """The nodes, in turn, that a scan which deletes from the list it walks would choose; None if a scan comes to nothing.
-
-    Deleting an unusable cell moves the next one under the finger, which then moves on: that cell goes unseen in this
-    scan. A chosen cell is deleted and the next scan starts over.
-    """
-    left = np.flatnonzero(off["cheb"] <= radius).tolist()
-    if not valid[-1]:
-        left.insert(0, -1)  # the centre itself, missing, stands first
-    chosen: list[int] = []
-    while len(chosen) < n:
-        wanted, at, size, found = len(chosen) % 6 + 1, 0, len(left), False
-        while at < len(left):
-            cell = left[at]
-            if not valid[cell]:
-                del left[at]
-            elif cell >= 0 and off["quadrant"][cell] == wanted:
-                chosen.append(cell)
-                del left[at]
-                found = True
-                break
-            at += 1
-        if not found and len(left) == size:
-            return None
-    return chosen
-
-
-def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], config: GraphConfig, size: tuple[int, int, int] = (48, 64, 64), batch: int = 256, mode: str = "canonical") -> DataFrame:
+def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], config: GraphConfig, most: int = 4096, top: int = 64, finest: int = 4, batch: int = 256) -> DataFrame:
     """One row a graph, as in SCHEMA, of the centres (graph_id, t, h, w).
 
-    A tile's block has at most the product of size plus twice the reach cells, whatever the cube. ``mode='compat'``
-    replays the scan that skips cells; its node sets differ where cells are missing.
+    Tiles are the leaves of a tree over the centres: none holds more than ``most`` of them, however they crowd, and its
+    block has at most ``top`` plus twice the reach cells on a side, whatever the cube.
     """
     ship(centers.sparkSession)
     reach, limits = config.reach, config.limits
-    halo = voxels.where(F.col("value").isNotNull()).select("t", "h", "w", "value")
-    for c, n, total in zip("thw", size, shape, strict=True):
-        low = F.greatest(F.lit(0), F.floor((F.col(c) - reach) / n)).cast("int")
-        high = F.least(F.lit((total - 1) // n), F.floor((F.col(c) + reach) / n)).cast("int")
-        halo = halo.withColumn(f"tile_{c}", F.explode(F.sequence(low, high)))
-    own = [F.floor(F.col(c) / n).cast("int").alias(f"own_{c}") for c, n in zip("thw", size, strict=True)]
-    dealt = centers.select("graph_id", *[F.col(c).alias(f"at_{c}") for c in "thw"], *own)
+    found = tiles.leaves(centers, most, top, finest)
+    halo = tiles.around_leaves(voxels.where(F.col("value").isNotNull()), found, reach, most)
+    dealt = tiles.in_leaves(centers.select("graph_id", *tiles.AXES), found, most, top, finest)
     steps = sorted({min(reach, config.ext_range + k) for k in (0, 3, 8, config.max_ext)})
 
     def cut(key, mine: pa.Table, cells: pa.Table) -> Iterator[pa.RecordBatch]:
-        corner = np.array([k.as_py() * n - reach for k, n in zip(key, size, strict=True)])
-        block = np.full([n + 2 * reach for n in size], np.nan, np.float32)
+        corner, side = np.array([k.as_py() for k in key[:3]]) - reach, key[3].as_py()
+        block = np.full([side + 2 * reach] * 3, np.nan, np.float32)
         if cells.num_rows:
-            at = np.stack([cells[c].to_numpy() for c in "thw"], axis=1) - corner
+            at = np.stack([cells[c].to_numpy() for c in tiles.AXES], axis=1) - corner
             block[tuple(at.T)] = cells["value"].to_numpy()
-        where = np.stack([mine[f"at_{c}"].to_numpy() for c in "thw"], axis=1) if mine.num_rows else np.zeros((0, 3), np.int64)
+        where = np.stack([mine[c].to_numpy() for c in tiles.AXES], axis=1) if mine.num_rows else np.zeros((0, 3), np.int64)
         ids = mine["graph_id"].to_numpy() if mine.num_rows else np.zeros(0, np.int64)
         left = np.flatnonzero((where >= config.ext_range).all(axis=1) & (where + config.ext_range < np.array(shape)).all(axis=1))
         for radius in steps:  # only graphs that fail within one radius see the next
@@ -174,11 +144,6 @@ def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], co
                 chosen, r = pick(valid, off, limits, config.ext_range)
                 fits = (r >= 0) & (where[rows] - r[:, None] >= 0).all(axis=1) & (where[rows] + r[:, None] < np.array(shape)).all(axis=1)
                 again.append(rows[r < 0])
-                if mode == "compat":
-                    center = ~np.isnan(block[tuple((where[rows] - corner).T)])
-                    found = [replay(np.append(v, c), off, int(x), config.search_node) if f else None for v, c, x, f in zip(valid, center, r, fits, strict=True)]
-                    fits = np.array([x is not None for x in found], bool)
-                    chosen = np.array([x or [0] * config.search_node for x in found], np.int64)
                 yield from emit(ids[rows][fits], where[rows][fits], r[fits], chosen[fits], values[fits], off, reach)
             left = np.concatenate(again) if again else left[:0]
 
@@ -186,7 +151,7 @@ def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], co
         made = list(cut(key, mine, cells))
         return pa.Table.from_batches(made) if made else emit_empty()
 
-    return dealt.groupBy(*[f"own_{c}" for c in "thw"]).cogroup(halo.groupBy(*[f"tile_{c}" for c in "thw"])).applyInArrow(run, SCHEMA)
+    return dealt.groupBy(*tiles.LEAF).cogroup(halo.groupBy(*tiles.LEAF)).applyInArrow(run, SCHEMA)
 
 
 def lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterloom.config import GraphConfig
 from rasterloom.functions.geometry import line_to_center, offsets
 from rasterloom.operators import neighborhood as N
+from rasterloom.operators import tiles
 from rasterloom.plans import builders, tiled
 
 CONFIG = GraphConfig(ext_range=2, max_ext=3, edge_time=5, edge_height=5, edge_width=5)
@@ -64,7 +65,7 @@ def test_graphs_equal_the_sequential_model(spark, name):
         assert radius[key] == want[0]
         assert [nodes[key][i] for i in range(1, 33)] == want[1][1:]
         assert sorted(edges[key]) == sorted(want[2])
-    flat = tiled.build(centers, held, cube.shape, CONFIG, size=(5, 7, 7))
+    flat = tiled.build(centers, held, cube.shape, CONFIG, most=2, top=8, finest=2)
     assert sorted(map(tuple, tiled.nodes(flat).select("graph_id", "idx", "dt", "dh", "dw").collect())) == sorted((g, i, *d) for g, n in nodes.items() for i, d in n.items())
     got = {}
     for r in tiled.edges(flat).orderBy("graph_id", "ordinal").collect():
@@ -82,14 +83,31 @@ def test_rings_equal_one_step(spark):
     assert sorted(map(tuple, once.select(*cols).collect())) == sorted(map(tuple, steps.select(*cols).collect()))
 
 
-def test_replay_equals_canonical_without_gaps_and_skips_with_them(spark):
-    cube = cubes()["full"]
-    centers = builders.numbered(spark.createDataFrame([(6, 6, 6)], "t int, h int, w int"), cube.shape)
-    both = [sorted(map(tuple, tiled.nodes(tiled.build(centers, voxels(spark, cube), cube.shape, CONFIG, mode=m)).collect())) for m in ("canonical", "compat")]
-    assert both[0] == both[1]
-    gap = voxels(spark, cubes()["centre_gap"])
-    first = {r.idx: (r.dt, r.dh, r.dw) for r in tiled.nodes(tiled.build(centers, gap, cube.shape, CONFIG, mode="compat")).collect()}
-    assert first[1] != (-1, 0, 0)  # the nearest cell stands right behind the missing centre and goes unseen
+def test_no_tile_holds_more_than_its_most_however_centres_crowd(spark):
+    """Centres heaped on few places, one of them many times over: groups stay bounded and graphs equal the relational path's."""
+    cube = cubes()["sparse_30"]
+    places = [(6, 6, 6)] * 130 + [(6, 6, 5)] * 40 + [(5, 6, 7), (2, 6, 6), (10, 9, 9), (0, 0, 0)]
+    centers = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "graph_id long, t int, h int, w int")
+    found = tiles.leaves(centers, 16, 8, 2)
+    dealt = tiles.in_leaves(centers, found, 16, 8, 2)
+    sizes = {tuple(r[c] for c in tiles.LEAF): r["count"] for r in dealt.groupBy(*tiles.LEAF).count().collect()}
+    assert sum(sizes.values()) == len(places) and max(sizes.values()) <= 16
+    for (t0, h0, w0, side, _), (t, h, w) in ((tuple(r[c] for c in tiles.LEAF), (r.t, r.h, r.w)) for r in dealt.collect()):
+        assert t0 <= t < t0 + side and h0 <= h < h0 + side and w0 <= w < w0 + side
+    held = voxels(spark, cube)
+    want = builders.build(centers, held, cube.shape, CONFIG)
+    flat = tiled.build(centers, held, cube.shape, CONFIG, most=16, top=8, finest=2).persist()
+    cols = ["graph_id", "idx", "dt", "dh", "dw"]
+    assert sorted(map(tuple, tiled.nodes(flat).select(*cols).collect())) == sorted(map(tuple, want.nodes.select(*cols).collect()))
+    cols = ["graph_id", "ordinal", "src", "dst", "kind"]
+    assert sorted(map(tuple, tiled.edges(flat).select(*cols).collect())) == sorted(map(tuple, want.edges.select(*cols).collect()))
+    assert flat.count() > 170
+    flat.unpersist(), want.release()
+
+
+def test_tree_without_centres(spark):
+    none = spark.createDataFrame([], "graph_id long, t int, h int, w int")
+    assert tiles.leaves(none, 5).count() == 0 and tiled.build(none, voxels(spark, cubes()["full"]), (13, 13, 13), CONFIG).count() == 0
 
 
 def test_offsets_partition_and_lines(spark):
