@@ -1 +1 @@
-"""Graph-attention regression of the centre's value: parameters, layers, scoring and training over Spark."""
+"""Regression of the centre's value from its graph: attention features, a fitted head, checkpoints."""

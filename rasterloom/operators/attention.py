@@ -28,35 +28,49 @@ def affine(x: Column, weights: list[list[float]], shift: list[float]) -> list[Co
 
 
 def attention_layer(nodes: DataFrame, edges: DataFrame, params: dict, heads: int) -> DataFrame:
-    """Nodes with x replaced by what they hear: rows (graph_id, idx, x).
+    """Nodes with x replaced by what they hear: rows (graph_id, idx, x); idx runs from 0 without gaps.
 
     A source's score for a target is, for each head, the head's vector times leaky(left of target + right of source +
     edge); shares are its softmax over the target's sources; the sources' right sides are summed by share. With a
     residual, a normalisation and an elu. Nodes without an edge to them hear nothing. params: left, right, edge
     and, if widths differ, skip as (weights, shift), attention as a list a head, scale and shift of the normalisation.
+    Nodes and edges of a graph meet in one row and are dealt out once; each table is read once, so layers can follow one another.
     """
     width = len(params["left"][1])
     head = lambda j: j // (width // heads)
     x = F.col("x")
-    sides = nodes.select("graph_id", "idx", F.array(*affine(x, *params["left"])).alias("left"), F.array(*affine(x, *params["right"])).alias("right"))
-    targets = sides.select("graph_id", F.col("idx").alias("dst"), "left")
-    sources = sides.select("graph_id", F.col("idx").alias("src"), "right")
-    pairs = edges.join(targets, ["graph_id", "dst"]).join(sources, ["graph_id", "src"])
-    moved = affine(F.col("moved"), *params["edge"])
-    raised = [leaky(F.col("left")[j] + F.col("right")[j] + moved[j]) * F.lit(float(params["attention"][head(j)][j % (width // heads)])) for j in range(width)]
+    skip = F.array(*affine(x, *params["skip"])) if "skip" in params else x
+    sides = nodes.select("graph_id", "idx", F.struct(F.array(*affine(x, *params["left"])).alias("left"), F.array(*affine(x, *params["right"])).alias("right"), skip.alias("skip")).alias("x"))
+    met = meeting(sides, edges)
+    moved = F.when(F.col("moved").isNotNull(), F.array(*affine(F.col("moved"), *params["edge"])))
+    met = met.withColumn("edge", moved)
+    raised = [leaky(F.col("a.left")[j] + F.col("b.right")[j] + F.col("edge")[j]) * F.lit(float(params["attention"][head(j)][j % (width // heads)])) for j in range(width)]
     scores = [sum((r for j, r in enumerate(raised) if head(j) == h), F.lit(0.0)).alias(f"s{h}") for h in range(heads)]
-    scored = pairs.select("graph_id", "dst", "right", *scores)
+    scored = met.select("graph_id", "dst", F.col("a.skip").alias("skip"), F.col("b.right").alias("right"), *scores)
     target = Window.partitionBy("graph_id", "dst")
     shared = scored.withColumns({f"e{h}": F.exp(F.col(f"s{h}") - F.max(f"s{h}").over(target)) for h in range(heads)})
     sums = [(F.sum(F.col(f"e{head(j)}") * F.col("right")[j]) / F.sum(f"e{head(j)}")).alias(f"m{j}") for j in range(width)]
-    heard = shared.groupBy("graph_id", F.col("dst").alias("idx")).agg(*sums)
-    skip = affine(x, *params["skip"]) if "skip" in params else [x[j] for j in range(width)]
-    summed = nodes.join(heard, ["graph_id", "idx"], "left").select("graph_id", "idx", *[(F.coalesce(f"m{j}", F.lit(0.0)) + skip[j]).alias(f"o{j}") for j in range(width)])
+    heard = shared.groupBy("graph_id", F.col("dst").alias("idx")).agg(F.first("skip").alias("skip"), *sums)
+    summed = heard.select("graph_id", "idx", *[(F.coalesce(f"m{j}", F.lit(0.0)) + F.col("skip")[j]).alias(f"o{j}") for j in range(width)])
     out = [F.col(f"o{j}") for j in range(width)]
     mean = sum(out, F.lit(0.0)) / width
-    spread = F.sqrt(sum(((o - mean) * (o - mean) for o in out), F.lit(0.0)) / width + 1e-5)
-    normal = [elu((o - mean) / spread * F.lit(float(a)) + F.lit(float(b))) for o, a, b in zip(out, params["scale"], params["shift"], strict=True)]
-    return summed.select("graph_id", "idx", F.array(*normal).alias("x"))
+    parts = summed.withColumn("mean", mean)
+    spread = F.sqrt(sum(((o - F.col("mean")) * (o - F.col("mean")) for o in out), F.lit(0.0)) / width + 1e-5)
+    parts = parts.withColumn("spread", spread)
+    normal = [elu((o - F.col("mean")) / F.col("spread") * F.lit(float(a)) + F.lit(float(b))) for o, a, b in zip(out, params["scale"], params["shift"], strict=True)]
+    return parts.select("graph_id", "idx", F.array(*normal).alias("x"))
+
+
+def meeting(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (graph_id, dst, moved, a, b): for each edge its target's and its source's x; a node that nothing leads to comes once without b."""
+    listed = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("idx", "x"))).alias("all"))
+    linked = edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "moved")).alias("edges"))
+    both = listed.join(linked, "graph_id", "left").withColumn("edges", F.coalesce("edges", F.array()))
+    bare = F.array_except(F.transform("all", lambda n: n["idx"]), F.transform("edges", lambda e: e["dst"]))
+    ends = F.concat(F.col("edges"), F.transform(bare, lambda i: F.struct(F.lit(None).cast("int").alias("src"), i.alias("dst"), F.lit(None).cast("array<double>").alias("moved"))))
+    one = both.select("graph_id", "all", F.explode(ends).alias("e"))
+    at = lambda side: F.get("all", F.col(f"e.{side}"))["x"]
+    return one.select("graph_id", "e.dst", "e.moved", at("dst").alias("a"), at("src").alias("b"))
 
 
 def estimates(nodes: DataFrame, params: dict) -> DataFrame:

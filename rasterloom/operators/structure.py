@@ -137,11 +137,8 @@ def losses(scores: DataFrame, nodes: DataFrame, edges: DataFrame, temperature: f
     return both.withColumn("loss", F.coalesce("entropy", F.lit(0.0)) + SPARSITY * F.col("sparsity") + SMOOTHNESS * F.col("smoothness"))
 
 
-def forward(pool: DataFrame, params: dict, top_k: int, knn: int, heads: int, readout: str = "attention") -> tuple[DataFrame, DataFrame]:
-    """(estimates, losses) of candidate pools (graph_id, idx, x: dt, dh, dw, value): choice, edges, layers, readout.
-
-    Attention runs over edges above the threshold. params: select, edges, project1, project2, layers, and the readout's.
-    """
+def parts(pool: DataFrame, params: dict, top_k: int, knn: int, heads: int, readout: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scores, kept nodes, edges, vectors) of candidate pools."""
     scores = attention.gated_scores(dealt(pool), params["select"])
     kept = chosen(scores, top_k)
     edges = soft_edges(kept, params["edges"], knn)
@@ -150,4 +147,18 @@ def forward(pool: DataFrame, params: dict, top_k: int, knn: int, heads: int, rea
     links = edges.where(F.col("weight") > THRESHOLD)
     for one in params["layers"]:
         x = layer(x, links, one, heads)
-    return estimates(pooled(x, params, readout), params), losses(scores, kept, edges)
+    return scores, kept, edges, pooled(x, params, readout)
+
+
+def embedded(pool: DataFrame, params: dict, top_k: int, knn: int, heads: int, readout: str = "attention") -> DataFrame:
+    """Rows (graph_id, x): each pool in one vector."""
+    return parts(pool, params, top_k, knn, heads, readout)[3]
+
+
+def forward(pool: DataFrame, params: dict, top_k: int, knn: int, heads: int, readout: str = "attention") -> tuple[DataFrame, DataFrame]:
+    """(estimates, losses) of candidate pools (graph_id, idx, x: dt, dh, dw, value): choice, edges, layers, readout.
+
+    Attention runs over edges above the threshold. params: select, edges, project1, project2, layers, and the readout's.
+    """
+    scores, kept, edges, vectors = parts(pool, params, top_k, knn, heads, readout)
+    return estimates(vectors, params), losses(scores, kept, edges)

@@ -40,6 +40,17 @@ def read_cube(spark: SparkSession, path: str, days: tuple[int, int] | None = Non
     return held.drop("block")
 
 
+def is_stored(spark: SparkSession, path: str) -> bool:
+    """Whether a job has finished writing a table there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def built_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
     """The table at path, built and written first unless it is there already."""
     if not rebuild:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from rasterloom import cli
 from rasterloom.config import CandidateConfig, GraphConfig, HeterogeneityConfig, QualityConfig
 from rasterloom.functions.geometry import brightness_class
-from rasterloom.model import spark as learned
-from rasterloom.model.network import Sizes, fixed_graphs, from_pool, initial
-from rasterloom.model.tensor import wrap
+from rasterloom.model import fit
+from rasterloom.model.features import Sizes, features, initial
 from rasterloom.operators import fill, graphs, heterogeneity, learning, positions, quality, raster
 from rasterloom.operators import neighborhood as N
 from rasterloom.plans import builders, tiled
@@ -130,52 +129,65 @@ def test_early_stop_and_metrics(spark):
     assert (flat.mse, flat.mae, flat.r2) == (1.0, 1.0, 0.0)
 
 
-@pytest.mark.parametrize("kind", ["fixed", "candidate"])
-def test_gradients_by_differences(kind):
-    rng, sizes = np.random.default_rng(1), Sizes(hidden=8, selector=8, top_k=5, knn=2)
-    params = {k: v + rng.normal(0, 0.05, v.shape) for k, v in initial(sizes, kind, 3).items()}
-    f = rng.normal(size=(3, 6, 4))
-    edges = (rng.random((3, 6, 6)) < 0.5) | np.eye(6, dtype=bool)
-    mask = np.arange(6)[None] < np.array([[6], [5], [6]])
-    batch = {"features": f, "adjacency": edges.astype(float), "moved": f[:, :, None, 1:] - f[:, None, :, 1:], "mask": mask}
-
-    def loss(p):
-        held = {k: wrap(v) for k, v in p.items()}
-        if kind == "fixed":
-            out = fixed_graphs(held, batch, sizes) - 1.0
-            return (out * out).sum(0), held
-        out, extra = from_pool(held, batch, sizes)
-        return ((out - 1.0) * (out - 1.0) + extra * 0.1).sum(0), held
-
-    total, held = loss(params)
-    total.backward()
-    for name, value in params.items():
-        at = tuple(rng.integers(0, n) for n in value.shape)
-        shifted = []
-        for step in (1e-6, -1e-6):
-            moved = dict(params) | {name: value.copy()}
-            moved[name][at] += step
-            shifted.append(loss(moved)[0].data.item())
-        got = held[name].grad[at] if held[name].grad is not None else 0.0
-        assert got == pytest.approx((shifted[0] - shifted[1]) / 2e-6, abs=2e-5), name
-
-
-def test_training_lowers_the_loss_and_fills(spark, cube):
+def test_gradient_by_differences(spark):
+    rng = np.random.default_rng(1)
+    rows = [([float(v) for v in rng.normal(size=5)], float(rng.normal())) for _ in range(40)]
+    df = spark.createDataFrame(rows, "x array<double>, target double").repartition(4).cache()
+    params = fit.start(5, 3, np.full(5, 0.1), np.full(5, 1.3), 2).params
+    params |= {"b1": rng.normal(size=3), "b2": rng.normal(size=1)}
+    grads, loss, n = fit.gradient(df, params)
+    assert n == 40
+    half = lambda p: fit.predicted(df, p).agg(F.avg((F.col("estimate") - F.col("target")) ** 2) / 2).first()[0]
+    assert loss == pytest.approx(2 * half(params))
+    for name in fit.FITTED:
+        at = tuple(rng.integers(0, n) for n in params[name].shape)
+        ends = []
+        for move in (1e-5, -1e-5):
+            moved = params | {name: params[name].copy()}
+            moved[name][at] += move
+            ends.append(half(moved))
+        assert grads[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6), name
+    assert fit.gradient(df.limit(0), params)[2] == 0
+
+
+def test_training_goes_on_after_a_stop_as_if_there_were_none(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    y = np.tanh(x[:, 0]) + 0.5 * x[:, 1] ** 2
+    rows = [(i, [float(v) for v in x[i]], float(y[i]), "train" if i % 5 else "val") for i in range(300)] + [(300, [0.0] * 4, None, "train")]
+    vectors = spark.createDataFrame(rows, "graph_id long, x array<double>, target double, part string")
+    fit.store(vectors, str(tmp_path / "v"), 2)
+    how = {"hidden": 6, "epochs": 4, "rate": 0.1, "batches": 2}
+    best, history = fit.train(spark, str(tmp_path / "v"), str(tmp_path / "once"), **how)
+    whole = sorted(map(tuple, history.collect()))
+    assert len(whole) == 4 and min(h[2] for h in whole) < 0.9 * whole[0][2]
+    for now in (2, None):
+        again, history = fit.train(spark, str(tmp_path / "v"), str(tmp_path / "stopped"), **how, now=now)
+    assert np.allclose(whole, sorted(map(tuple, history.collect())), rtol=1e-9)
+    assert all(np.allclose(best[k], again[k]) for k in best)
+    kept = fit.from_table(fit.to_table(spark, best))
+    assert all((kept[k] == best[k]).all() for k in best)
+
+
+def test_training_lowers_the_loss_and_fills(spark, cube, tmp_path):
     centers = positions.training_centers(cube, SHAPE, CONFIG).withColumn("graph_id", F.col("class").cast("long") * 1000 + F.col("sample_id"))
     target = centers.join(cube.select("t", "h", "w", F.col("value").cast("double").alias("target")), ["t", "h", "w"]).select("graph_id", "target")
-    rows = tiled.build(centers, cube, SHAPE, CONFIG).join(target, "graph_id").cache()
-    sizes = Sizes(hidden=8)
-    start = initial(sizes, "fixed")
-    best, history = learned.train(rows, rows, start, sizes, epochs=6, rate=0.02, batches=2)
+    sizes = Sizes(hidden=4, layers=1)
+    layers = initial(sizes, "fixed")
+    made = tiled.build(centers, cube, SHAPE, CONFIG).cache()
+    vectors = features(made, layers, sizes).join(target, "graph_id")
+    fit.store(positions.split(vectors, ("graph_id",)), str(tmp_path / "v"), 2)
+    best, history = fit.train(spark, str(tmp_path / "v"), str(tmp_path / "c"), epochs=4, rate=0.05, batches=2)
     losses = [r.val_loss for r in history.orderBy("epoch").collect()]
     assert min(losses) < losses[0]
-    again = learned.from_table(learned.to_table(spark, best))
-    assert all((again[k] == best[k]).all() for k in best)
     gaps = builders.numbered(positions.missing(cube, SHAPE, (4, 4, 4)), SHAPE)
-    scored = learned.predict(tiled.build(gaps, cube, SHAPE, CONFIG), best, sizes).join(gaps, "graph_id")
-    full = fill.write_back(cube, scored)
-    assert full.where("was_gap and filled is not null").count() == scored.count() > 0
+    found = tiled.build(gaps, cube, SHAPE, CONFIG).cache()
+    scored = fit.predicted(features(found, layers, sizes), best).join(gaps, "graph_id").cache()
+    full = fill.write_back(cube, scored).cache()
+    assert full.where("was_gap and filled is not null").count() == scored.count() == found.count() > 0
     assert full.count() == cube.count()
+    for kept in (made, found, scored, full):
+        kept.unpersist()
 
 
 def test_stream_builds_each_batch_once(spark, cube, tmp_path):
@@ -206,15 +218,36 @@ def test_command_line_schemes(spark, tmp_path, scheme):
     store, out = str(tmp_path / "in"), str(tmp_path / scheme)
     synthetic.cube(spark, SHAPE).write.parquet(store)
     common = ["--input", store, "--ext-range", "3", "--max-ext", "1", "--edge-time", "4", "--edge-height", "4", "--edge-width", "4", "--sample-per-class", "6", "--scheme", scheme, "--max-radius", "4", "--output", out]
-    fit = ["--model", f"{out}/model", "--epochs", "1", "--hidden-dim", "8"]
-    cli.main(["fit", *common, *fit, "--build-only"])
+    fitting = ["--model", f"{out}/model", "--epochs", "1", "--hidden-dim", "4", "--num-layers", "1"]
+    cli.main(["fit", *common, *fitting, "--build-only"])
     made = spark.read.parquet(f"{out}/graphs_{scheme}")
     assert {r.part for r in made.select("part").distinct().collect()} == {"train", "val"}
     if scheme == "a":
         assert {r.n % 2 for r in made.select(F.size("idx").alias("n")).collect()} == {0}
-    cli.main(["fit", *common, *fit])
-    cli.main(["fill", *common[:-1], f"{out}/cube", *fit])
+    cli.main(["fit", *common, *fitting])
+    cli.main(["fill", *common[:-1], f"{out}/cube", *fitting])
     assert spark.read.parquet(f"{out}/cube").where("was_gap and filled is not null").count() > 0
     cli.main(["train", *common])
     kept = spark.read.parquet(f"{out}/graph_6_32_forTrain")
     assert {"a": "nodes", "b": "het", "c": "candidates"}[scheme] in kept.columns and kept.count() > 0
+
+
+def test_command_line_fits_stored_graphs_of_several_schemes(spark, tmp_path):
+    store, stores = str(tmp_path / "in"), []
+    synthetic.cube(spark, SHAPE).write.parquet(store)
+    common = ["--input", store, "--ext-range", "3", "--max-ext", "1", "--edge-time", "4", "--edge-height", "4", "--edge-width", "4", "--sample-per-class", "6", "--max-radius", "4"]
+    for scheme in ("plain", "a", "c"):
+        cli.main(["train", *common, "--scheme", scheme, "--output", str(tmp_path / scheme)])
+        stores.append(f"{scheme}={tmp_path / scheme}/graph_6_32_forTrain")
+    out = str(tmp_path / "out")
+    fitting = ["baseline", "--graphs", *stores, "--output", out, "--hidden-dim", "4", "--num-layers", "1"]
+    cli.main([*fitting, "--epochs", "1"])
+    metrics = {(r.scheme, r.part): r for r in spark.read.parquet(f"{out}/metrics").collect()}
+    assert {s for s, _ in metrics} == {"plain", "a", "c"} and all(np.isfinite(r.mse) for r in metrics.values())
+    parts = {(r.t, r.h, r.w): r.part for r in spark.read.parquet(f"{out}/parts").collect()}
+    for s in stores:  # a position is in one part, whatever the scheme
+        name, path = s.split("=")
+        held = spark.read.parquet(f"{out}/vectors_{name}").join(spark.read.parquet(path).select("graph_id", "center"), "graph_id")
+        assert held.count() and all(parts[tuple(r.center)] == r.part for r in held.select("center", "part").collect())
+    cli.main([*fitting, "--epochs", "2"])
+    assert spark.read.parquet(f"{out}/history").groupBy("scheme").count().where("count <> 2").count() == 0
