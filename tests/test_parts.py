@@ -110,6 +110,159 @@ def test_npy_cube(spark, tmp_path):
         assert (r.raw is None) if (r.t, r.h, r.w) == (2, 1, 1) else r.raw == data[r.t, r.h, r.w]
 
 
+def test_npy_bounds_reach_the_source(spark, tmp_path):
+    data = np.arange(40 * 6 * 7, dtype=np.float64).reshape(40, 6, 7)
+    np.save(tmp_path / "c.npy", data)
+    every = npy.read(spark, str(tmp_path / "c.npy"), days=4)
+    some = every.where("t >= 9 and t < 14 and h = 2 and w > 3")
+    assert every.rdd.getNumPartitions() == 10 and some.rdd.getNumPartitions() == 2
+    assert {(r.t, r.h, r.w): r.raw for r in some.collect()} == {(t, 2, w): data[t, 2, w] for t in range(9, 14) for w in range(4, 7)}
+    assert every.where("t = 99").count() == 0
+
+
+def test_npy_cube_is_written_whole_or_not_at_all(spark, tmp_path):
+    rng, path = np.random.default_rng(2), str(tmp_path / "cube")
+    data = np.where(rng.random((9, 11, 10)) < 0.3, np.nan, rng.random((9, 11, 10)))
+    rows = [(*map(int, i), None if np.isnan(v) else float(v)) for i, v in np.ndenumerate(data)]
+    df = spark.createDataFrame(rows, "t int, h int, w int, value double").repartition(5)
+    npy.write(df, path, data.shape, days=4, side=4)
+    read = lambda: {(r.t, r.h, r.w): r.raw for r in npy.read(spark, path).collect()}
+    assert read() == {r[:3]: r[3] for r in rows}
+    assert npy.read(spark, path).where("h >= 8 and t < 4").rdd.getNumPartitions() == 3
+
+    @F.udf("double")
+    def fails(t, v):
+        if t == 8:
+            raise RuntimeError("planned")
+        return v
+
+    with pytest.raises(Exception, match="planned"):
+        npy.write(df.withColumn("value", fails("t", "value")), path, data.shape, days=4, side=4)
+    assert read() == {r[:3]: r[3] for r in rows}  # the cube before is untouched
+    npy.write(df.where("t < 3 and value is not null"), path, data.shape, days=4, side=4)
+    assert {k: v for k, v in read().items() if v is not None} == {r[:3]: r[3] for r in rows if r[0] < 3 and r[3] is not None}
+    with pytest.raises(Exception, match="off the grid"):
+        npy.write(df, path, (9, 11, 9), days=4, side=4)
+
+
+def packed_bits(data: bytes) -> bytes:
+    out, at = b"", 0
+    while at < len(data):
+        n = 1
+        while n < 128 and data[at : at + n + 1] == data[at : at + 1] * (n + 1):
+            n += 1
+        out += bytes([257 - n, data[at]]) if n > 1 else bytes([0, data[at]])
+        at += n
+    return out
+
+
+def packed_lzw(data: bytes) -> bytes:
+    codes, table, width, now = [], {}, 9, b""
+
+    def clear():
+        codes.append((256, width))
+        table.clear()
+        table.update({bytes([i]): i for i in range(256)})
+
+    clear()
+    for byte in data:
+        grown = now + bytes([byte])
+        if grown in table:
+            now = grown
+            continue
+        codes.append((table[now], width))
+        table[grown] = len(table) + 2
+        if len(table) + 2 >= 4094:
+            clear()
+            width = 9
+        elif len(table) + 2 > (1 << width) - 1:
+            width += 1
+        now = bytes([byte])
+    if now:
+        codes.append((table[now], width))
+        if len(table) + 3 > (1 << width) - 1:  # the reader's table grows by one more
+            width = min(12, width + 1)
+    codes.append((257, width))
+    bits = "".join(f"{c:0{w}b}" for c, w in codes)
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+def plain_tiff(plane, order="<", big=False, tile=None, method=1, predictor=1, rows=3, samples=1) -> bytes:
+    """A TIFF file of the plane as its first band, by the letter of the format."""
+    import struct
+    import zlib
+
+    height, width = plane.shape
+    kind = plane.dtype.newbyteorder(order)
+    pack = {1: bytes, 5: packed_lzw, 8: zlib.compress, 32773: packed_bits}[method]
+    boxes = [(t, 0, min(rows, height - t), width) for t in range(0, height, rows)] if tile is None else [(t, x, tile, tile) for t in range(0, height, tile) for x in range(0, width, tile)]
+    bodies = []
+    for t, x, h, w in boxes:
+        box = np.zeros((h, w), plane.dtype)
+        part = plane[t : t + h, x : x + w]
+        box[: part.shape[0], : part.shape[1]] = part
+        if predictor == 2:
+            box[:, 1:] = box[:, 1:] - box[:, :-1]
+        bodies.append(pack(np.repeat(box[:, :, None], samples, axis=2).astype(kind).tobytes()))
+    head = (struct.pack(order + "2sHHHQ", b"II" if order == "<" else b"MM", 43, 8, 0, 16) if big else struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 8))
+    form = {"u": 1, "i": 2, "f": 3}[plane.dtype.kind]
+    word, code = ("Q", 16) if big else ("I", 4)
+    tags = [(256, [width]), (257, [height]), (258, [plane.dtype.itemsize * 8]), (259, [method]), (277, [samples]), (317, [predictor]), (339, [form])]
+    tags += [(322, [tile]), (323, [tile])] if tile else [(278, [rows])]
+    places = (324, 325) if tile else (273, 279)
+    size = (8 + 20 * (len(tags) + 2) + 8) if big else (2 + 12 * (len(tags) + 2) + 4)
+    lists = len(head) + size
+    step = 8 if big else 4
+    body_at = lists + 2 * step * len(bodies)
+    offsets = [body_at + sum(map(len, bodies[:i])) for i in range(len(bodies))]
+    tags = sorted([*tags, (places[0], offsets), (places[1], [len(b) for b in bodies])])
+    out, extra = struct.pack(order + ("Q" if big else "H"), len(tags)), b""
+    for tag, values in tags:
+        held = struct.pack(f"{order}{len(values)}{word}", *values)
+        if len(held) > step:
+            held, extra = struct.pack(order + word, lists + len(extra)), extra + held
+        out += struct.pack(order + ("HHQ" if big else "HHI"), tag, code, len(values)) + held.ljust(step, b"\0")
+    return head + out + b"\0" * step + extra.ljust(body_at - lists, b"\0") + b"".join(bodies)
+
+
+def test_tiff_forms_round_trip():
+    rng = np.random.default_rng(8)
+    smooth = (np.add.outer(np.arange(37) * 3, np.arange(53) * 5) + rng.integers(0, 4, (37, 53)))
+    for kind in ("u1", "u2", "i2", "u4", "f4", "f8"):
+        plane = smooth.astype(kind)
+        for order in "<>":
+            for big in (False, True):
+                for tile in (None, 16):
+                    for method in (1, 5, 8, 32773):
+                        for predictor in (1, 2) if plane.dtype.kind != "f" else (1,):
+                            got = frames.decode(plain_tiff(plane, order, big, tile, method, predictor))
+                            assert got.dtype == plane.dtype and (got == plane).all(), (kind, order, big, tile, method, predictor)
+    assert (frames.decode(plain_tiff(smooth.astype("u2"), samples=3)) == smooth).all()
+    wide = rng.integers(0, 256, (120, 200)).astype("u1")  # fills LZW's table several times
+    assert (frames.decode(plain_tiff(wide, method=5, rows=120)) == wide).all()
+
+
+def test_broken_tiffs_say_why(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    plane = rng.integers(0, 60_000, (9, 8)).astype("u2")
+    whole = {m: plain_tiff(plane, method=m, tile=16 if m == 5 else None) for m in (1, 5, 8, 32773)}
+    for n in range(4_000):
+        data = bytearray(whole[[1, 5, 8, 32773][n % 4]])
+        for _ in range(rng.integers(1, 5)):
+            data[rng.integers(0, len(data))] = rng.integers(0, 256)
+        try:
+            frames.decode(bytes(data[: rng.integers(1, len(data) + 1)] if n % 3 else data))
+        except ValueError:
+            pass
+    (tmp_path / "2021001_50KM.tif").write_bytes(whole[8])
+    (tmp_path / "2021002_50KM.tif").write_bytes(whole[8][:-9])
+    (tmp_path / "2021003_50KM.tif").write_bytes(b"not a frame")
+    report = {r.doy: r for r in frames.frame_report(spark, str(tmp_path)).collect()}
+    assert (report[1].height, report[1].width, report[1].error) == (9, 8, None)
+    assert report[2].error and report[3].error == "not a TIFF file"
+    assert frames.read(spark, str(tmp_path)).select("doy").distinct().count() == 1
+
+
 def test_cube_store_prunes_by_days(spark, cube, tmp_path):
     sinks.write_cube(cube, str(tmp_path / "cube"), days=4)
     held = sinks.read_cube(spark, str(tmp_path / "cube"), (4, 6), block=4)
