@@ -209,7 +209,7 @@ def decode_frame(frame: bytes) -> np.ndarray:
                 tables[body[0]] = codes(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif mark in (0xC0, 0xC1):
-            if len(body) < 6 + 3 * body[5] or body[0] != 8:
+            if len(body) < 6 or len(body) < 6 + 3 * body[5] or body[0] != 8:
                 raise ValueError("unreadable frame header")
             height, width = struct.unpack_from(">HH", body, 1)
             parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(body[5])]
@@ -388,8 +388,8 @@ def read_media(files: DataFrame) -> DataFrame:
             stored = (len(avi), hashlib.sha256(avi).hexdigest())
             try:
                 payload, clips = inspect(bytes(avi))
-            except (ValueError, struct.error) as problem:
-                return key, n, None, None, None, *stored, None, str(problem)
+            except (ValueError, ArithmeticError, LookupError, TypeError, MemoryError, struct.error) as problem:
+                return key, n, None, None, None, *stored, None, str(problem) or type(problem).__name__
             read = (None, None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
             return key, n, *read, *stored, clips, None
 
