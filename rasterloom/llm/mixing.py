@@ -29,7 +29,7 @@ def quality_weight(text: Column) -> Column:
 
 
 def uniform(key: Column) -> Column:
-    """A number strictly between 0 and 1 from 52 bits of the id's md5: the same in every run and engine."""
+    """A number strictly between 0 and 1 from 52 bits of the key's md5: the same in every run and engine."""
     digits = F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
     return (digits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
@@ -39,7 +39,8 @@ def sized(docs: DataFrame) -> DataFrame:
     text = whole_text("row.text")
     base = docs.select(F.struct("*").alias("row"))
     base = base.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), word_count(text).alias("size"), quality_weight(text).alias("quality"))
-    return base.withColumn("draw", -F.log(uniform(F.col("doc_id"))) / F.col("quality"))
+    key = F.coalesce(F.col("doc_id").cast("string"), text)  # rows without an id draw by their text, so many of them spread
+    return base.withColumn("draw", -F.log(uniform(key)) / F.col("quality"))
 
 
 def targets(stats: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
@@ -119,7 +120,7 @@ with base as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
     1.0::double / (1.0::double + 8.0::double * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[!-/:-@\[-`{-~]', '', 'g')))::double
       / greatest(length(coalesce(text, '')), 1)::double) as quality,
-    (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
+    (('0x' || substr(md5(coalesce(doc_id::varchar, text, '')), 1, 13))::bigint::double + 0.5::double) / 4503599627370496.0::double as u
   from documents),
 sources as (select source, sum(size)::bigint as source_size from base group by source),
 ranked as (select *, row_number() over (order by source nulls last) - 1 as place from sources),
