@@ -427,6 +427,14 @@ def test_mixing_equals_sql(spark, odd, odd_rows):
     assert plain(map(tuple, got.collect())) == plain(want)
 
 
+def test_rows_without_an_id_spread_over_the_draws(spark):
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = mixing.sized(df)
+    assert rows.select("draw").distinct().count() == 20_000
+    found = mixing.mix(rows.drop("row"), rows.drop("row")).agg(F.sum("taken"), F.max(F.col("taken") / F.col("size"))).first()
+    assert found[0] == 60_000 and found[1] <= 2
+
+
 def test_mixed_rows_come_once_an_epoch(odd, none):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
@@ -642,6 +650,23 @@ def test_files_of_other_writers_and_broken_ones(spark):
     assert got[len(bad) + 1].error is None and got[len(bad) + 1].payload_bytes is None and len(got[len(bad) + 1].clips) == 2
 
 
+def test_ten_thousand_broken_files_raise_nothing_that_reading_does_not_catch():
+    rng = np.random.default_rng(4)
+    frames = [foreign_frame(n, True, 0, bright=0 if n < 2 else 450)[0] for n in range(3)]
+    whole = [media.write_avi(b"x" * 576), foreign_avi(frames), foreign_avi(frames[:1], index=False)]
+    short = frames[0].replace(frames[0][frames[0].index(b"\xff\xc0") :][:19], b"\xff\xc0\x00\x05\x08\x00\x10")
+    broken = 0
+    for n in range(10_000):
+        data = bytearray(foreign_avi([short]) if n == 0 else whole[n % 3])
+        for _ in range(rng.integers(1, 6) if n else 0):
+            data[rng.integers(0, len(data))] = rng.integers(0, 256)
+        try:
+            media.inspect(bytes(data[: rng.integers(0, len(data) + 1)] if n % 2 and n else data))
+        except (ValueError, ArithmeticError, LookupError, TypeError, MemoryError, struct.error):
+            broken += 1
+    assert broken > 3_000
+
+
 def test_a_change_of_scene_starts_a_clip():
     dark, light = b"\x00" * 576 * 12, b"\xff\x00" * 288 * 12
     clips = media.inspect(media.write_avi(dark + light))[1]
