@@ -156,6 +156,14 @@ def baseline(spark: SparkSession, args) -> None:
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("rasterloom").getOrCreate()
+    with N.releasing() as kept:
+        run(spark, args)
+    for table in kept:
+        table.unpersist()
+
+
+def run(spark: SparkSession, args) -> None:
+    """One mode of the command line, to its last written table."""
     if args.mode == "convert":
         sinks.write_cube(frames.year_cube(spark, args.input, args.year, (args.height, args.width), args.pattern, scale=args.scale), args.output)
         return

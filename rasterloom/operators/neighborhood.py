@@ -7,6 +7,9 @@ most two keys instead of (2r + 1) cubed. Everything after the join is keyed by g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,25 @@ from ..config import CandidateConfig, GraphConfig
 from ..functions.geometry import chebyshev, quadrant, region, squared
 
 ORDER = ("d2", "dt", "dh", "dw")
+#: The tables that this module has put in the cluster's cache, for whoever made the plan to release.
+CACHED: list[DataFrame] = []
+
+
+def cached(table: DataFrame) -> DataFrame:
+    CACHED.append(table.persist())
+    return table
+
+
+@contextmanager
+def releasing() -> Iterator[list[DataFrame]]:
+    """The tables that go to the cache meanwhile, as a list for the caller to unpersist once its results are written."""
+    before, mine = CACHED[:], []
+    CACHED.clear()
+    try:
+        yield mine
+    finally:
+        mine += CACHED
+        CACHED[:] = before
 
 
 def runs(voxels: DataFrame, width: int) -> DataFrame:
@@ -118,11 +140,11 @@ def nodes_of(centers: DataFrame, voxels: DataFrame, config: GraphConfig, kept: l
     The tables in the cache are added to ``kept``, for the caller to unpersist.
     """
     kept = [] if kept is None else kept
-    found = select_at(measured(extract(centers, voxels, config.ext_range)), config).persist()
+    found = cached(select_at(measured(extract(centers, voxels, config.ext_range)), config))
     kept.append(found)
     for radius in rings(config.ext_range, config.reach):
         left = centers.join(found.select("graph_id").distinct(), "graph_id", "left_anti").select(*centers.columns)
-        more = select_nodes(measured(extract(left, voxels, radius)), config).where(F.col("radius") <= radius).persist()
+        more = cached(select_nodes(measured(extract(left, voxels, radius)), config).where(F.col("radius") <= radius))
         kept.append(more)
         found = found.unionByName(more)
     return found
@@ -149,7 +171,7 @@ def candidates(centers: DataFrame, voxels: DataFrame, config: CandidateConfig) -
         left = centers
         if found is not None:
             left = centers.join(found.select("graph_id").distinct(), "graph_id", "left_anti").select(*centers.columns)
-        more = candidates_within(left, voxels, config, radius).persist()
+        more = cached(candidates_within(left, voxels, config, radius))
         found = more if found is None else found.unionByName(more)
     return found
 

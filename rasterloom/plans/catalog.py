@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -39,8 +40,14 @@ def query(out: str):
 
     def add(make):
         columns = dict(c.strip().split(" ", 1) for c in out.split(","))
-        OUT[make.__name__] = columns
-        QUERIES[make.__name__] = lambda spark, sf_dir: make(spark, sf_dir).selectExpr(*[as_type(n, k) for n, k in columns.items()])
+
+        def run(spark, sf_dir: str) -> DataFrame:
+            with N.releasing() as kept:
+                found = make(spark, sf_dir).selectExpr(*[as_type(n, k) for n, k in columns.items()])
+            weakref.finalize(found, lambda: [table.unpersist() for table in kept]).atexit = False  # once the caller drops the result
+            return found
+
+        OUT[make.__name__], QUERIES[make.__name__] = columns, run
         return make
 
     return add
@@ -77,9 +84,10 @@ def clean_voxels_single(spark, sf):
 
 @query("t int, h int, w int, quality int, value r9")
 def joined_quality(spark, sf):
+    """Every cell of the grid with the flags of those that any line falls into; 255 stands for an unknown flag."""
     raw = raw_voxels(spark, sf, SMALL)
-    flags = raw.select("t", "h", "w", F.when(F.col("quality") == 1, 255).otherwise(F.col("quality")).alias("quality")).where("w <> 3")
-    return raster.clean(raster.join_quality(raw.select("t", "h", "w", "raw"), flags))
+    flags = raw.select("t", "h", "w", F.when(F.col("quality") == 1, 255).otherwise(F.col("quality")).alias("quality"))
+    return raster.clean(raster.join_quality(raster.densify(raw.select("t", "h", "w", "raw"), SMALL), flags))
 
 
 @query("cells long, valid long, missing long, valid_ratio r9, least r9, most r9, mean r9, median r9, p999 r9")
@@ -154,27 +162,42 @@ def benchmark_sample(spark, sf):
 # ---- geometry
 
 
-@query("dt int, dh int, dw int, d2 int, cheb int, quadrant int, region int")
+def _offsets(spark, sf, radius: int) -> DataFrame:
+    """The offsets at which the gaps have valid cells, with the number of such cells."""
+    v = cube(spark, sf)
+    return N.extract(gaps(v), v, radius).groupBy("dt", "dh", "dw").agg(F.count("*").alias("n"))
+
+
+@query("dt int, dh int, dw int, d2 int, cheb int, quadrant int, region int, n long")
 def offset_dim(spark, sf):
-    return G.offsets(spark, 6)
+    d = [F.col(c) for c in ("dt", "dh", "dw")]
+    return _offsets(spark, sf, 6).select(*d, G.squared(*d).alias("d2"), G.chebyshev(*d).alias("cheb"), G.quadrant(*d).alias("quadrant"), G.region(*d).alias("region"), "n")
 
 
-@query("quadrant int, region int, n long, far int")
+@query("quadrant int, region int, offsets long, n long, far int")
 def direction_partition(spark, sf):
-    return G.offsets(spark, 6).groupBy("quadrant", "region").agg(F.count("*").alias("n"), F.max("d2").alias("far"))
+    d = [F.col(c) for c in ("dt", "dh", "dw")]
+    found = _offsets(spark, sf, 6).select("n", G.squared(*d).alias("d2"), G.quadrant(*d).alias("quadrant"), G.region(*d).alias("region"))
+    return found.groupBy("quadrant", "region").agg(F.count("*").alias("offsets"), F.sum("n").alias("n"), F.max("d2").alias("far"))
 
 
-@query("dt int, dh int, dw int, step int, pt int, ph int, pw int")
+@query("graph_id long, idx int, step int, pt int, ph int, pw int")
 def line_paths(spark, sf):
-    at = G.offsets(spark, 6).select("dt", "dh", "dw", F.explode(G.line_to_center(F.col("dt"), F.col("dh"), F.col("dw"))).alias("p"))
-    return at.select("dt", "dh", "dw", "p.step", F.col("p.dt").alias("pt"), F.col("p.dh").alias("ph"), F.col("p.dw").alias("pw"))
+    """The cells on the line from each of the gaps' neighbours to the gap."""
+    d = [F.col(c) for c in ("dt", "dh", "dw")]
+    v = cube(spark, sf)
+    found = N.inside_grid(N.select_nodes(N.measured(N.extract(gaps(v), v, GRAPH.reach)), GRAPH), SMALL)
+    at = found.select("graph_id", "idx", F.explode(G.line_to_center(*d)).alias("p"))
+    return at.select("graph_id", "idx", "p.step", F.col("p.dt").alias("pt"), F.col("p.dh").alias("ph"), F.col("p.dw").alias("pw"))
 
 
-@query("name string, doy int, day date, days int, padded string")
+@query("name string, doy int, day date, days int, padded string, n long")
 def frame_names(spark, sf):
-    names = spark.range(0, 400, 13).select(F.concat(F.lit("20"), F.lpad((F.col("id") % 30).cast("string"), 2, "0"), F.lpad((F.col("id") % 365 + 1).cast("string"), 3, "0"), F.lit("_50KM.tif")).alias("name"))
+    """The frames' file names of the days that have events, and what the names say."""
+    days = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.date_format("ts", "yyyyDDD").alias("day")).agg(F.count("*").alias("n"))
+    names = days.select(F.concat("day", F.lit("_50KM.tif")).alias("name"), "n")
     year, doy = F.regexp_extract("name", r"^(\d{4})(\d{3})_50KM\.tif$", 1).cast("int"), F.regexp_extract("name", r"^(\d{4})(\d{3})_50KM\.tif$", 2).cast("int")
-    return names.select("name", doy.alias("doy"), G.day_of(year, doy).alias("day"), G.days_in(year).alias("days"), F.lpad(doy.cast("string"), 3, "0").alias("padded"))
+    return names.select("name", doy.alias("doy"), G.day_of(year, doy).alias("day"), G.days_in(year).alias("days"), F.lpad(doy.cast("string"), 3, "0").alias("padded"), "n")
 
 
 @query("key string, n long")
@@ -478,11 +501,12 @@ def knn_edges(spark, sf):
     return B.from_candidates(gaps(v), v, SCHEME_C)[2]
 
 
-@query("graph_id long, held int, first_value r9, last_value r9")
+@query("graph_id long, place int, held boolean, dt int, dh int, dw int, value r9")
 def padded_candidates(spark, sf):
     v = cube(spark, sf)
     found = graphs.padded(N.candidates(gaps(v), v, SCHEME_C), SCHEME_C.pool)
-    return found.select("graph_id", F.size(F.filter("mask", lambda m: m)).alias("held"), F.col("candidates")[0]["value"].alias("first_value"), F.col("candidates")[63]["value"].alias("last_value"))
+    each = found.select("graph_id", F.posexplode(F.arrays_zip("candidates", "mask")).alias("place", "c"))
+    return each.select("graph_id", "place", F.col("c.mask").alias("held"), "c.candidates.dt", "c.candidates.dh", "c.candidates.dw", "c.candidates.value")
 
 
 # ---- learning
@@ -499,7 +523,9 @@ def cosine_knn(spark, sf):
 
 
 def _scores(spark, sf):
-    return _vectors(spark, sf).select("graph_id", "idx", F.col("vector")[0].cast("double").alias("score"), F.col("vector")[1].cast("double").alias("x"))
+    """A score and a value of each vector, of all its components: their sum, and that of their squares."""
+    total = lambda power: F.aggregate("vector", F.lit(0.0), lambda s, v: s + v.cast("double") ** power)
+    return _vectors(spark, sf).select("graph_id", "idx", F.round(total(1), 9).alias("score"), total(2).alias("x"))
 
 
 @query("graph_id long, idx int, weight r6")
@@ -660,11 +686,11 @@ def readout_vectors(spark, sf):
     return found.select("graph_id", "place", F.inline(each))
 
 
-@query("vec_id long, leaky r6, elu r6, gelu r6")
+@query("vec_id long, place int, leaky r6, elu r6, gelu r6")
 def activations(spark, sf):
-    x = F.col("embedding")[0].cast("double") * 4
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return rows.select("vec_id", attention.leaky(x).alias("leaky"), attention.elu(x).alias("elu"), attention.gelu(x).alias("gelu"))
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("place", "v"))
+    x = F.col("v").cast("double") * 4
+    return rows.select("vec_id", "place", attention.leaky(x).alias("leaky"), attention.elu(x).alias("elu"), attention.gelu(x).alias("gelu"))
 
 
 # ---- filling

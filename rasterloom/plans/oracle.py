@@ -147,7 +147,7 @@ VECTORS = "vectors as (select (vec_id // 32)::bigint as graph_id, (vec_id % 32):
 NEAR = f"""{VECTORS}, sims as (select a.graph_id, a.idx as i, b.idx as j, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 9) as similarity
   from vectors a join vectors b using (graph_id)),
 knn as (select * from (select *, row_number() over (partition by graph_id, i order by similarity desc, j) as place from sims) where place <= 5)"""
-SCORES = f"{VECTORS}, scores as (select graph_id, idx, v[1] as score, v[2] as x from vectors)"
+SCORES = f"{VECTORS}, scores as (select graph_id, idx, round(list_sum(v), 9) as score, list_dot_product(v, v) as x from vectors)"
 SOFT = "soft as (select *, exp(score - max(score) over (partition by graph_id)) / sum(exp(score)) over (partition by graph_id) * exp(max(score) over (partition by graph_id)) as weight from scores)"
 SPLIT = f"parts as (select *, case when row_number() over (order by {DRAW.format('$$42,$$ || o_orderkey')}, o_orderkey) <= floor(count(*) over () * 0.8) then 'train' else 'val' end as part from orders)"
 HISTORY = "history as (select (o_orderkey % 40)::int as epoch, (count(*) % 9 + 1)::double as val_loss from orders group by 1)"
@@ -265,7 +265,7 @@ placed as (select * from (select *, max(case when n <= 25 then side end) over (p
 PARTS = {
     "clean_voxels": (vox(SMALL), "select * from vox"),
     "clean_voxels_single": (raw(SMALL), "select t, h, w, cast(cast(case when quality > 1 then null else raw end::float / 10::float as float) / 100::float as float) as value from rawvox"),
-    "joined_quality": (raw(SMALL), "select t, h, w, q as quality, cast(case when q > 1 then null else nullif(raw, 65535) end::double / 10 / 100 as float) as value from (select *, case when w = 3 or quality = 1 then null else quality end as q from rawvox)"),
+    "joined_quality": (f"{raw(SMALL)}, spine as (select a.i::int as t, b.i::int as h, c.i::int as w from range(24) a(i), range(16) b(i), range(16) c(i))", "select t, h, w, q as quality, cast(case when q > 1 then null else nullif(raw, 65535) end::double / 10 / 100 as float) as value from (select s.*, raw, case when quality = 1 then null else quality end as q from spine s left join rawvox using (t, h, w))"),
     "dataset_stats": (vox(SMALL), "select count(*) as cells, count(value) as valid, count(*) - count(value) as missing, count(value) / count(*) as valid_ratio, min(value) as least, max(value) as most, avg(value::double) as mean, median(value::double) as median, quantile_cont(value::double, 0.999) as p999 from vox"),
     "class_histogram": (vox(MIDDLE), f"select {klass()} as class, count(*) as n from vox where value is not null group by 1"),
     "class_histogram_left_closed": (vox(MIDDLE), f"select {klass('>=')} as class, count(*) as n from vox where value is not null group by 1"),
@@ -279,11 +279,11 @@ PARTS = {
     "downsample": (f"{vox(SMALL)}, {sample(f'select {klass(chr(62) + chr(61))} as class, t, h, w from vox where {inside(SMALL)} and value is not null', 15, 3, False)}", "select * from sampled"),
     "train_val_split": (SPLIT, "select * from parts"),
     "benchmark_sample": (vox(MIDDLE), f"select t, h, w from vox where {inside(MIDDLE)} and value is null order by {DRAW.format('$$0,$$ || t || $$,$$ || h || $$,$$ || w')}, t, h, w limit 100"),
-    "offset_dim": ("", f"select *, dt * dt + dh * dh + dw * dw as d2, greatest(abs(dt), abs(dh), abs(dw)) as cheb, {quad()} as quadrant, {reg()} as region from (select a.i as dt, b.i as dh, c.i as dw from range(-6, 7) a(i), range(-6, 7) b(i), range(-6, 7) c(i))"),
-    "direction_partition": ("", f"select {quad()} as quadrant, {reg()} as region, count(*) as n, max(dt * dt + dh * dh + dw * dw) as far from (select a.i as dt, b.i as dh, c.i as dw from range(-6, 7) a(i), range(-6, 7) b(i), range(-6, 7) c(i)) group by 1, 2"),
-    "line_paths": (f"nodes as (select 0 as graph_id, 0 as idx, a.i as dt, b.i as dh, c.i as dw from range(-6, 7) a(i), range(-6, 7) b(i), range(-6, 7) c(i)), {PATHS.replace('select graph_id, idx, step,', 'select dt, dh, dw, step,')}", "select * from paths"),
-    "frame_names": ("names as (select '20' || lpad((i % 30)::varchar, 2, '0') || lpad((i % 365 + 1)::varchar, 3, '0') || '_50KM.tif' as name from range(0, 400, 13) r(i))",
-        "select name, doy, make_date(y, 1, 1) + (doy - 1)::int as day, dayofyear(make_date(y, 12, 31)) as days, lpad(doy::varchar, 3, '0') as padded from (select name, substr(name, 1, 4)::int as y, substr(name, 5, 3)::int as doy from names)"),
+    "offset_dim": (f"{vox(SMALL)}, {centers('gaps')}, {cells(6)}", f"select dt, dh, dw, dt * dt + dh * dh + dw * dw as d2, greatest(abs(dt), abs(dh), abs(dw)) as cheb, {quad()} as quadrant, {reg()} as region, count(*) as n from near group by dt, dh, dw"),
+    "direction_partition": (f"{vox(SMALL)}, {centers('gaps')}, {cells(6)}", f"select {quad()} as quadrant, {reg()} as region, count(distinct (dt * 100 + dh) * 100 + dw) as offsets, count(*) as n, max(dt * dt + dh * dh + dw * dw) as far from near group by 1, 2"),
+    "line_paths": (f"{GRAPH_GAPS}, {PATHS}", "select * from paths"),
+    "frame_names": ("names as (select strftime(ts, '%Y') || lpad(dayofyear(ts)::varchar, 3, '0') || '_50KM.tif' as name, count(*) as n from events group by 1)",
+        "select name, doy, make_date(y, 1, 1) + (doy - 1)::int as day, dayofyear(make_date(y, 12, 31)) as days, lpad(doy::varchar, 3, '0') as padded, n from (select name, n, substr(name, 1, 4)::int as y, substr(name, 5, 3)::int as doy from names)"),
     "quantised_keys": (vox(SMALL), "select (t // 5) || '_' || (h // 5) || '_' || (w // 5) as key, count(*) as n from vox group by 1"),
     "tile_assign": (vox(MIDDLE), f"select h // 10 as tile_h, w // 10 as tile_w, count(*) as n, min(h) as first_h, max(w) as last_w from vox where {inside(MIDDLE)} and value is null group by 1, 2"),
     "tile_halo": (f"{vox(SMALL)}, tiles as (select a.i as th, b.i as tw from range(3) a(i), range(3) b(i))", "select th as tile_h, tw as tile_w, count(*) as cells, count_if(h // 6 = th and w // 6 = tw) as core, min(h) as low_h, max(h) as high_h, min(w) as low_w, max(w) as high_w from vox join tiles on h between th * 6 - 4 and th * 6 + 9 and w between tw * 6 - 4 and tw * 6 + 9 group by 1, 2"),
@@ -336,18 +336,18 @@ PARTS = {
     "structure_losses": (LOSSES, "select graph_id, entropy, sparsity, smoothness, coalesce(entropy, 0) + 0.01 * sparsity + 0.005 * smoothness as loss from entropies join edge_sums using (graph_id)"),
     "readout_vectors": (f"{MODEL}, {read_out('one')}", " union all ".join(f"select graph_id, '{how}' as how, unnest([0, 1, 2, 3]) as place, unnest([{', '.join(f.format(j) for j in range(4))}]) as value from shares group by 1"
         for how, f in (("attention", "sum(e * x{0}) / sum(e)"), ("mean", "avg(x{0})"), ("max", "max(x{0})"), ("sum", "sum(x{0})")))),
-    "activations": ("xs as (select vec_id, embedding[1]::double * 4 as x from embeddings)", f"select vec_id, case when x > 0 then x else 0.2 * x end as leaky, case when x > 0 then x else exp(x) - 1 end as elu, {gelu('x')} as gelu from xs"),
+    "activations": ("xs as (select vec_id, i as place, embedding[i + 1]::double * 4 as x from (select *, unnest(range(len(embedding))) as i from embeddings))", f"select vec_id, place, case when x > 0 then x else 0.2 * x end as leaky, case when x > 0 then x else exp(x) - 1 end as elu, {gelu('x')} as gelu from xs"),
     "region_counts": (f"{vox(SMALL)}, {centers('gaps')}, {cells(4)}", f"select graph_id, {reg()} as region, count(*) as valid from cells group by 1, 2"),
     "candidate_pool": (POOL64, "select * from pool"),
     "knn_edges": (f"{POOL64}, picked as (select graph_id, rank - 1 as idx, dt, dh, dw from pool where rank <= 36), pairs as (select a.graph_id, a.idx as src, b.idx as dst, a.dt - b.dt as et, a.dh - b.dh as eh, a.dw - b.dw as ew, row_number() over (partition by a.graph_id, a.idx order by (a.dt - b.dt) ** 2 + (a.dh - b.dh) ** 2 + (a.dw - b.dw) ** 2, b.idx) as place from picked a join picked b on a.graph_id = b.graph_id and a.idx <> b.idx)",
         "select graph_id, src, dst, 'knn' as kind, (et / 8.0)::float as et, (eh / 8.0)::float as eh, (ew / 8.0)::float as ew from pairs where src = 0 or place <= 4 union all select graph_id, idx, idx, 'loop', 0, 0, 0 from picked"),
-    "padded_candidates": (POOL64, "select graph_id, count(*) as held, max(case when rank = 1 then value end) as first_value, coalesce(max(case when rank = 64 then value end), 0) as last_value from pool group by 1"),
+    "padded_candidates": (f"{POOL64}, places as (select graph_id, r.i as place from (select distinct graph_id from pool), range(64) r(i))", "select graph_id, place, rank is not null as held, coalesce(dt, 0) as dt, coalesce(dh, 0) as dh, coalesce(dw, 0) as dw, coalesce(value, 0) as value from places left join (select *, rank - 1 as place from pool) using (graph_id, place)"),
     "cosine_knn": (NEAR, "select * from knn"),
-    "softmax_scores": (SCORES.replace("v[1] as score", "v[1] / 0.5 as score") + f", {SOFT}", "select * from soft"),
+    "softmax_scores": (SCORES.replace("round(list_sum(v), 9) as score", "round(list_sum(v), 9) / 0.5 as score") + f", {SOFT}", "select * from soft"),
     "top_scores": (SCORES, "select * from (select *, row_number() over (partition by graph_id order by score desc, idx) as place from scores) where place <= 5"),
     "selection_entropy": (f"{SCORES}, {SOFT}", "select graph_id, -sum(weight * ln(weight + 1e-10)) / nullif(ln(count(*)), 0) as entropy from soft group by 1"),
     "row_normalize": (NEAR, "select graph_id, i, j, similarity / sum(similarity) over (partition by graph_id, i) as weight from knn where similarity > 0.05"),
-    "graph_regularisers": (f"{NEAR}, scores as (select graph_id, idx, v[2] as x from vectors)", "select k.graph_id, sum(greatest(0, similarity)) as sparsity, sum(greatest(0, similarity) * (a.x - b.x) ** 2) as smoothness from knn k join scores a on a.graph_id = k.graph_id and a.idx = i join scores b on b.graph_id = k.graph_id and b.idx = j group by 1"),
+    "graph_regularisers": (f"{NEAR}, scores as (select graph_id, idx, list_dot_product(v, v) as x from vectors)", "select k.graph_id, sum(greatest(0, similarity)) as sparsity, sum(greatest(0, similarity) * (a.x - b.x) ** 2) as smoothness from knn k join scores a on a.graph_id = k.graph_id and a.idx = i join scores b on b.graph_id = k.graph_id and b.idx = j group by 1"),
     "readout_pooling": (f"{SCORES}, {SOFT}", "select graph_id, avg(x) as mean, max(x) as most, sum(x) as total, sum(weight * x) / sum(weight) as attended from soft group by 1"),
     "regression_metrics": (f"{SPLIT}, rows as (select part, o_totalprice / 1000 as target, o_totalprice / 1000 + (o_orderkey % 7 - 3) as predicted from parts)", "select part, count(*) as n, avg((target - predicted) ** 2) as mse, avg(abs(target - predicted)) as mae, 1 - sum((target - predicted) ** 2) / (var_pop(target) * count(*)) as r2 from rows group by 1"),
     "best_epoch": (HISTORY, "select epoch, val_loss from history order by val_loss, epoch limit 1"),

@@ -12,8 +12,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..config import GraphConfig
 from ..operators import tiles
@@ -154,6 +155,39 @@ def build(centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], co
     return dealt.groupBy(*tiles.LEAF).cogroup(halo.groupBy(*tiles.LEAF)).applyInArrow(run, SCHEMA)
 
 
+FINISHED = "batch int, centers long, graphs long"
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (batch, centers, graphs) of the batches that ``build_into`` has finished there."""
+    try:
+        return spark.read.schema(FINISHED).parquet(f"{path}/finished")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return spark.createDataFrame([], FINISHED)
+        raise
+
+
+def build_into(path: str, centers: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], config: GraphConfig, batches: int = 8, now: int | None = None, top: int = 64, **how) -> DataFrame:
+    """The graphs of ``build``, written under ``path`` in batches of whole boxes; a run goes on where one before it ended.
+
+    A batch's folder is overwritten whole and then listed as finished, with its numbers of centres and graphs, which are
+    counted while it is written. ``now`` bounds the batches of this call alone. The same tables and batches must be given.
+    """
+    spark = centers.sparkSession
+    done = {r.batch for r in finished(spark, path).select("batch").collect()}  # one row a batch
+    box = F.xxhash64(*[F.floor(F.col(c) / top) for c in tiles.AXES])
+    for batch in [b for b in range(batches) if b not in done][:now]:
+        asked, built = Observation(), Observation()
+        mine = centers.where(F.pmod(box, F.lit(batches)) == batch)
+        made = build(mine, voxels, shape, config, top=top, **how)
+        made.observe(built, F.count("*").alias("graphs")).withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/graphs")
+        mine.observe(asked, F.count("*").alias("centers")).write.format("noop").mode("overwrite").save()
+        row = [(batch, asked.get["centers"], built.get["graphs"])]
+        spark.createDataFrame(row, FINISHED).coalesce(1).write.mode("append").parquet(f"{path}/finished")
+    return spark.read.parquet(f"{path}/graphs")
+
+
 def lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values, kind))
 

@@ -17,6 +17,8 @@ from ..plans import builders
 from ..sources import sinks
 
 VOXELS = "t int, h int, w int, raw int, quality int"
+#: Days of a folder of the store.
+BLOCK = 32
 
 
 def frames(spark: SparkSession, folder: str, files: int = 8) -> DataFrame:
@@ -34,15 +36,18 @@ def start(stream: DataFrame, store: str, out: str, checkpoint: str, shape: tuple
     run again after a failure leaves the same files."""
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        clean(batch, cleaning).write.mode("overwrite").parquet(f"{store}/batch={number}")
-        held = spark.read.parquet(store).where(F.col("batch") <= number)
-        latest = held.groupBy("t", "h", "w").agg(F.max_by("value", "batch").alias("value"))  # a day sent again replaces itself
-        days = affected_days(spark.read.parquet(f"{store}/batch={number}"), config.reach)
+        spark, mine = batch.sparkSession, f"{store}/batch={number}"
+        block = F.floor(F.col("t") / BLOCK).cast("int")
+        clean(batch, cleaning).withColumn("block", block).write.mode("overwrite").partitionBy("block").parquet(mine)
+        days = affected_days(spark.read.parquet(mine), config.reach)
         ends = days.agg(F.min("t"), F.max("t")).first()
         if ends[0] is None:
             return
-        voxels = densify(latest.where(F.col("t").between(ends[0] - config.reach, ends[1] + config.reach)), shape)
+        low, high = max(0, ends[0] - config.reach), min(shape[0] - 1, ends[1] + config.reach)
+        near = F.col("block").between(low // BLOCK, high // BLOCK) & F.col("t").between(low, high)
+        held = spark.read.parquet(store).where((F.col("batch") <= number) & near)  # the folders of other blocks are not read
+        latest = held.groupBy("t", "h", "w").agg(F.max_by("value", "batch").alias("value"))  # a day sent again replaces itself
+        voxels = densify(latest, shape, (low, high))
         edges = (config.edge_time, config.edge_height, config.edge_width)
         seen = held.select("t").distinct()
         gaps = voxels.where(in_region(shape, edges) & F.col("value").isNull()).join(days.intersect(seen), "t").select("t", "h", "w")
@@ -53,12 +58,6 @@ def start(stream: DataFrame, store: str, out: str, checkpoint: str, shape: tuple
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def daily_counts(stream: DataFrame, delay: str = "2 days") -> DataFrame:
-    """A running table of cells and missing cells by frame day, for streams of rows (ts, raw); late rows wait ``delay``."""
-    missing = F.count_if((F.col("raw") == 65535) | F.col("raw").isNull()).alias("missing")
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("cells"), missing)
-
-
 def latest_graphs(spark: SparkSession, out: str) -> DataFrame:
     """Of each centre the graph that its last batch built."""
     every = sinks.merge(spark, out)

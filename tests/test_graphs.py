@@ -110,6 +110,25 @@ def test_tree_without_centres(spark):
     assert tiles.leaves(none, 5).count() == 0 and tiled.build(none, voxels(spark, cubes()["full"]), (13, 13, 13), CONFIG).count() == 0
 
 
+def test_a_build_that_stops_goes_on_where_it_ended(spark, tmp_path):
+    cube = cubes()["sparse_10"]
+    held = voxels(spark, cube)
+    centers = builders.numbered(spark.createDataFrame([(t, h, w) for t in (4, 6, 8) for h in (5, 7) for w in (4, 6, 8)], "t int, h int, w int"), cube.shape).persist()
+    how = {"most": 3, "top": 4, "finest": 2, "batches": 4}
+    want = {r.graph_id: tuple(r.src) for r in tiled.build(centers, held, cube.shape, CONFIG, most=3, top=4, finest=2).collect()}
+    path = str(tmp_path / "tiles")
+    tiled.build_into(path, centers, held, cube.shape, CONFIG, now=2, **how)
+    assert sorted(r.batch for r in tiled.finished(spark, path).collect()) == [0, 1]
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "tiles" / "graphs").rglob("*.parquet")}
+    made = tiled.build_into(path, centers, held, cube.shape, CONFIG, **how)
+    assert {r.graph_id: tuple(r.src) for r in made.collect()} == want and made.count() == len(want)
+    assert all(f.stat().st_mtime_ns == at for f, at in before.items())  # finished batches are not written again
+    done = tiled.finished(spark, path).collect()
+    assert sorted(r.batch for r in done) == [0, 1, 2, 3]
+    assert sum(r.centers for r in done) == centers.count() and sum(r.graphs for r in done) == len(want)
+    centers.unpersist()
+
+
 def test_offsets_partition_and_lines(spark):
     rows = offsets(spark, 6).collect()
     assert len(rows) == 13**3

@@ -1,5 +1,6 @@
 """Every registered raster query against its SQL in DuckDB, on the smallest tables."""
 
+import gc
 import math
 
 import duckdb
@@ -34,3 +35,15 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.sql(oracle.SQL[name])
     assert found.columns == want.columns
     assert plain(map(tuple, found.collect())) == plain(want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["candidate_pool", "graph_summary"])
+def test_queries_leave_nothing_in_the_cache(spark, name):
+    count = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = count()
+    found = catalog.QUERIES[name](spark, SF)
+    found.collect()
+    assert count() > before
+    del found
+    gc.collect()
+    assert count() == before

@@ -41,6 +41,15 @@ def test_values_on_a_break_belong_to_no_open_class(spark):
     assert got == {1: (0, 2), 2: (2, 2), 25: (0, 6), 100: (0, 7), 0: (1, 1), 99: (6, 6), 101: (7, 7)}
 
 
+def test_quantiles_equal_sorted_values(spark):
+    rng = np.random.default_rng(6)
+    for values in ([1.5], [2.0, 2.0, 2.0], [1.0, 4.0], list(rng.exponential(size=3_001)), [0.0] * 900 + [float(v) for v in rng.integers(0, 5, 101)], [1e-9, 1.0, 1e9, -3.0]):
+        points = (0.0, 0.25, 0.5, 0.999, 1.0)
+        got = raster.quantiles(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(3), points).first()
+        assert list(got) == pytest.approx(list(np.quantile(values, points)), rel=1e-12)
+    assert list(raster.quantiles(spark.createDataFrame([(None,)], "v double"), (0.5,)).first()) == [None]
+
+
 def test_quality_of_flat_zero_and_single_pixels(spark):
     rows = [(t, 0, 0, 5.0) for t in range(3)] + [(t, 0, 1, 0.0) for t in range(3)] + [(0, 0, 20, 1.0), (1, 0, 20, None), (2, 0, 20, None), (0, 0, 40, None)]
     plane = quality.pixels(spark.createDataFrame(rows, "t int, h int, w int, value float"))
@@ -356,6 +365,15 @@ def test_stream_builds_each_batch_once(spark, cube, tmp_path):
     assert sorted(r.graph_id for r in got.select("graph_id").collect()) == sorted(r.graph_id for r in want.select("graph_id").collect())
 
 
+def test_command_line_converts_frames(spark, tmp_path):
+    plane = np.arange(12, dtype=np.uint16).reshape(3, 4)
+    (tmp_path / "2020002_50KM.tif").write_bytes(plain_tiff(plane, method=8))
+    cli.main(["convert", "--input", str(tmp_path), "--output", str(tmp_path / "cube"), "--year", "2020", "--height", "3", "--width", "4"])
+    held = sinks.read_cube(spark, str(tmp_path / "cube"))
+    assert held.count() == 366 * 12
+    assert [r.raw for r in held.where("t = 1").orderBy("h", "w").collect()] == list(range(12)) and held.where("t <> 1 and raw is not null").count() == 0
+
+
 def test_command_line(spark, tmp_path):
     store = str(tmp_path / "in")
     synthetic.cube(spark, SHAPE).write.parquet(store)
