@@ -32,9 +32,9 @@ KEY64 = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n))(?:M[A-Z]|AAAA|b3Bl)[A-Za-
 NEXT64 = re.compile(r"={0,2}(?:\\r|\r)?(?:\\n|\n)[ \t]*([A-Za-z0-9+/_-]+)")
 KEYHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{38,}")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
+#: How many fields a public key of each algorithm has, its name among them.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-": 3}
 OPENSSH = b"openssh-key-v1\0"
-#: Base64 characters of the longest key looked for, four times those of RSA keys of 16,384 bits.
-LONGEST = 65_536
 
 
 def der_length(data: bytes, at: int, end: int) -> tuple[int, int] | None:
@@ -149,46 +149,78 @@ def key_kind(raw: str) -> str:
     return der_kind(data) or ssh_kind(data)
 
 
-def needed(raw: str) -> int | None:
-    """How many base64 characters a key that starts like this takes: as DER's outer length says, None if SSH, 0 if this is no key's start."""
-    data = base64.b64decode(raw[:32].replace("-", "+").replace("_", "/"))
-    if data[:1] != b"\x30":
-        return None if data.startswith(OPENSSH) or data[4:].startswith(SSH_NAMES) else 0
-    size, head = data[1], 2
-    if size >= 0x80:
-        n = size & 0x7F
-        if not 1 <= n <= 4:
-            return 0
-        size, head = int.from_bytes(data[2 : 2 + n]), 2 + n
-    count = -(-4 * (head + size) // 3)
-    return count if count <= LONGEST else 0
+class Run:
+    """The base64 of a key that may start with a match, read line by line only as far as its lengths ask for.
 
+    Lines below may belong to the key or be other text; they count as long as the lines before them have the first one's width.
+    """
 
-def key_at(text: str, m: re.Match) -> tuple[int, str] | None:
-    """End and kind of the key that starts with a match: of the first run of whole lines that parses as one.
+    def __init__(self, text: str, m: re.Match) -> None:
+        self.text, self.width, self.raw, self.ends, self.sizes = text, len(m[0]), m[0], [m.end()], [len(m[0])]
+
+    def reach(self, count: int) -> bool:
+        """Whether there are ``count`` characters; takes in the lines up to there."""
+        more, total, last = [], len(self.raw), self.sizes[-1] - (self.sizes[-2] if len(self.sizes) > 1 else 0)
+        if count > total + len(self.text) - self.ends[-1]:
+            return False  # more than the whole rest of the text
+        while total < count and last == self.width and (n := NEXT64.match(self.text, self.ends[-1])):
+            more.append(n[1])
+            last = len(n[1])
+            total += last
+            self.ends.append(n.end())
+            self.sizes.append(total)
+        self.raw += "".join(more)
+        return total >= count
+
+    def data(self, start: int, end: int) -> bytes | None:
+        """The decoded bytes from start to end; None where the run ends before."""
+        if not self.reach(-(-4 * end // 3)):
+            return None
+        piece = self.raw[start // 3 * 4 : -(-4 * end // 3)].replace("-", "+").replace("_", "/")
+        return base64.b64decode(piece + "=" * (-len(piece) % 4))[start % 3 :][: end - start]
+
+    def after_fields(self, at: int, many: int) -> int | None:
+        """Where so many length-prefixed fields end that start at a byte."""
+        for _ in range(many):
+            size = self.data(at, at + 4)
+            if size is None:
+                return None
+            at += 4 + int.from_bytes(size)
+        return at
+
+    def needed(self) -> int | None:
+        """Bytes of a key that starts like this, as its own lengths say: DER's outer one, or those of the SSH fields; None if this is no key's start."""
+        head = self.data(0, 24)
+        if head[:1] == b"\x30":
+            size, at = head[1], 2
+            if size >= 0x80:
+                n = size & 0x7F
+                if not 1 <= n <= 4:
+                    return None
+                size, at = int.from_bytes(head[2 : 2 + n]), 2 + n
+            return at + size
+        if head.startswith(OPENSSH):
+            at = self.after_fields(len(OPENSSH), 3)
+            keys = None if at is None else self.data(at, at + 4)
+            return self.after_fields(at + 4, int.from_bytes(keys) + 1) if keys and 1 <= int.from_bytes(keys) <= 64 else None
+        for name, many in SSH_FIELDS.items():
+            if head[4:].startswith(name):
+                return self.after_fields(0, many)
+        return None
 
-    Lines below may belong to the key or be other text. A DER key's first bytes say how many characters it takes, so
-    only the lines up to there are tried; other keys are tried line by line while lines have the first line's width.
-    """
-    lines, ends = [m[0]], [m.end()]
-    want, total = needed(m[0]), len(m[0])
-    if want == 0:
+
+def key_at(text: str, m: re.Match) -> tuple[int, str] | None:
+    """End and kind of the key that starts with a match: of the whole lines up to the length that it states, however long, if they parse as one."""
+    run = Run(text, m)
+    size = run.needed()
+    want = None if size is None else -(-4 * size // 3)
+    if want is None or not run.reach(want) or want not in run.sizes:
         return None
-    while total < (LONGEST if want is None else want) and (n := NEXT64.match(text, ends[-1])) and len(lines[-1]) == len(m[0]):
-        lines.append(n[1])
-        ends.append(n.end())
-        total += len(n[1])
-    tries = range(len(lines), 0, -1) if want is None else [len(lines)]
-    if want is None and len(lines) > 64:
-        tries = [len(lines), len(lines) - 1, 1]  # a run of lines of one width, and a last one that may be other text
-    for n in tries:
-        raw = "".join(lines[:n])
-        if kind := key_kind(raw):
-            end = ends[n - 1]
-            while end < len(text) and text[end] == "=" and end - ends[n - 1] < 2:
-                end += 1
-            return end, kind
-    return None
+    kind = key_kind(run.raw[:want])
+    end = stop = run.ends[run.sizes.index(want)]
+    while kind and end < len(text) and text[end] == "=" and end - stop < 2:
+        end += 1
+    return (end, kind) if kind else None
 
 
 def confirmed_spans(text: str) -> list[tuple[int, str, int]]:

@@ -254,11 +254,38 @@ def test_structures_are_confirmed_and_lookalikes_are_not():
     assert secrets.redacted(public, secrets.confirmed_spans(public)) == public
 
 
+def test_keys_of_any_length_end_where_they_say():
+    def wrap(data, width=64):
+        text = base64.b64encode(data).decode()
+        return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+    def whole(body):
+        size = len(body).to_bytes(3)
+        return b"\x30\x83" + size + body
+
+    huge = lambda n: b"\x02\x83" + n.to_bytes(3) + b"\x01" + bytes(range(1, 256)) * (n // 255) + bytes(range(1, 1 + (n - 1) % 255))
+    long_der = whole(der(2, b"\0") + huge(100_000)[: 5 + 100_000] + huge(90_000)[: 5 + 90_000])
+    private = b"openssh-key-v1\0" + fields(b"none", b"none", b"") + struct.pack(">I", 1)
+    long_ssh = private + fields(SSH, bytes(i % 251 for i in range(200_000)))
+    # a hundred full lines exactly, without a footer line
+    lines = private + fields(SSH, bytes(4800 - len(private) - len(SSH) - 8))
+    assert len(lines) == 4800
+    for data, kind in ((long_der, "der"), (long_ssh, "ssh"), (lines, "ssh")):
+        for text in (wrap(data), base64.b64encode(data).decode()):
+            for after in ("", "\n" + "word" * 16 + "\n" + "word" * 16, "\n" + "b" * 20, "\n\nend"):
+                if text.endswith("=") or "\n" in text or not after.startswith("\nword"):
+                    found = secrets.confirmed_spans(f"key\n{text}{after}")
+                    assert [(k, b - a) for a, k, b in found] == [(kind, len(text))], (kind, after)
+    for text in (wrap(long_ssh)[:-5000], wrap(long_der)[:-5000]):
+        assert [k for _, k, _ in secrets.confirmed_spans(text)] == []
+
+
 def test_long_runs_take_linear_time():
     import time
 
     began = time.time()
-    for text in ("MIIB" * 300_000, ("AAAA" * 16 + "\n") * 20_000, ("MIIEpQIBAAKCAQEA" * 4 + "\n") * 20_000, "eyJ" * 300_000, "30" * 300_000):
+    for text in ("MIIB" * 300_000, ("AAAA" * 16 + "\n") * 20_000, ("MIIEpQIBAAKCAQEA" * 4 + "\n") * 20_000, "eyJ" * 300_000, "30" * 300_000,
+                 (base64.b64encode(b"openssh-key-v1\0" + b"words of a line and more of them!").decode() + "\n") * 20_000, (base64.b64encode(SSH_PRIVATE[:48]).decode() + "\n") * 20_000):
         secrets.confirmed_spans(text)
     assert time.time() - began < 10
 
