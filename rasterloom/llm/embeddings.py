@@ -64,12 +64,13 @@ def joined(homes: np.ndarray, members: np.ndarray, ids_h: np.ndarray, ids_m: np.
     return links, low_h, low_m
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 2048, block: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 2048, block: int = 4096, fewest: int = 8) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept) of every vector.
 
     Equal vectors link with one another and are compared once. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different dimensions. Repeated ids count as vectors of
     their own; where vec_id is null, component_id and kept are null too if nothing links. Other columns aren't read.
+    There is a pivot for each ``cell`` vectors, but at least ``fewest`` (or as many as there are vectors) and at most 1024.
     """
     spark, reach = ship(vectors.sparkSession), math.sqrt(2 - 2 * least)
     rows = vectors.select("vec_id", "embedding", usable().alias("fit"))
@@ -79,7 +80,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 2048, block
     out = []
     for r in distinct.groupBy("dim").count().orderBy("dim").collect():  # one row a dimension
         part = distinct.where(F.col("dim") == r["dim"])
-        n_pivots = max(1, min(1024, r["count"] // cell))
+        n_pivots = max(fewest, min(1024, r["count"] // cell))
         chosen = part.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).collect()  # at most 1024 vectors
         pivots = units(pa.array([p["embedding"] for p in chosen], pa.list_(pa.float64())))
         out.append(cell_links(part, spark.sparkContext.broadcast(pivots), least, reach, block))

@@ -115,6 +115,35 @@ def test_range_join_equals_brute_force(spark, cell, block):
         assert got[i] == (links[i], root(i), root(i) == i), i
 
 
+def test_links_planted_among_given_vectors_are_all_found(spark):
+    """The table of sf0.1 with near copies of a fifth of its vectors, in groups from two to forty, against all pairs by blocks."""
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").where(embeddings.usable()).orderBy("vec_id").toPandas()
+    x = np.array(given["embedding"].tolist(), np.float64)
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 7, 40]
+    made = np.concatenate([x[5 * i] + rng.normal(scale=0.3 * np.linalg.norm(x[5 * i]) / x.shape[1] ** 0.5, size=(sizes[i % 5], x.shape[1])) for i in range(len(x) // 25)])
+    every = np.float32(np.concatenate([x, made]))
+    ids = np.concatenate([given["vec_id"].to_numpy(), given["vec_id"].max() + 1 + np.arange(len(made))])
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, every, strict=True)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = every.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    low, pairs = ids.copy(), []
+    for a in range(0, len(u), 1000):
+        i, j = np.nonzero(u[a : a + 1000] @ u.T >= 0.9)
+        pairs.append(np.stack([i + a, j])[:, i + a != j])
+    i, j = np.concatenate(pairs, axis=1)
+    links = np.bincount(i, minlength=len(ids))
+    assert len(i) > 5_000
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        if (new == low).all():
+            break
+        low = new
+    assert got == {int(k): (int(n), int(c)) for k, n, c in zip(ids, links, low, strict=True)}
+
+
 def test_range_join_of_nothing(spark):
     df = spark.createDataFrame([(None, None), (1, None)], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(df).count() == 2
