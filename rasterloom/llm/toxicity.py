@@ -120,7 +120,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int = 2_000, evidence: float = 20.0, exceptions: tuple = EXCEPTIONS) -> Model:
     """Learn from labelled rows whose crc32(doc_id as text) mod 4 is not 2.
 
-    Of these, the ``sample`` first by the id's hash are used; ``most`` bounds the entries that the driver sees. A repeated
+    Of these, the ``sample`` first by the id's hash are used; ``most`` bounds the entries that the driver sees. An entry's
+    least likelihood ratio is ``evidence`` for ``sample`` different texts and falls with the logarithm of their number, as
+    fewer texts hold fewer entries that could stand out by chance. A repeated
     id teaches once: its least text, toxic if any of its labels says so. Equal texts count once, by their labels' majority.
     Rows with a null id, text or label teach nothing; without labelled rows, or with one label only, the lexicon is
     empty and scores are the labels' smoothed mean.
@@ -146,7 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, most: int =
         found = found.where((a >= 3) & twice(a2, n2, second_toxic, second) & twice(a - a2, n - n2, toxic - second_toxic, total - second))
         term = lambda k, e: F.when(k > 0, k * F.log(k / e)).otherwise(F.lit(0.0))
         ratio = 2 * (term(a, n * toxic / total) + term(n - a, n * clean / total) + term(toxic - a, toxic * (total - n) / total) + term(clean - (n - a), clean * (total - n) / total))
-        top = found.withColumn("g", ratio).where(F.col("g") >= evidence).orderBy(F.desc(F.round("g", 6)), F.desc(F.length("entry")), "entry").limit(most).collect()
+        enough = evidence * math.log1p(total) / math.log1p(sample)
+        top = found.withColumn("g", ratio).where(F.col("g") >= enough).orderBy(F.desc(F.round("g", 6)), F.desc(F.length("entry")), "entry").limit(most).collect()
         for r in top:
             # an entry that begins like one already taken, or the other way round, says the same again
             bare = r["entry"].strip()

@@ -497,6 +497,15 @@ def accuracy(found, truth):
     return np.mean([(r.score >= 0.3) == truth(r.doc_id) for r in rows])
 
 
+def test_toxicity_is_learned_from_few_rows_too(spark):
+    """The 64 labelled rows of the smallest tables: insults are learned, and no clean row, seen or unseen, is rejected."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert {" moron ", " scum ", " loser "} <= set(model.lexicon)
+    found = toxicity.score(docs, model).join(labels, "doc_id").where("score >= 0.3").toPandas()
+    assert len(found) >= 5 and found["toxic"].all()
+
+
 def test_toxicity_on_unseen_rows(labelled, odd, clashing, none):
     docs, labels = labelled
     model = toxicity.train(docs, labels)
