@@ -1,9 +1,10 @@
 """Embedding near-duplicates by an exact metric range join.
 
 On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2t). Pivots split the vectors into cells by
-the nearest pivot. By the triangle inequality a neighbour of a vector in cell p, itself nearest to pivot q, lies within
-that distance of the plane between p and q; only such vectors are copied into cell p. Cells then join on their own,
-in blocks of bounded size, and each vector meets all its neighbours in its home cell.
+the nearest pivot. A vector of cell p and one of cell q lie on either side of the plane between p and q, so their
+distance is at least the sum of their distances from it; pairs whose sum is larger are left out, in whole stretches of
+rows sorted by it. Each vector is stored once, in a pack of whole cells of bounded size, and Spark's Cartesian product
+brings the packs together: nothing is copied into other cells, so disk stays in proportion to the input.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import components, table, written
+from .common import Union, components, remove, stored, table, written
 
 
 def usable(col: str = "embedding"):
@@ -33,35 +34,95 @@ def units(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cells_of(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each vector's home, and a mask of the cells that it belongs to: its home and all whose plane is within reach."""
-    near = x @ pivots.T
-    home = near.argmax(axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    gap = near[np.arange(len(x)), home][:, None] - near
-    return home, gap <= reach * apart[home] + 1e-9
-
-
-def joined(homes: np.ndarray, members: np.ndarray, ids_h: np.ndarray, ids_m: np.ndarray, weight: np.ndarray, least: float):
-    """Links of each home, by weight of the others, and every row's smallest id reachable here."""
-    near = np.empty((len(homes), len(members)), bool)
-    links = np.zeros(len(homes), np.int64)
-    for a in range(0, len(homes), 512):
-        near[a : a + 512] = homes[a : a + 512] @ members.T >= least
-        near[a : a + 512] &= ids_h[a : a + 512, None] != ids_m[None, :]
-        links[a : a + 512] = near[a : a + 512] @ weight
-    low_h, low_m = ids_h.copy(), ids_m.copy()
-    some_h, some_m = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-    near = near[np.ix_(some_h, some_m)]
-    if near.size:
-        while True:
-            top = np.iinfo(np.int64).max
-            new_h = np.minimum(low_h[some_h], [np.where(row, low_m[some_m], top).min() for row in near])
-            new_m = np.minimum(low_m[some_m], [np.where(col, new_h, top).min() for col in near.T])
-            if (new_h == low_h[some_h]).all() and (new_m == low_m[some_m]).all():
-                break
-            low_h[some_h], low_m[some_m] = new_h, new_m
-    return links, low_h, low_m
+def single_units(x: np.ndarray) -> np.ndarray:
+    """The rows at length one in single precision, for bounds alone."""
+    x = (x / np.abs(x).max(axis=1, keepdims=True)).astype(np.float32)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+class Pack:
+    """The vectors of a stored pack, sorted by cell, with their products with pivots."""
+
+    def __init__(self, pack: int, cells: bytes, keys: bytes, reps: bytes, copies: bytes, values: bytes, kind: np.dtype) -> None:
+        self.pack, self.reps, self.copies = pack, np.frombuffer(reps, np.int64), np.frombuffer(copies, np.int64)
+        self.keys = np.frombuffer(keys, "V16")
+        self.raw = np.frombuffer(values, kind).reshape(len(self.reps), -1)
+        self.unit = single_units(self.raw)
+        self.cells, starts = np.unique(np.frombuffer(cells, np.int32), return_index=True)
+        self.spans = [*zip(starts.tolist(), [*starts[1:].tolist(), len(self.reps)], strict=True)]
+
+    def exact(self, rows: np.ndarray) -> np.ndarray:
+        x = self.raw[rows].astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def merged(labels: np.ndarray, rows: np.ndarray, cols: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The labels after the links between rows and columns joined their groups; a group's label is its smallest."""
+    low_r, low_c, top = labels[rows], labels[cols], len(labels)
+    if low_r.min() == max(low_r.max(), low_c.max()) and low_c.min() == low_r.min():
+        return labels
+    while True:
+        new_r = np.minimum(low_r, np.where(near, low_c, top).min(axis=1))
+        new_c = np.minimum(low_c, np.where(near, new_r[:, None], top).min(axis=0))
+        if (new_r == low_r).all() and (new_c == low_c).all():
+            break
+        low_r, low_c = new_r, new_c
+    moves = np.unique(np.stack((labels[np.concatenate((rows, cols))], np.concatenate((low_r, low_c)))), axis=1)
+    groups = Union()
+    for a, b in moves.T.tolist():
+        groups.join(a, b)
+    step = np.arange(len(labels))
+    for a in groups.up:
+        step[a] = groups.root(a)
+    return step[labels]
+
+
+def joined(a: Pack, b: Pack, pivots: np.ndarray, least: float, reach: float) -> pa.RecordBatch:
+    """Rows (key, links, rep, low) of the vectors that link here: their links, by copies, and the smallest id reached.
+
+    Products in single precision, with room for their error, leave out what can't link; double precision decides.
+    """
+    same, n = a.pack == b.pack, len(a.reps)
+    off = 0 if same else n
+    labels, links = np.arange(n if same else n + len(b.reps)), np.zeros(n if same else n + len(b.reps), np.int64)
+    error = (a.raw.shape[1] + 8) * 2.0**-21
+    near_a, near_b = a.unit @ pivots[b.cells].T, b.unit @ pivots[a.cells].T
+    own_a = [a.unit[s:e] @ pivots[c] for c, (s, e) in zip(a.cells, a.spans, strict=True)]
+    own_b = [b.unit[s:e] @ pivots[c] for c, (s, e) in zip(b.cells, b.spans, strict=True)]
+    for i, (p, (a0, a1)) in enumerate(zip(a.cells.tolist(), a.spans, strict=True)):
+        for j, (q, (b0, b1)) in enumerate(zip(b.cells.tolist(), b.spans, strict=True)):
+            if same and q < p:
+                continue
+            if p == q:
+                xs, ys, from_x, from_y, limit = np.arange(a0, a1), np.arange(b0, b1), np.zeros(a1 - a0), np.zeros(b1 - b0), 1.0
+            else:  # how far beyond the plane between p and q, times the pivots' distance
+                from_x, from_y = own_a[i] - near_a[a0:a1, j], own_b[j] - near_b[b0:b1, i]
+                limit = reach * np.linalg.norm(pivots[p] - pivots[q]) + 4 * error
+                xs, ys = np.flatnonzero(from_x <= limit - from_y.min()), np.flatnonzero(from_y <= limit - from_x.min())
+                xs, ys = xs[np.argsort(from_x[xs])], ys[np.argsort(from_y[ys])]
+                from_x, from_y, xs, ys = from_x[xs], from_y[ys], xs + a0, ys + b0
+            others = b.unit[ys]
+            for at in range(0, len(xs), 256):
+                rows, cols = xs[at : at + 256], ys[: np.searchsorted(from_y, limit - from_x[at], "right")]
+                near = a.unit[rows] @ others[: len(cols)].T >= least - error
+                if not near.any():
+                    continue
+                rows, cols = rows[near.any(axis=1)], cols[near.any(axis=0)]
+                near = a.exact(rows) @ b.exact(cols).T >= least
+                if same and p == q:
+                    near &= rows[:, None] < cols[None, :]
+                rows, cols, near = rows[near.any(axis=1)], cols[near.any(axis=0)], near[np.ix_(near.any(axis=1), near.any(axis=0))]
+                if near.size:
+                    links[rows] += (near @ b.copies[cols].astype(np.float64)).astype(np.int64)
+                    links[off + cols] += (a.copies[rows].astype(np.float64) @ near).astype(np.int64)
+                    labels = merged(labels, rows, off + cols, near)
+    reps, keys = (a.reps, a.keys) if same else (np.concatenate((a.reps, b.reps)), np.concatenate((a.keys, b.keys)))
+    low = np.full(len(reps), np.iinfo(np.int64).max)
+    np.minimum.at(low, labels, reps)
+    some = np.flatnonzero(links)
+    columns = [pa.array([k.tobytes() for k in keys[some]], pa.binary()), *map(pa.array, (links[some], reps[some], low[labels[some]]))]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "links", "rep", "low"])
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 2048, block: int = 4096, fewest: int = 8) -> DataFrame:
@@ -69,85 +130,103 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, cell: int = 2048, block
 
     Equal vectors link with one another and are compared once. Vectors that are null, empty, zero or hold null or
     non-finite components link with nothing, nor do vectors of different dimensions. Repeated ids count as vectors of
-    their own; where vec_id is null, component_id and kept are null too if nothing links. Other columns aren't read.
+    their own, in one component; where vec_id is null, component_id and kept are null too if nothing links. Other columns aren't read.
     There is a pivot for each ``cell`` vectors, but at least ``fewest`` (or as many as there are vectors) and at most 1024.
     """
     spark, reach = ship(vectors.sparkSession), math.sqrt(2 - 2 * least)
+    digest = F.substring(F.unhex(F.sha2(F.col("embedding").cast("string"), 256)), 1, 16)  # stands for the vector where rows come back to it
     rows = vectors.select("vec_id", "embedding", usable().alias("fit"))
-    fit = rows.where("fit")
-    distinct = fit.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    fit = rows.where("fit").withColumn("key", digest)
+    distinct = fit.groupBy("key", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     distinct = written(distinct.where("rep is not null").withColumn("dim", F.size("embedding")), "vectors")
     out = []
     for r in distinct.groupBy("dim").count().orderBy("dim").collect():  # one row a dimension
         part = distinct.where(F.col("dim") == r["dim"])
         n_pivots = max(fewest, min(1024, r["count"] // cell))
-        chosen = part.orderBy(F.xxhash64("rep"), "rep").limit(n_pivots).collect()  # at most 1024 vectors
+        chosen = part.orderBy(F.xxhash64("rep"), "rep", "key").limit(n_pivots).collect()  # at most 1024 vectors
         pivots = units(pa.array([p["embedding"] for p in chosen], pa.list_(pa.float64())))
-        out.append(cell_links(part, spark.sparkContext.broadcast(pivots), least, reach, block))
+        most = max(1, min(block, 64 * block // r["dim"]))
+        out.append(pack_links(part, spark.sparkContext.broadcast(pivots), least, reach, most))
     if not out:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = out[0]
     for more in out[1:]:
         found = found.union(more)
-    found = written(found, "links")
-    labels = components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-    totals = found.groupBy("id").agg(F.sum("links").alias("links"))
-    known = distinct.join(totals.withColumnRenamed("id", "rep"), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    labels = components(found.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    totals = found.groupBy("key").agg(F.sum("links").alias("links"))
+    known = distinct.select("key", "rep", "copies").join(totals, "key", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    known = known.select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     known = written(known, "known")
-    linked = fit.join(known, "embedding", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    linked = fit.select("vec_id", "key").join(known, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
-def cell_links(part: DataFrame, pivots, least: float, reach: float, block: int) -> DataFrame:
-    """Rows (id, links, low): a home's links in one pair of blocks, and the smallest id that a row reaches there."""
+def pack_links(part: DataFrame, pivots, least: float, reach: float, most: int) -> DataFrame:
+    """Rows (key, links, rep, low) of each pair of packs, as of ``joined``; a pack holds about ``most`` vectors."""
+    spark = part.sparkSession
+    home = lambda column: (units(column) @ pivots.value.T).argmax(axis=1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        homes = members = np.zeros(len(pivots.value), np.int64)
+        homes = np.zeros(len(pivots.value), np.int64)
         for batch in batches:
             if batch.num_rows:
-                home, mask = cells_of(units(batch.column(0)), pivots.value, reach)
-                homes, members = homes + np.bincount(home, minlength=len(homes)), members + mask.sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"cell": np.arange(len(homes), dtype=np.int32), "homes": homes, "members": members})
-
-    sizes = part.select("embedding").mapInArrow(count, "cell int, homes long, members long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("members").alias("members"))
-    found = {r["cell"]: (-(-r["homes"] // block), -(-r["members"] // block)) for r in sizes.collect()}  # a row a pivot
-    blocks = np.array([found[c] for c in range(len(pivots.value))], np.int64)
-    names = ["cell", "i", "j", "home", "rep", "copies"]
+                homes += np.bincount(home(batch.column(0)), minlength=len(homes))
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(len(homes), dtype=np.int32), "homes": homes})
+
+    sizes = part.select("embedding").mapInArrow(count, "cell int, homes long").groupBy("cell").agg(F.sum("homes").alias("homes"))
+    held = {r["cell"]: r["homes"] for r in sizes.collect()}  # a row a pivot
+    first, parts = np.zeros(len(held), np.int64), np.ones(len(held), np.int64)  # each cell's first pack and number of packs
+    packs = filled = 0
+    for c in range(len(held)):
+        if filled and filled + held[c] > most:
+            packs, filled = packs + 1, 0
+        first[c], parts[c], filled = packs, max(1, -(-held[c] // most)), filled + held[c]
+        if parts[c] > 1:
+            packs, filled = packs + int(parts[c]), 0
+    packs += filled > 0
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(0)
-            rep, copies = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            home, mask = cells_of(units(x), pivots.value, reach)
-            salt = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for c in range(len(pivots.value)):
-                n_i, n_j = (int(v) for v in blocks[c])
-                for is_home, at, own, others in ((True, np.flatnonzero(home == c), n_i, n_j), (False, np.flatnonzero(mask[:, c]), n_j, n_i)):
-                    if not len(at) or not n_i:
-                        continue
-                    mine = (salt[at] % np.uint64(own)).astype(np.int32)
-                    for other in range(others):
-                        theirs = np.full(len(at), other, np.int32)
-                        i, j = (mine, theirs) if is_home else (theirs, mine)
-                        columns = [np.full(len(at), c, np.int32), i, j, np.full(len(at), is_home), rep[at], copies[at]]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), x.take(pa.array(at))], names=[*names, "embedding"])
-
-    def meet(group: pa.Table) -> pa.Table:
-        home = group["home"].to_numpy()
-        x, ids = units(group["embedding"].combine_chunks()), group["rep"].to_numpy()
-        h, m = np.flatnonzero(home), np.flatnonzero(~home)
-        links, low_h, low_m = joined(x[h], x[m], ids[h], ids[m], group["copies"].to_numpy()[m], least)
-        keep_h, keep_m = links > 0, low_m != ids[m]
-        columns = {"id": np.concatenate((ids[h][keep_h], ids[m][keep_m])), "links": np.concatenate((links[keep_h], np.zeros(keep_m.sum(), np.int64)))}
-        return pa.table(columns | {"low": np.concatenate((low_h[keep_h], low_m[keep_m]))})
-
-    kind = part.schema["embedding"].dataType.simpleString()
-    dealt = part.select("embedding", "rep", "copies").mapInArrow(deal, f"cell int, i int, j int, home boolean, rep long, copies long, embedding {kind}")
-    return dealt.groupBy("cell", "i", "j").applyInArrow(meet, "id long, links long, low long")
+            if batch.num_rows:
+                cells = home(batch.column(0))
+                salt = np.array([int.from_bytes(k[:4], "big") for k in batch.column(1).to_pylist()], np.int64)
+                own = first[cells] + salt % parts[cells]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(cells.astype(np.int32)), *batch.columns], names=["pack", "cell", *batch.schema.names])
+
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.sort_by("cell")
+        x = group["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ints = [group[c].to_numpy().tobytes() for c in ("cell", "rep", "copies")]
+        row = (np.int32(group["pack"][0].as_py()), ints[0], b"".join(group["key"].to_pylist()), *ints[1:], x.tobytes())
+        return pa.table({n: pa.array([v]) for n, v in zip(names, row, strict=True)})
+
+    names, kind = ["pack", "cells", "keys", "reps", "copies", "values"], part.schema["embedding"].dataType
+    dealt = part.select("embedding", "key", "rep", "copies").mapInArrow(deal, f"pack int, cell int, embedding {kind.simpleString()}, key binary, rep long, copies long")
+    dealt = dealt.repartition(max(min(packs, 32), packs // 16), "pack")
+    filled, path = stored(dealt.groupBy("pack").applyInArrow(fill, "pack int, " + ", ".join(f"{n} binary" for n in names[1:])), "packs")
+    number = np.dtype(kind.elementType.simpleString().replace("float", "float32").replace("double", "float64"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, planes = None, pivots.value.astype(np.float32)
+        for batch in batches:
+            for n in range(batch.num_rows):
+                one, two = ([c[n].as_py() for c in batch.columns[s : s + 6]] for s in (0, 6))
+                if a is None or a.pack != one[0]:
+                    a = Pack(*one, number)
+                yield joined(a, a if one[0] == two[0] else Pack(*two, number), planes, least, reach)
+
+    others = filled.select(*[F.col(n).alias(f"{n}_2") for n in names])
+    pairs = filled.hint("shuffle_replicate_nl").join(others, F.col("pack") <= F.col("pack_2"))
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "4")  # a row is two packs
+    try:
+        found = written(pairs.mapInArrow(meet, "key binary, links long, rep long, low long"), "links")
+    finally:
+        spark.conf.set(limit, before)
+    remove(spark, path)
+    return found
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

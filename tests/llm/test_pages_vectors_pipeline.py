@@ -144,6 +144,27 @@ def test_links_planted_among_given_vectors_are_all_found(spark):
     assert got == {int(k): (int(n), int(c)) for k, n, c in zip(ids, links, low, strict=True)}
 
 
+def test_vectors_are_not_copied_into_cells(spark):
+    """Two thousand unrelated vectors in a hundred cells, and ids that come twice: shuffled bytes stay in proportion to the table."""
+    rng = np.random.default_rng(8)
+    x = np.float32(rng.normal(size=(2000, 64)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, x[0].tolist()), (5000, (x[0] * 2 + x[1] / 10).tolist()), (5000, (-x[0]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = shuffled()
+    got = {}
+    for r in embeddings.near_vectors(df, cell=20).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    assert shuffled() - before < 6 * x.nbytes
+    assert got[0] == [(2, 0)] and sorted(n for n, _ in got[5000]) == [0, 2, 2]
+    assert all(got[i] == [(0, i)] for i in range(1, 2000))
+
+
 def test_range_join_of_nothing(spark):
     df = spark.createDataFrame([(None, None), (1, None)], "vec_id long, embedding array<float>")
     assert embeddings.near_vectors(df).count() == 2
