@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..shipping import ship
-from .common import WORD, flat_rows, map_rows, table, whole_text, written
+from .common import WORD, flat_rows, map_rows, remove, stored, table, whole_text, written
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -157,28 +157,53 @@ def align(
     loss must be above what two parts of ``least`` words make up for: shorter parts never pass once such a gap is between.
     """
     spare = 2 * least * (1 - identity) / identity
-    parts: list[list[int]] = []  # starts, ends and equal words
+    parts: list[list[list[int]]] = []  # blocks of starts, ends, equal words before and equal words with it
     for x, y in ((p - at, q - other_at) for p, q in chain):
         if parts:
-            last = parts[-1]
+            last = parts[-1][-1]
             a, b = last[2:4]
             if x < a or y < b:  # overlaps the words matched so far
                 fresh = min(x + k - a, y + k - b)
                 if x - a == y - b and fresh > 0:
-                    last[2:] = [a + fresh, b + fresh, last[4] + fresh]
+                    last[2:] = [a + fresh, b + fresh, last[4], last[5] + fresh]
                 continue
             gap, allowed = max(x - a, y - b), max(spare, (1 - identity) * max(x - a, y - b))
             if gap - min(x - a, y - b) <= allowed and gap - (same := same_words(own[a:x], other[b:y])) <= allowed:
-                last[2:] = [x + k, y + k, last[4] + same + k]
+                parts[-1].append([x, y, x + k, y + k, last[5] + same, last[5] + same + k])
                 continue
-        parts.append([x, y, x + k, y + k, k])
-    found = []
-    for a0, b0, a, b, same in parts:
+        parts.append([[x, y, x + k, y + k, 0, k]])
+    found, waiting = [], [(part, True) for part in reversed(parts)]
+    while waiting:
+        part, whole = waiting.pop()
+        (a0, b0, *_, before, _), (_, _, a, b, _, same) = part[0], part[-1]
+        same -= before
         left, left_same = stretch(own[:a0][::-1], other[:b0][::-1])
         right, right_same = stretch(own[a:], other[b:])
         goes_on = goes(own[:a0][::-1], other[:b0][::-1], left, pad), goes(own[a:], other[b:], right, pad)
-        a0, b0, a, b = a0 - left, b0 - left, a + right, b + right
-        found.append((a0 + at, a + at, b0 + other_at, b + other_at, same + left_same + right_same, *goes_on))
+        a0, b0, a, b, same = a0 - left, b0 - left, a + right, b + right, same + left_same + right_same
+        found.append((a0 + at, a + at, b0 + other_at, b + other_at, same, *goes_on))
+        if whole and same < identity * max(a - a0, b - b0):
+            waiting += [(some, False) for some in similar(part, least, identity)]
+    return found
+
+
+def similar(part: list[list[int]], least: int, identity: float) -> list[list[list[int]]]:
+    """The longest stretch of a part's blocks that is similar enough over ``least`` words, and those on its either side."""
+    found, waiting = [], [part]
+    while waiting:
+        some = waiting.pop()
+        x, y, a, b, before, same = np.array(some).T
+        best, span = 0, None
+        for i in range(len(some)):
+            if max(a[-1] - x[i], b[-1] - y[i]) <= best:
+                break
+            long, short = np.maximum(a[i:] - x[i], b[i:] - y[i]), np.minimum(a[i:] - x[i], b[i:] - y[i])
+            fit = np.flatnonzero((short + 30 >= least) & (same[i:] - before[i] >= identity * long))  # ends may match for some words more
+            if len(fit) and long[fit[-1]] > best:
+                best, span = long[fit[-1]], (i, i + int(fit[-1]) + 1)
+        if span:
+            found.append(some[span[0] : span[1]])
+            waiting += [rest for rest in (some[: span[0]], some[span[1] :]) if rest]
     return found
 
 
@@ -199,21 +224,59 @@ def pairs(docs: DataFrame, k: int = 5, window: int = 16, gap: float = 0.1, pad:
     """Rows (doc_id, start, end, other_id, other_start, other_end, identity): places in words, ends exclusive.
 
     Each passage of at least ``least`` words that ``doc_id`` shares with the first document to hold its seeds, or to hold
-    those runs of ``least`` words that no such passage covers. Null
+    those runs of ``least`` words that no such passage covers; where seeds stay uncovered, with every document that holds them. Null
     and empty texts hold none; rows with a null id are left out; repeated rows of one id count as one document. Texts
     are read whole: a copy of a document is one passage over all of it. Other columns are not read.
     """
-    found = written(seeds(docs, k, window), "seeds")
+    found, seeds_path = stored(seeds(docs, k, window), "seeds")
     shared = found.where("pos >= 0").groupBy("hash").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("other_pos"))
-    shared = written(shared.where("other_id < last").drop("last"), "shared")
+    shared, shared_path = stored(shared.where("other_id < last").drop("last"), "shared")
     place = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos")
     held = written(found.join(shared, "hash").select("hash", "doc_id", "other_id", place, "other_pos"), "held")
+    remove(docs.sparkSession, seeds_path, shared_path)  # nothing reads them any more
     once = written(aligned(docs, held.where("doc_id <> other_id").drop("hash"), k, gap, pad, least, identity), "once")
     runs = written(runs_left(docs, held, once, k, window, least), "runs")
     first = runs.where("pos >= 0").groupBy("hash").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("other_pos"), F.min_by("own", "doc_id").alias("first_own"))
     met = runs.join(first.where("other_id < last"), "hash").where("doc_id <> other_id and (own or first_own and doc_id = last)")
     again = met.select("doc_id", "other_id", place, "other_pos")
-    return once.union(aligned(docs, again, k, gap, pad, least, identity, single=True)).distinct()
+    twice = written(once.union(aligned(docs, again, k, gap, pad, least, identity, single=True)).distinct(), "twice")
+    return twice.union(aligned(docs, rest_left(docs, held, twice, k, window, least), k, gap, pad, least, identity, apart=True)).distinct()
+
+
+def covered_spans(found: DataFrame) -> DataFrame:
+    """Rows (doc_id, covered) of the passages' places in either text."""
+    mirrored = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))
+    return found.select("doc_id", "start", "end").union(mirrored).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+
+
+def rest_left(docs: DataFrame, held: DataFrame, found: DataFrame, k: int, window: int, least: int) -> DataFrame:
+    """Anchors (doc_id, other_id, pos, other_pos) of the seeds that no passage covers in some document, with every holder.
+
+    Passages of changed words whose seeds have first holders elsewhere hold such seeds. In both texts a seed must lie
+    among shared ones that a passage of ``least`` words can hold, and so must the anchors of each two documents.
+    """
+    seen = held.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hash")).alias("places"))  # bounded by the text
+    outer = least - k - 2 * (window - 1)
+
+    def make_open():
+        def each(key, places, covered):
+            hashes = {p["pos"]: p["hash"] for p in places}
+            free = set(uncovered(sorted(hashes), [(c["start"], c["end"]) for c in covered or []], k))
+            return [(hashes[p], key, p, p in free) for f in long_stretches(list(hashes), k, 3 * window, 0) if f[-1] - f[0] >= outer for p in f]
+
+        return each
+
+    kinds = [("hash", LongType()), ("doc_id", LongType()), ("pos", IntegerType()), ("open", BooleanType())]
+    places = flat_rows(seen.join(covered_spans(found), "doc_id", "left").select("doc_id", "places", "covered"), make_open, StructType([StructField(n, t) for n, t in kinds]))
+    places = written(places, "places")
+    partners = places.groupBy("hash", F.col("doc_id").alias("other_id")).agg(F.min("pos").alias("other_pos"))
+    met = places.where("open").drop("open").join(partners, "hash").where("doc_id <> other_id")
+    later = F.col("doc_id") > F.col("other_id")
+    turned = lambda a, b, name: F.when(later, F.col(a)).otherwise(F.col(b)).alias(name)
+    met = met.select(turned("doc_id", "other_id", "doc_id"), turned("other_id", "doc_id", "other_id"), turned("pos", "other_pos", "pos"), turned("other_pos", "pos", "other_pos"))
+    wide = lambda c: F.max(c) - F.min(c) >= outer
+    both = met.repartition("doc_id", "other_id").groupBy("doc_id", "other_id").agg(wide("pos").alias("wide"), wide("other_pos").alias("other_wide"), F.collect_set(F.struct("pos", "other_pos")).alias("anchors"))
+    return both.where("wide and other_wide").select("doc_id", "other_id", "anchors")
 
 
 def long_stretches(places: list[int], k: int, window: int, least: int) -> list[list[int]]:
@@ -258,8 +321,7 @@ def runs_left(docs: DataFrame, held: DataFrame, once: DataFrame, k: int, window:
     The first holder of a seed may hold only a part of a passage; the first holder of a whole run holds one. No such run
     is left out, so each passage of equal words is found whoever holds its parts.
     """
-    mirrored = once.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))
-    spans = once.select("doc_id", "start", "end").union(mirrored).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    spans = covered_spans(once)
     seen = held.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hash")).alias("places"))  # bounded by the text, as the spans are
 
     def make_open():
@@ -314,9 +376,15 @@ def runs_left(docs: DataFrame, held: DataFrame, once: DataFrame, k: int, window:
     return flat_rows(texts.join(wanted, "id").select("id", "text", "stretches", "bare"), make_runs, StructType([StructField(n, t) for n, t in kinds]))
 
 
-def aligned(docs: DataFrame, anchors: DataFrame, k: int, gap: float, pad: int, least: int, identity: float, single: bool = False) -> DataFrame:
-    """The passages of the rows of ``pairs`` that chains of the anchors (doc_id, other_id, pos, other_pos) lead to; ``single``: of one anchor too."""
-    by = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "pos", "other_pos")).alias("anchors"))  # bounded by the text
+def aligned(docs: DataFrame, anchors: DataFrame, k: int, gap: float, pad: int, least: int, identity: float, single: bool = False, apart: bool = False) -> DataFrame:
+    """The passages of the rows of ``pairs`` that chains of the anchors (doc_id, other_id, pos, other_pos) lead to.
+
+    ``single``: of one anchor too; ``apart``: the anchors come as one array (pos, other_pos) for each two documents.
+    """
+    if apart:
+        by = anchors.select("doc_id", F.transform("anchors", lambda x: F.struct(F.col("other_id").alias("other_id"), x["pos"].alias("pos"), x["other_pos"].alias("other_pos"))).alias("anchors"))
+    else:
+        by = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "pos", "other_pos")).alias("anchors"))  # bounded by the text
 
     def make():
         def each(key, rows):
@@ -335,16 +403,17 @@ def aligned(docs: DataFrame, anchors: DataFrame, k: int, gap: float, pad: int, l
     schema = StructType([StructField("doc_id", LongType()), StructField("n", IntegerType()), StructField("other_id", LongType()), StructField("chain", ANCHOR)])
     linked = written(flat_rows(by, make, schema), "chains")
     first, last = F.col("chain")[0], F.element_at("chain", -1)
+    name = ["doc_id", F.col("other_id").alias("with"), "n"]
     wanted = lambda side, key, pos: linked.select(
-        F.col(key).alias("id"), "doc_id", "n", F.lit(side).alias("side"),
+        F.col(key).alias("id"), *name, F.lit(side).alias("side"),
         F.greatest(first[pos] - pad, F.lit(0)).alias("from"), (last[pos] + k + pad).alias("to"),
     )
     wants = wanted(0, "doc_id", "pos").union(wanted(1, "other_id", "other_pos"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
     cut = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("from") + 1, F.col("to") - F.col("from"))
-    sliced = wants.join(texts, "id").select("doc_id", "n", "side", F.col("from"), cut.alias("words"))
-    sides = sliced.groupBy("doc_id", "n").agg(F.collect_list(F.struct("side", "from", "words")).alias("sides"))
-    both = linked.join(sides, ["doc_id", "n"])
+    sliced = wants.join(texts, "id").select("doc_id", "with", "n", "side", F.col("from"), cut.alias("words"))
+    sides = sliced.groupBy("doc_id", "with", "n").agg(F.collect_list(F.struct("side", "from", "words")).alias("sides"))
+    both = linked.join(sides.withColumnRenamed("with", "other_id"), ["doc_id", "other_id", "n"])
 
     def make_aligned():
         def each(key, other, chain, sides):

@@ -797,6 +797,35 @@ def test_passages_of_partial_first_holders_and_dense_edits(spark):
     assert covered(200) >= set(range(598))
 
 
+def test_changed_passages_meet_whoever_holds_their_parts_first(spark):
+    """Ten passages with every fifteenth word changed, whose parts smaller ids hold alone, and a passage between dense edits."""
+    from conftest import prose
+
+    rows, want = [], []
+    for n in range(10):
+        part, at = [f"v{n}x{i}" for i in range(100)], 10 * n
+        edited = [w if i % 15 else f"e{n}x{i}" for i, w in enumerate(part)]
+        # three smaller ids hold runs of the passage, none with fifty words of it
+        rows += [(at + i, f"{prose(800 + at + i, 30)} {' '.join(part[a:b])}") for i, (a, b) in enumerate([(0, 36), (32, 68), (64, 100)])]
+        rows += [(at + 5, f"{prose(8000 + n, 40)} {' '.join(part)}"), (at + 6, f"{prose(8100 + n, 20)} {' '.join(edited)} {prose(8200 + n, 20)}")]
+        want.append((at + 6, at + 5))
+    found = passages.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    places = collections.defaultdict(set)
+    for r in found:
+        places[r.doc_id, r.other_id] |= set(range(max(r.start, 20), min(r.end, 120)))
+    assert sum(len(places[w]) >= 80 for w in want) >= 9
+
+
+def test_a_similar_stretch_of_a_chain_below_the_identity_stays():
+    dense = lambda n, tag: [f"d{n}x{i}" if i % 20 < 6 else f"{tag}{n}x{i}" for i in range(200)]
+    part = [f"p{i}" for i in range(60)]
+    own, other = dense(1, "a") + part + dense(2, "a"), dense(1, "b") + part + dense(2, "b")
+    chain = [(i, i) for i in range(len(own) - 4) if own[i : i + 5] == other[i : i + 5]]
+    found = passages.align(chain, own, other, 0, 0, 5, 50, 0.8, 64)
+    good = [p for p in found if p[1] - p[0] >= 50 and p[4] >= 0.8 * (p[1] - p[0])]
+    assert any(a <= 200 and b >= 260 for a, b, *_ in good)
+
+
 def test_recall_of_edited_passages(spark):
     """Of 60 passages each of 60 and 100 words with one word in n changed, those found over 0.8 of their length."""
     rng, rows, plan = np.random.default_rng(3), [], []
