@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..shipping import ship
 from .common import WORD, flat_rows, map_rows, remove, stored, table, whole_text, written
@@ -32,8 +32,7 @@ def kmers(words: list[bytes], k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    single = np.array([digest(w) for w in words], np.uint64)
+    single = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     rolled = np.zeros(n, np.uint64)
     for i in range(k):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + single[i : i + n]
@@ -46,8 +45,12 @@ def winnow(text: str, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(hashes)
     if n < 1:
         return hashes, np.empty(0, np.int32)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, min(window, n))
-    places = np.unique(views.argmin(axis=1) + np.arange(len(views)))
+    window, best, size = min(window, n), np.arange(n), 1
+    while size < window:  # the first smallest of runs of up to twice as many k-mers
+        step = min(size, window - size)
+        left, right = best[:-step], best[step:]
+        best, size = np.where(hashes[left] <= hashes[right], left, right), size + step
+    places = best[np.r_[True, best[1:] != best[:-1]]]  # they never fall from window to window
     return hashes[places], places.astype(np.int32)
 
 
@@ -82,13 +85,14 @@ def chains(anchors: list[tuple[int, int]], k: int, gap: float) -> list[list[tupl
     predecessor is a prefix maximum over the other text's places, kept in a Fenwick tree while pos rises.
     """
     anchors = sorted(set(anchors))
-    ranks = {p: i + 1 for i, p in enumerate(sorted({b for _, b in anchors}))}
+    straight = all(x < z and y < w for (x, y), (z, w) in zip(anchors, anchors[1:], strict=False))  # the one before is the best, as its value is the highest
+    ranks = {} if straight else {p: i + 1 for i, p in enumerate(sorted({b for _, b in anchors}))}
     size = len(ranks)
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (size + 1)
     score, back = [0.0] * len(anchors), [-1] * len(anchors)
     waiting: list[int] = []
     for n, (a, b) in enumerate(anchors):
-        while waiting and anchors[waiting[0]][0] < a:  # anchors of one pos can't follow one another
+        while not straight and waiting and anchors[waiting[0]][0] < a:  # anchors of one pos can't follow one another
             m = waiting.pop(0)
             value = (score[m] + gap * sum(anchors[m]), m)
             i = ranks[anchors[m][1]]
@@ -96,7 +100,9 @@ def chains(anchors: list[tuple[int, int]], k: int, gap: float) -> list[list[tupl
                 if tree[i] < value:
                     tree[i] = value
                 i += i & -i
-        best, i = (float("-inf"), -1), ranks[b] - 1
+        best, i = (float("-inf"), -1), 0 if straight else ranks[b] - 1
+        if straight and n:
+            best = (score[n - 1] + gap * sum(anchors[n - 1]), n - 1)
         while i > 0:
             if tree[i] > best:
                 best = tree[i]
@@ -106,7 +112,8 @@ def chains(anchors: list[tuple[int, int]], k: int, gap: float) -> list[list[tupl
         if best[1] >= 0 and gain > 0:
             step = min(a - anchors[best[1]][0], b - anchors[best[1]][1], k)  # overlapping anchors count their new words
             score[n], back[n] = gain + step, best[1]
-        waiting.append(n)
+        if not straight:
+            waiting.append(n)
     found, used = [], [False] * len(anchors)
     for n in sorted(range(len(anchors)), key=lambda i: (-score[i], i)):
         chain = []
@@ -218,6 +225,7 @@ def goes(a: list[str], b: list[str], reach: int, given: int, various: int = 32)
 
 
 ANCHOR = ArrayType(StructType([StructField("pos", IntegerType()), StructField("other_pos", IntegerType())]))
+CHAINS = StructType([StructField("doc_id", LongType()), StructField("n", IntegerType()), StructField("other_id", LongType()), *[StructField(c, ArrayType(IntegerType())) for c in ("pos", "other_pos")]])
 
 
 def pairs(docs: DataFrame, k: int = 5, window: int = 16, gap: float = 0.1, pad: int = 64, least: int = 50, identity: float = 0.8) -> DataFrame:
@@ -226,57 +234,144 @@ def pairs(docs: DataFrame, k: int = 5, window: int = 16, gap: float = 0.1, pad:
     Each passage of at least ``least`` words that ``doc_id`` shares with the first document to hold its seeds, or to hold
     those runs of ``least`` words that no such passage covers; where seeds stay uncovered, with every document that holds them. Null
     and empty texts hold none; rows with a null id are left out; repeated rows of one id count as one document. Texts
-    are read whole: a copy of a document is one passage over all of it. Other columns are not read.
+    are read whole: a copy of a document is one passage over all of it, matched with the smallest id of that text, which
+    meets all others for its copies. Other columns are not read.
     """
-    found, seeds_path = stored(seeds(docs, k, window), "seeds")
+    same = written(copies(docs), "copies")
+    once_each = docs.select(F.col("doc_id").cast("long"), "text").join(same.select("doc_id"), "doc_id", "left_anti")
+    found, seeds_path = stored(seeds(once_each, k, window), "seeds")
     shared = found.where("pos >= 0").groupBy("hash").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("other_pos"))
     shared, shared_path = stored(shared.where("other_id < last").drop("last"), "shared")
     place = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).alias("pos")
-    held = written(found.join(shared, "hash").select("hash", "doc_id", "other_id", place, "other_pos"), "held")
+    met = found.join(shared, "hash").select("hash", "doc_id", "other_id", place, "other_pos")
+    held = written(arrays(met, ["hash", "pos", "other_id", "other_pos"]), "held")
     remove(docs.sparkSession, seeds_path, shared_path)  # nothing reads them any more
-    once = written(aligned(docs, held.where("doc_id <> other_id").drop("hash"), k, gap, pad, least, identity), "once")
+    once = written(aligned(docs, chained(held, k, gap), k, pad, least, identity), "once")
     runs = written(runs_left(docs, held, once, k, window, least), "runs")
     first = runs.where("pos >= 0").groupBy("hash").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last"), F.min_by("pos", "doc_id").alias("other_pos"), F.min_by("own", "doc_id").alias("first_own"))
     met = runs.join(first.where("other_id < last"), "hash").where("doc_id <> other_id and (own or first_own and doc_id = last)")
-    again = met.select("doc_id", "other_id", place, "other_pos")
-    twice = written(once.union(aligned(docs, again, k, gap, pad, least, identity, single=True)).distinct(), "twice")
-    return twice.union(aligned(docs, rest_left(docs, held, twice, k, window, least), k, gap, pad, least, identity, apart=True)).distinct()
+    again = arrays(met.select("doc_id", "other_id", place, "other_pos"), ["pos", "other_id", "other_pos"])
+    twice = written(once.union(aligned(docs, chained(again, k, gap, single=True), k, pad, least, identity)).distinct(), "twice")
+    every = twice.union(aligned(docs, rest_left(held, twice, k, window, least, identity, gap), k, pad, least, identity)).distinct()
+    sizes = docs.select(F.col("doc_id").cast("long").alias("other_id"), whole_text().alias("text")).join(same.select("other_id").distinct(), "other_id")
+    sizes = sizes.select("other_id", F.regexp_count("text", F.lit(WORD)).alias("end")).where(F.col("end") >= least).distinct()
+    zero = F.lit(0)
+    return every.union(same.join(sizes, "other_id").select("doc_id", zero.alias("start"), "end", "other_id", zero.alias("other_start"), F.col("end").alias("other_end"), F.lit(1.0).alias("identity")))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, other_id): documents of one text that equals the whole text of smaller ids, and the smallest of these."""
+    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.unhex(F.sha2(whole_text().cast("binary"), 256)).alias("key"))
+    one = written(keyed.groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("most")).where("key = most").drop("most"), "texts")
+    first = one.groupBy("key").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("last")).where("other_id < last")
+    return one.join(first, "key").where("doc_id <> other_id").select("doc_id", "other_id")
+
+
+def arrays(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of each document as one array a column, in one order; they are bounded by the text."""
+    some = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    return some.select("doc_id", *[F.col(f"rows.{c}").alias(c) for c in columns])
 
 
 def covered_spans(found: DataFrame) -> DataFrame:
-    """Rows (doc_id, covered) of the passages' places in either text."""
+    """Rows (doc_id, start, end) with arrays of the passages' places in either text."""
     mirrored = found.select(F.col("other_id").alias("doc_id"), F.col("other_start").alias("start"), F.col("other_end").alias("end"))
-    return found.select("doc_id", "start", "end").union(mirrored).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("covered"))
+    return arrays(found.select("doc_id", "start", "end").union(mirrored).distinct(), ["start", "end"])
 
 
-def rest_left(docs: DataFrame, held: DataFrame, found: DataFrame, k: int, window: int, least: int) -> DataFrame:
-    """Anchors (doc_id, other_id, pos, other_pos) of the seeds that no passage covers in some document, with every holder.
+def of_hashes(held: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (doc_id, hot): the wanted hashes that a document holds."""
+    return held.select("doc_id", F.explode("hash").alias("hash")).join(wanted, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("hash").alias("hot"))
+
+
+def rest_left(held: DataFrame, found: DataFrame, k: int, window: int, least: int, identity: float, gap: float) -> DataFrame:
+    """Chains, as of ``chained``, of the seeds that no passage covers in some document, with every holder.
 
     Passages of changed words whose seeds have first holders elsewhere hold such seeds. In both texts a seed must lie
-    among shared ones that a passage of ``least`` words can hold, and so must the anchors of each two documents.
+    among shared ones that a passage of ``least`` words can hold, and so must the anchors of each two documents. A line
+    that many documents hold is no passage, so holders of one seed don't meet: two documents meet where both hold the
+    same two seeds, one after the other, about as far apart as a passage of theirs must reach. They come as
+    one row for each two documents that hold some two seeds, and only those are compared seed by seed.
     """
-    seen = held.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hash")).alias("places"))  # bounded by the text
+    spans = covered_spans(found)
     outer = least - k - 2 * (window - 1)
+    reach = outer - 1 + 3 * window + int(2 * least * (1 - identity) / identity)  # to the next seed, and words that one text has more
+    inside = lambda places: [f for f in long_stretches(places, k, 3 * window, 0) if f[-1] - f[0] >= outer]
 
     def make_open():
-        def each(key, places, covered):
-            hashes = {p["pos"]: p["hash"] for p in places}
-            free = set(uncovered(sorted(hashes), [(c["start"], c["end"]) for c in covered or []], k))
-            return [(hashes[p], key, p, p in free) for f in long_stretches(list(hashes), k, 3 * window, 0) if f[-1] - f[0] >= outer for p in f]
+        def each(hashes, places, start, end):
+            near = [p for f in inside(places) for p in f]
+            free = set(uncovered(near, list(zip(start or [], end or [], strict=True)), k))
+            return [(h,) for h in {h for h, p in zip(hashes, places, strict=True) if p in free}]
+
+        return each
+
+    seen = held.select("doc_id", "hash", "pos").join(spans, "doc_id", "left")
+    hot = flat_rows(seen.select("hash", "pos", "start", "end"), make_open, StructType([StructField("hash", LongType())]))
+    hot = written(hot.distinct(), "hot")
+
+    def make_places():
+        def each(key, hashes, places, start, end, hot):
+            hashes = dict(zip(places, hashes, strict=True))
+            near, hot = inside(places), set(hot)
+            free = set(uncovered([p for f in near for p in f], list(zip(start or [], end or [], strict=True)), k))
+            met = {pair: pair[0] in own or pair[1] in own for f in near for own in [{hashes[p] for p in f if p in free}] for pair in far_pairs(f, hashes, hot, outer, reach)}
+            kept = [p for f in near for p in f if hashes[p] in hot]
+            joint = [hash(pair) for pair in met]
+            return [(key, [hashes[p] for p in kept], kept, [p in free for p in kept], joint, list(met.values()))]
+
+        return each
+
+    kinds = [("doc_id", LongType()), ("hash", ArrayType(LongType())), ("pos", ArrayType(IntegerType())), ("open", ArrayType(BooleanType())), ("joint", ArrayType(LongType())), ("asks", ArrayType(BooleanType()))]
+    near = seen.join(of_hashes(held, hot), "doc_id").select("doc_id", "hash", "pos", "start", "end", "hot")
+    places = written(flat_rows(near, make_places, StructType([StructField(n, t) for n, t in kinds])), "places")
+    joint = written(places.select("doc_id", F.explode(F.arrays_zip("joint", "asks")).alias("x")).select("doc_id", "x.joint", "x.asks").distinct(), "joint")
+    asked = joint.where("asks").select("joint", F.col("doc_id").alias("other_id"))
+    two = joint.join(asked, "joint").where("doc_id <> other_id").select(F.greatest("doc_id", "other_id").alias("doc_id"), F.least("doc_id", "other_id").alias("other_id")).distinct()
+    two = written(two, "two")
+
+    def make():
+        def each(key, other, hashes, places, free, other_hashes, other_places, other_free):
+            first: dict[int, int] = {}
+            other_first: dict[int, int] = {}
+            for least_of, hs, ps in ((first, hashes, places), (other_first, other_hashes, other_places)):
+                for h, p in zip(hs, ps, strict=True):
+                    least_of[h] = min(p, least_of.get(h, p))
+            anchors = {(p, other_first[h]) for h, p, o in zip(hashes, places, free, strict=True) if o and h in other_first}
+            anchors |= {(first[h], p) for h, p, o in zip(other_hashes, other_places, other_free, strict=True) if o and h in first}
+            if not all(max(x) - min(x) >= outer for x in zip(*anchors, strict=True)):
+                return []
+            found = [c for c in chains(list(anchors), k, gap) if len(c) > 1]
+            return [(key, n, other, [p for p, _ in c], [p for _, p in c]) for n, c in enumerate(found)]
 
         return each
 
-    kinds = [("hash", LongType()), ("doc_id", LongType()), ("pos", IntegerType()), ("open", BooleanType())]
-    places = flat_rows(seen.join(covered_spans(found), "doc_id", "left").select("doc_id", "places", "covered"), make_open, StructType([StructField(n, t) for n, t in kinds]))
-    places = written(places, "places")
-    partners = places.groupBy("hash", F.col("doc_id").alias("other_id")).agg(F.min("pos").alias("other_pos"))
-    met = places.where("open").drop("open").join(partners, "hash").where("doc_id <> other_id")
-    later = F.col("doc_id") > F.col("other_id")
-    turned = lambda a, b, name: F.when(later, F.col(a)).otherwise(F.col(b)).alias(name)
-    met = met.select(turned("doc_id", "other_id", "doc_id"), turned("other_id", "doc_id", "other_id"), turned("pos", "other_pos", "pos"), turned("other_pos", "pos", "other_pos"))
-    wide = lambda c: F.max(c) - F.min(c) >= outer
-    both = met.repartition("doc_id", "other_id").groupBy("doc_id", "other_id").agg(wide("pos").alias("wide"), wide("other_pos").alias("other_wide"), F.collect_set(F.struct("pos", "other_pos")).alias("anchors"))
-    return both.where("wide and other_wide").select("doc_id", "other_id", "anchors")
+    own = places.select("doc_id", "hash", "pos", "open")
+    others = places.select(F.col("doc_id").alias("other_id"), *[F.col(c).alias(f"other_{c}") for c in ("hash", "pos", "open")])
+    both = two.join(own, "doc_id").join(others, "other_id")
+    return flat_rows(both.select("doc_id", "other_id", "hash", "pos", "open", "other_hash", "other_pos", "other_open"), make, CHAINS)
+
+
+def far_pairs(places: list[int], hashes: dict[int, int], hot: set[int], low: int, high: int) -> set[tuple[int, int]]:
+    """Pairs of hashes, one of them hot, that some places ``low`` to ``high`` words apart have in this order.
+
+    A hash that comes over and over counts as one run from its first place to its last, so pairs may be too many, never too few.
+    """
+    runs: list[list[int]] = []
+    for p in places:
+        if runs and runs[-1][0] == hashes[p]:
+            runs[-1][2] = p
+        else:
+            runs.append([hashes[p], p, p])
+    found = set()
+    for i, (h, start, end) in enumerate(runs):
+        for j in range(i + 1, len(runs)):
+            to, begins, ends = runs[j]
+            if begins - end > high:
+                break
+            if ends - start >= low and h != to and (h in hot or to in hot):
+                found.add((h, to))
+    return found
 
 
 def long_stretches(places: list[int], k: int, window: int, least: int) -> list[list[int]]:
@@ -321,26 +416,26 @@ def runs_left(docs: DataFrame, held: DataFrame, once: DataFrame, k: int, window:
     The first holder of a seed may hold only a part of a passage; the first holder of a whole run holds one. No such run
     is left out, so each passage of equal words is found whoever holds its parts.
     """
-    spans = covered_spans(once)
-    seen = held.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "hash")).alias("places"))  # bounded by the text, as the spans are
+    seen = held.select("doc_id", "hash", "pos").join(covered_spans(once), "doc_id", "left")
 
     def make_open():
-        def each(places, covered):
-            hashes = {p["pos"]: p["hash"] for p in places}
-            inside = [p for f in long_stretches(list(hashes), k, window, least) for p in f]
-            return [(h,) for h in {hashes[p] for p in uncovered(inside, [(c["start"], c["end"]) for c in covered or []], k)}]
+        def each(hashes, places, start, end):
+            inside = [p for f in long_stretches(places, k, window, least) for p in f]
+            free = set(uncovered(inside, list(zip(start or [], end or [], strict=True)), k))
+            return [(h,) for h in {h for h, p in zip(hashes, places, strict=True) if p in free}]
 
         return each
 
-    left = flat_rows(seen.join(spans, "doc_id", "left").select("places", "covered"), make_open, StructType([StructField("hash", LongType())]))
-    left = written(left.distinct().withColumn("open", F.lit(True)), "open")
+    left = flat_rows(seen.select("hash", "pos", "start", "end"), make_open, StructType([StructField("hash", LongType())]))
+    left = written(left.distinct(), "open")
 
     def make_stretches():
-        def each(key, places, covered):
-            free, spans = {p["pos"] for p in places if p["open"]}, [(c["start"], c["end"]) for c in covered or []]
+        def each(key, hashes, places, start, end, hot):
+            hot, spans = set(hot), list(zip(start or [], end or [], strict=True))
+            free = {p for h, p in zip(hashes, places, strict=True) if h in hot}
             found: list[list[int]] = []
             bare: list[int] = []
-            for f in long_stretches([p["pos"] for p in places], k, window, least):
+            for f in long_stretches(places, k, window, least):
                 low, high = max(0, f[0] - window + 1), f[-1] + k + window - 1
                 bare += uncovered(f, spans, k)
                 for p in f:
@@ -355,8 +450,7 @@ def runs_left(docs: DataFrame, held: DataFrame, once: DataFrame, k: int, window:
 
         return each
 
-    flagged = held.select("hash", "doc_id", "pos").join(left, "hash", "left").groupBy("doc_id").agg(F.collect_list(F.struct("pos", "open")).alias("places"))
-    flagged = flagged.join(spans, "doc_id", "left").select("doc_id", "places", "covered")
+    flagged = seen.join(of_hashes(held, left), "doc_id").select("doc_id", "hash", "pos", "start", "end", "hot")
     kinds = StructType([StructField("id", LongType()), StructField("stretches", ANCHOR), StructField("bare", ArrayType(IntegerType()))])
     wanted = written(flat_rows(flagged, make_stretches, kinds), "stretches")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
@@ -376,60 +470,71 @@ def runs_left(docs: DataFrame, held: DataFrame, once: DataFrame, k: int, window:
     return flat_rows(texts.join(wanted, "id").select("id", "text", "stretches", "bare"), make_runs, StructType([StructField(n, t) for n, t in kinds]))
 
 
-def aligned(docs: DataFrame, anchors: DataFrame, k: int, gap: float, pad: int, least: int, identity: float, single: bool = False, apart: bool = False) -> DataFrame:
-    """The passages of the rows of ``pairs`` that chains of the anchors (doc_id, other_id, pos, other_pos) lead to.
-
-    ``single``: of one anchor too; ``apart``: the anchors come as one array (pos, other_pos) for each two documents.
-    """
-    if apart:
-        by = anchors.select("doc_id", F.transform("anchors", lambda x: F.struct(F.col("other_id").alias("other_id"), x["pos"].alias("pos"), x["other_pos"].alias("other_pos"))).alias("anchors"))
-    else:
-        by = anchors.groupBy("doc_id").agg(F.collect_list(F.struct("other_id", "pos", "other_pos")).alias("anchors"))  # bounded by the text
+def chained(anchors: DataFrame, k: int, gap: float, single: bool = False) -> DataFrame:
+    """Chains (doc_id, n, other_id, pos, other_pos), arrays of places, of a document's anchors; ``single``: of one anchor too."""
 
     def make():
-        def each(key, rows):
+        def each(key, places, others, other_places):
             groups: dict[int, list[tuple[int, int]]] = {}
-            for r in rows:
-                groups.setdefault(r["other_id"], []).append((r["pos"], r["other_pos"]))
-            out = []
-            for other, some in sorted(groups.items()):
-                for chain in chains(some, k, gap):
-                    if single or len(chain) > 1:
-                        out.append((key, len(out), other, [{"pos": a, "other_pos": b} for a, b in chain]))
-            return out
+            for other, *anchor in zip(others, places, other_places, strict=True):
+                if other != key:
+                    groups.setdefault(other, []).append(tuple(anchor))
+            found = [(other, c) for other, some in sorted(groups.items()) for c in chains(some, k, gap) if single or len(c) > 1]
+            return [(key, n, other, [p for p, _ in c], [p for _, p in c]) for n, (other, c) in enumerate(found)]
 
         return each
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("n", IntegerType()), StructField("other_id", LongType()), StructField("chain", ANCHOR)])
-    linked = written(flat_rows(by, make, schema), "chains")
-    first, last = F.col("chain")[0], F.element_at("chain", -1)
-    name = ["doc_id", F.col("other_id").alias("with"), "n"]
-    wanted = lambda side, key, pos: linked.select(
-        F.col(key).alias("id"), *name, F.lit(side).alias("side"),
-        F.greatest(first[pos] - pad, F.lit(0)).alias("from"), (last[pos] + k + pad).alias("to"),
+    return flat_rows(anchors.select("doc_id", "pos", "other_id", "other_pos"), make, CHAINS)
+
+
+def words_cut(rows: DataFrame) -> DataFrame:
+    """The rows with the words from place ``from`` up to ``to`` of their text, one space apart, in its stead."""
+    ship(rows.sparkSession)
+    kept = [c for c in rows.columns if c not in ("text", "to")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, words = None, []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, cut = batch.slice(at, 256), []
+                for own, start, end in zip(*(part.column(c) for c in ("text", "from", "to")), strict=True):
+                    own = own.as_py()
+                    if own != text:  # after a merge join the rows of a text follow one another
+                        text, words = own, own.split()
+                    cut.append(b" ".join(words[start.as_py() : end.as_py()]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(cut, pa.binary())], names=[*kept, "words"])
+
+    return rows.mapInArrow(run, StructType([*(rows.schema[c] for c in kept), StructField("words", BinaryType())]))
+
+
+def aligned(docs: DataFrame, chains: DataFrame, k: int, pad: int, least: int, identity: float) -> DataFrame:
+    """The passages of the rows of ``pairs`` that chains lead to."""
+    linked = written(chains, "chains")
+    wanted = lambda side, key, pos, *chain: linked.select(
+        F.col(key).alias("id"), "doc_id", "other_id", "n", F.lit(side).alias("side"), *[c.alias(n) for n, c in zip(("pos", "other_pos"), chain, strict=True)],
+        F.greatest(F.col(pos)[0] - pad, F.lit(0)).alias("from"), (F.element_at(pos, -1) + k + pad).alias("to"),
     )
-    wants = wanted(0, "doc_id", "pos").union(wanted(1, "other_id", "other_pos"))
+    none = F.lit(None).cast("array<int>")  # one side is enough
+    wants = wanted(0, "doc_id", "pos", F.col("pos"), F.col("other_pos")).union(wanted(1, "other_id", "other_pos", none, none))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
-    cut = F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("from") + 1, F.col("to") - F.col("from"))
-    sliced = wants.join(texts, "id").select("doc_id", "with", "n", "side", F.col("from"), cut.alias("words"))
-    sides = sliced.groupBy("doc_id", "with", "n").agg(F.collect_list(F.struct("side", "from", "words")).alias("sides"))
-    both = linked.join(sides.withColumnRenamed("with", "other_id"), ["doc_id", "other_id", "n"])
+    sliced = words_cut(wants.join(texts.withColumn("text", F.col("text").cast("binary")), "id").drop("id"))
+    both = sliced.groupBy("doc_id", "other_id", "n").agg(F.collect_list(F.struct("side", "from", "words", "pos", "other_pos")).alias("sides"))
 
     def make_aligned():
-        def each(key, other, chain, sides):
+        def each(key, other, sides):
             ways = {s["side"]: s for s in sides}
             if len(ways) < 2:
                 return []
             mine, theirs = ways[0], ways[1]
-            places = [(c["pos"], c["other_pos"]) for c in chain]
-            parts = align(places, mine["words"], theirs["words"], mine["from"], theirs["from"], k, least, identity, pad)
+            places = list(zip(mine["pos"], mine["other_pos"], strict=True))
+            parts = align(places, mine["words"].split(), theirs["words"].split(), mine["from"], theirs["from"], k, least, identity, pad)
             good = lambda a, b, c, d, same: min(b - a, d - c) >= least and same >= identity * max(b - a, d - c)
             return [(key, *p[:2], other, *p[2:]) for p in parts if p[5] or p[6] or good(*p[:5])]
 
         return each
 
     kinds = StructType([StructField(n, t) for n, t in (("doc_id", LongType()), *[(c, IntegerType()) for c in ("start", "end")], ("other_id", LongType()), *[(c, IntegerType()) for c in ("other_start", "other_end", "same")], ("left", BooleanType()), ("right", BooleanType()))])
-    made = written(flat_rows(both.select("doc_id", "other_id", "chain", "sides"), make_aligned, kinds), "aligned")
+    made = written(flat_rows(both.select("doc_id", "other_id", "sides"), make_aligned, kinds), "aligned")
     full = followed(texts, made.distinct())
     ratio = F.col("same") / F.greatest(F.col("end") - F.col("start"), F.col("other_end") - F.col("other_start"))
     kept = full.withColumn("identity", ratio).where(F.least(F.col("end") - F.col("start"), F.col("other_end") - F.col("other_start")) >= least)
@@ -439,13 +544,13 @@ def aligned(docs: DataFrame, anchors: DataFrame, k: int, gap: float, pad: int, l
 def followed(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose ends went on where their words ran out, followed through the rest of both texts as far as they match.
 
-    Seeds lie all along a match of long equal runs, so only ends of dense edits go on. The join is a merge at every size.
+    Seeds lie all along a match of long equal runs, so only ends of dense edits go on.
     """
     ends = ["start", "end", "other_start", "other_end"]
     key, open_ = ["doc_id", "other_id", *ends], rows.where("left or right")
     near = lambda side, start, end: [F.lit(side).alias("side"), F.when(F.col("left"), F.col(start)).alias("low"), F.when(F.col("right"), F.col(end)).alias("high")]
     wants = open_.select(F.col("doc_id").alias("id"), *key, *near(0, "start", "end")).union(open_.select(F.col("other_id").alias("id"), *key, *near(1, "other_start", "other_end")))
-    held = wants.hint("merge").join(texts, "id").withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    held = wants.join(texts, "id").withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     before = F.reverse(F.slice("words", F.lit(1), F.coalesce("low", F.lit(0)))).alias("before")
     after = F.slice("words", F.coalesce("high", F.size("words")) + 1, F.size("words")).alias("after")
     sides = held.select(*key, F.struct("side", before, after).alias("words")).groupBy(*key).agg(F.collect_list("words").alias("sides"))

@@ -816,6 +816,30 @@ def test_changed_passages_meet_whoever_holds_their_parts_first(spark):
     assert sum(len(places[w]) >= 80 for w in want) >= 9
 
 
+def test_a_frequent_line_does_not_join_all_its_holders(spark, monkeypatch):
+    """Holders of one line meet only where they share another seed as well; copies meet others through one of them."""
+    from conftest import prose
+
+    line, part = prose(40, 14), [f"v{i}" for i in range(100)]
+    edited = [w if i % 15 else f"e{i}" for i, w in enumerate(part)]
+    rows = [(i, f"{prose(900 + i, 60)} {line} {prose(1900 + i, 60)}") for i in range(40)]
+    # three smaller ids hold runs of the passage, none with fifty words of it
+    rows += [(50 + i, f"{prose(3000 + i, 30)} {' '.join(part[a:b])}") for i, (a, b) in enumerate([(0, 36), (32, 68), (64, 100)])]
+    rows += [(60 + i, f"{prose(3100, 40)} {' '.join(part)} {line}") for i in range(20)]
+    rows += [(90 + i, f"{prose(3200, 20)} {' '.join(edited)} {line}") for i in range(20)]
+    sizes, written = {}, passages.written
+
+    def counted(df, tag):
+        sizes[tag] = (out := written(df, tag)).count()
+        return out
+
+    monkeypatch.setattr(passages, "written", counted)
+    found = {(r.doc_id, r.other_id) for r in passages.pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (90, 60) in found
+    assert {(60 + i, 60) for i in range(1, 20)} | {(90 + i, 90) for i in range(1, 20)} <= found
+    assert sizes["two"] <= 10 and len(found) <= 60
+
+
 def test_a_similar_stretch_of_a_chain_below_the_identity_stays():
     dense = lambda n, tag: [f"d{n}x{i}" if i % 20 < 6 else f"{tag}{n}x{i}" for i in range(200)]
     part = [f"p{i}" for i in range(60)]
